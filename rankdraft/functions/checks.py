@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rankdraft.config import JobConfig
-from rankdraft.functions.pytext import contains_any, first_reason, match_start, strip
+from rankdraft.functions.pytext import contains_any, match_start, strip
 
+LIST_ARTICLE = "Is a list article"
 Check = tuple[Column, "Column | str"]
 
 
@@ -44,7 +45,7 @@ def _kind_checks(kind: Column, cfg: JobConfig, texts: dict[str, str]) -> list[Ch
 
 def page_checks(page: dict[str, Column], cfg: JobConfig) -> list[Check]:
     """Checks for wanted pages; keys title, kind, redirect, infobox, infoboxes."""
-    checks = [(is_list_article(page["title"]), "Is a list article")]
+    checks = [(is_list_article(page["title"]), LIST_ARTICLE)]
     checks += existing_checks(page["kind"], cfg)
     checks.append((page["redirect"], "Is a redirect"))
     if cfg.require_infobox:
@@ -178,7 +179,3 @@ def allow_bots(text: Column, user: str) -> Column:
     verdict = F.coalesce(decided, ~bare)
     # Few pages hold the template at all; a plain search settles the others.
     return F.when(text.contains("ots"), verdict).otherwise(True)
-
-
-def skip_reason(checks: list[Check]) -> Column:
-    return first_reason(*checks)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankdraft.config import JobConfig
 from rankdraft.functions import ranks as R
-from rankdraft.functions.pytext import contains_any
+from rankdraft.functions.pytext import any_phrase
 from rankdraft.functions.wikitext import title_word_count
 
 MAX_EXTINCT_LENGTH = 40
@@ -32,7 +32,7 @@ def adjust_desc(
 ) -> Column:
     """Prefix "Extinct" where the taxon is, unless that gets too long."""
     extinct = (
-        autobox_extinct | contains_any(F.lower(lead), EXTINCT_PHRASES) | category_extinct
+        autobox_extinct | any_phrase(F.lower(lead), EXTINCT_PHRASES) | category_extinct
     )
     longer = F.length(F.concat(F.lit("Extinct "), description))
     fits = longer <= MAX_EXTINCT_LENGTH
@@ -46,14 +46,14 @@ def with_description(df: DataFrame, cfg: JobConfig) -> DataFrame:
     Needs ``title``, ``lead``, the five rank columns, ``autobox_extinct``,
     ``category_extinct`` and ``monotypic_category``.
     """
-    ranks = [F.col(c) for c in RANK_COLUMNS]
     voted = (
-        df.withColumn("_words", title_word_count(F.col("title")))
+        df.withColumn("votes", F.array_compact(F.array(*RANK_COLUMNS)))
+        .withColumn("_words", title_word_count(F.col("title")))
         .withColumn("_marker", R.title_marker_rank(F.col("title")))
-        .withColumn("modes", R.modes(ranks))
+        .withColumn("modes", R.modes(F.col("votes")))
         .withColumn("best_rank", R.best_rank(F.col("modes")))
     )
-    best, words = F.col("best_rank"), F.col("_words")
+    best, words, autobox = F.col("best_rank"), F.col("_words"), F.col("rank_autobox")
     settled_ok, settled = R.settled_rank(
         best, words == 1, R.is_monotypic_genus(F.col("monotypic_category"), F.col("lead"))
     )
@@ -63,7 +63,7 @@ def with_description(df: DataFrame, cfg: JobConfig) -> DataFrame:
             F.coalesce(
                 F.col("_marker"),
                 F.when(best.isNotNull(), settled).otherwise(
-                    R.conflict_rank(F.col("modes"), ranks, words)
+                    R.conflict_rank(F.col("votes"), F.col("modes"), autobox, words)
                 ),
             ),
         )
@@ -85,6 +85,6 @@ def with_description(df: DataFrame, cfg: JobConfig) -> DataFrame:
     message = (
         F.when(F.col("gen_ok"), F.col("_adjusted"))
         .when(best.isNotNull(), F.concat(F.lit("*** : "), F.col("_adjusted")))
-        .otherwise(R.conflict_error(ranks))
+        .otherwise(R.conflict_error(F.col("votes"), autobox))
     )
-    return chosen.withColumn("gen_msg", message).drop("_words", "_marker", "_chosen", "_adjusted")
+    return chosen.withColumn("gen_msg", message).drop("votes", "_words", "_marker", "_chosen", "_adjusted")

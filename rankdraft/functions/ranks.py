@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from rankdraft.functions.pytext import (
     SPACE,
     WORD,
+    any_phrase,
     contains_any,
     find_between,
     first_reason,
-    strip,
 )
 from rankdraft.functions.wikitext import first_sentence, normalize_title
 
@@ -149,13 +149,10 @@ def rank_lead_tight(sentence: Column) -> Column:
 
     No stem starts another one, so one pass finds every stem there is.
     """
-    found = F.regexp_extract_all(
-        sentence, F.lit(f"{_IS_A}({'|'.join(LEAD_STEMS.values())})"), F.lit(1)
-    )
-    position = F.array_min(
-        F.transform(found, lambda s: F.array_position(_literals(LEAD_STEMS.values()), s))
-    )
-    return F.get(_literals(LEAD_STEMS), position.cast("int") - 1)
+    stems = "|".join(LEAD_STEMS.values())
+    found = F.regexp_extract_all(sentence, F.lit(f"{_IS_A}({stems})"), F.lit(1))
+    places = F.transform(found, lambda stem: F.array_position(_words(LEAD_STEMS.values()), stem))
+    return F.get(_words(LEAD_STEMS), F.array_min(places).cast("int") - 1)
 
 
 def rank_lead_noun(sentence: Column, noun: str) -> Column:
@@ -187,8 +184,9 @@ def rank_from_lead(lead: Column, noun: str) -> Column:
     )
 
 
-def _literals(values) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+def _words(values) -> Column:
+    """Constant array of strings without a bar."""
+    return F.split(F.lit("|".join(values)), r"\|")
 
 
 # ---------------------------------------------------------------- infoboxes
@@ -205,52 +203,54 @@ def rank_from_speciesbox(compressed: Column) -> Column:
     )
 
 
-def rank_from_taxobox(nobra: Column, compressed: Column) -> Column:
-    """Rank of a hand-made taxobox, from what it sets in bold italics.
+def bold_keys(compressed: Column) -> Column:
+    """Taxobox parameters whose value starts in bold italics; null without a taxobox."""
+    keys = "|".join(TAXOBOX_RANKS)
+    found = F.regexp_extract_all(compressed, F.lit(rf"\|({keys})={BOLD_ITALIC}"), F.lit(1))
+    return F.when(compressed.contains("{{taxobox"), found)
+
+
+def rank_from_taxobox(nobra: Column, compressed: Column, bold: Column) -> Column:
+    """Rank of a hand-made taxobox, from what it sets in bold italics (``bold_keys``).
 
     Three kinds of literal carry a stray quote after the bar and so hardly ever
     match. The title keeps its case and spaces while the text has lost both, so
     only caseless one-word titles match. Both are part of the results.
     """
-
-    def bold(key: str) -> Column:
-        return compressed.contains(f"|{key}={BOLD_ITALIC}")
-
-    def stray(key: str, quotes: str) -> Column:
-        return compressed.contains(f"|'{key}={quotes}")
-
+    in_bold = F.concat(F.lit(BOLD_ITALIC), nobra, F.lit(BOLD_ITALIC))
     titled = first_reason(
         *(
-            (
-                F.contains(
-                    compressed,
-                    F.concat(F.lit(f"|{key}={BOLD_ITALIC}"), nobra, F.lit(BOLD_ITALIC)),
-                ),
-                rank,
-            )
+            (F.contains(compressed, F.concat(F.lit(f"|{key}="), in_bold)), rank)
             for key, rank in TAXOBOX_RANKS.items()
         )
     )
-    last = first_reason(
-        *((bold(key), rank) for key, rank in reversed(TAXOBOX_RANKS.items()))
-    )
+    # The last parameter of the list decides, not the last one of the page.
+    places = F.transform(bold, lambda key: F.array_position(_words(TAXOBOX_RANKS), key))
+    last = F.get(_words(TAXOBOX_RANKS.values()), F.array_max(places).cast("int") - 1)
+
+    def stray(key: str, quotes: str) -> Column:
+        return compressed.contains(f"|'{key}={quotes}")
+
     refined = first_reason(
         *(
-            ((last == base) & stray(key, BOLD_ITALIC), better)
+            (stray(key, BOLD_ITALIC) & (last == base), better)
             for (base, key), better in TAXOBOX_REFINEMENTS.items()
         )
     )
-    species = bold("species") | compressed.contains(f"|binomial={ITALIC}")
+    low = (
+        F.when(stray("varietas", ITALIC) | stray("variety", ITALIC), "Variety")
+        .when(stray("subspecies", ITALIC), "Subspecies")
+        .otherwise(refined)
+    )
+    species = F.array_contains(bold, "species") | compressed.contains(f"|binomial={ITALIC}")
+    genus = F.when(F.array_contains(bold, "genus"), "Genus").otherwise("Species")
     rank = F.coalesce(
-        titled,
-        F.when(stray("varietas", ITALIC) | stray("variety", ITALIC), "Variety"),
-        F.when(stray("subspecies", ITALIC), "Subspecies"),
-        refined,
-        F.when(species & ~bold("genus"), "Species"),
-        F.when(species, "Genus"),
+        F.when(F.contains(compressed, F.concat(F.lit("="), in_bold)), titled),
+        F.when(compressed.contains("|'"), low),
+        F.when(species, genus),
         last,
     )
-    return F.when(compressed.contains("{{taxobox"), rank)
+    return F.when(bold.isNotNull(), rank)
 
 
 def autobox_key(compressed: Column) -> Column:
@@ -285,27 +285,21 @@ def monotypic_category(compressed: Column) -> Column:
 
 
 def is_monotypic_genus(has_category: Column, lead: Column) -> Column:
-    return has_category | contains_any(F.lower(lead), MONOTYPIC_PHRASES)
+    return has_category | any_phrase(F.lower(lead), MONOTYPIC_PHRASES)
 
 
 # ---------------------------------------------------------------- vote
 
 
-def _votes(ranks: list[Column]) -> tuple[list[Column], Column]:
-    """How many ranks equal each rank (0 for null), and the highest such number."""
-    counts = [
-        F.when(r.isNotNull(), sum((F.coalesce((r == o).cast("int"), F.lit(0)) for o in ranks), F.lit(0))).otherwise(0)
-        for r in ranks
-    ]
-    return counts, F.greatest(*counts)
+def modes(votes: Column) -> Column:
+    """Most common ranks of an array without nulls, in order of first appearance."""
 
+    def count(rank: Column) -> Column:
+        return F.size(F.filter(votes, lambda v: v == rank))
 
-def modes(ranks: list[Column]) -> Column:
-    """Most common non-null ranks, in order of first appearance."""
-    counts, top = _votes(ranks)
-    return F.array_distinct(
-        F.array_compact(F.array(*(F.when(n == top, r) for n, r in zip(counts, ranks))))
-    )
+    distinct = F.array_distinct(votes)
+    top = F.array_max(F.transform(distinct, count))
+    return F.filter(distinct, lambda rank: count(rank) == top)
 
 
 def best_rank(mode_list: Column) -> Column:
@@ -334,27 +328,26 @@ AUTOBOX_LEFT = "***** :  AUTOTAXOBOX HAS "
 UNDECIDED = "***** : CAN'T GET BEST RANK"
 
 
-def conflict_rank(mode_list: Column, ranks: list[Column], words: Column) -> Column:
+def conflict_rank(votes: Column, mode_list: Column, autobox: Column, words: Column) -> Column:
     """Rank chosen where the vote has no single winner, null if none can be."""
-    autobox = ranks[-1]
 
     def has(rank: str) -> Column:
-        return sum((F.coalesce((r == rank).cast("int"), F.lit(0)) for r in ranks), F.lit(0)) > 0
+        return F.array_contains(votes, rank)
 
     others = F.array_remove(mode_list, autobox)
-    return (
-        F.when(has("Genus") & has("Species"), F.when(words == 1, "Genus").otherwise("Species"))
-        .when(has("Subspecies") & has("Species"), "Subspecies")
-        .when(has("Variety") & has("Species"), "Variety")
-        .when(has("Species") & (words == 2), "Species")
-        .when(autobox.isNotNull() & (F.size(others) == 1), F.get(others, F.lit(0)))
+    species = (
+        F.when(has("Genus"), F.when(words == 1, "Genus").otherwise("Species"))
+        .when(has("Subspecies"), "Subspecies")
+        .when(has("Variety"), "Variety")
+        .when(words == 2, "Species")
     )
+    left = F.when(F.size(others) == 1, F.get(others, F.lit(0)))
+    return F.coalesce(F.when(has("Species"), species), left)
 
 
-def conflict_error(ranks: list[Column]) -> Column:
-    autobox = ranks[-1]
+def conflict_error(votes: Column, autobox: Column) -> Column:
     return (
-        F.when(F.coalesce(*ranks).isNull(), NO_RANKS)
+        F.when(F.size(votes) == 0, NO_RANKS)
         .when(autobox.isNotNull(), F.concat(F.lit(AUTOBOX_LEFT), autobox))
         .otherwise(UNDECIDED)
     )

@@ -12,6 +12,7 @@ from rankdraft.functions import checks as C
 from rankdraft.functions import ranks as R
 from rankdraft.functions import wikitext as W
 from rankdraft.functions.describe import RANK_COLUMNS, with_description
+from rankdraft.functions.pytext import first_reason
 from rankdraft.operators import lookups as L
 from rankdraft.operators import ordered as O
 from rankdraft.session import is_small
@@ -59,7 +60,8 @@ def page_features(pages: DataFrame, cfg: JobConfig) -> DataFrame:
         "text",
         W.compress_text(text).alias("_tc"),
         W.title_nobra(F.col("title")).alias("_nobra"),
-    ).select(
+    ).withColumn("_bold", R.bold_keys(compressed))
+    featured = featured.select(
         "title",
         "text",
         C.is_redirect(text).alias("redirect"),
@@ -68,7 +70,7 @@ def page_features(pages: DataFrame, cfg: JobConfig) -> DataFrame:
         infoboxes.cast("int").alias("infoboxes"),
         R.monotypic_category(compressed).alias("monotypic_category"),
         R.rank_from_speciesbox(compressed).alias("rank_speciesbox"),
-        R.rank_from_taxobox(F.col("_nobra"), compressed).alias("rank_taxobox"),
+        R.rank_from_taxobox(F.col("_nobra"), compressed, F.col("_bold")).alias("rank_taxobox"),
         R.autobox_key(compressed).alias("autobox_key"),
     )
     return W.with_lead(featured).drop("text")
@@ -87,43 +89,53 @@ MISSING_PAGE = {
 }
 
 
-def judge_titles(titles: DataFrame, tables: WikiTables, cfg: JobConfig) -> DataFrame:
-    """One verdict per title: skipped, failed or a draft, with all it rests on."""
+def with_facts(titles: DataFrame, tables: WikiTables, cfg: JobConfig) -> DataFrame:
+    """Rows with a ``title``, and everything the tables say about it."""
     joined = titles.join(page_features(tables.pages, cfg), "title", "left")
     joined = L.lookup_shortdesc(joined, tables.page_props)
     joined = joined.join(L.category_signals(tables.page_categories), "title", "left")
     joined = L.lookup_wikidata(joined, tables.wikidata)
-    joined = L.lookup_taxonomy(joined, tables.taxonomy)
-    return with_verdict(joined.fillna(MISSING_PAGE), cfg)
+    joined = L.lookup_taxonomy(joined, tables.taxonomy).fillna(MISSING_PAGE)
+    desc, kind = W.existing_shortdesc(F.col("shortdesc"), F.col("has_template"))
+    lead_rank = R.rank_from_lead(F.col("lead"), cfg.name_singular)
+    return joined.select(
+        "*", desc.alias("existing_desc"), kind.alias("existing_type"), lead_rank.alias("rank_lead")
+    )
 
 
-def with_verdict(joined: DataFrame, cfg: JobConfig) -> DataFrame:
-    """Checks and draft of titles that carry all their looked-up values."""
-    desc, kind = W.existing_shortdesc(F.col("shortdesc"), F.col("has_template"))
-    judged = joined.withColumn("existing_desc", desc).withColumn("existing_type", kind)
+def with_verdict(facts: DataFrame, cfg: JobConfig) -> DataFrame:
+    """Add ``skip_reason``, ``ok`` and ``description``, a draft or a coded failure."""
     page = {c: F.col(c) for c in ("title", "redirect", "infobox", "infoboxes")}
     page["kind"] = F.col("existing_type")
-    judged = judged.withColumn("skip_reason", C.skip_reason(C.page_checks(page, cfg)))
     criteria = C.criteria_checks(
         F.col("existing_desc"), F.col("existing_type"), F.col("lead"), F.col("title"), cfg
     )
-    judged = judged.withColumn("criteria_error", C.skip_reason(criteria))
-    judged = judged.withColumn("rank_lead", R.rank_from_lead(F.col("lead"), cfg.name_singular))
-    judged = with_description(judged, cfg)
-    kept = [c for c in ("seq", "title", "n_targets") if c in joined.columns]
-    return judged.select(
-        *kept,
-        "skip_reason",
-        (F.col("criteria_error").isNull() & F.col("gen_ok")).alias("ok"),
-        F.coalesce("criteria_error", "gen_msg").alias("description"),
-        "wikidata_sd",
-        "lead",
-        *RANK_COLUMNS,
-        "modes",
-        "best_rank",
+    checked = facts.withColumn("skip_reason", first_reason(*C.page_checks(page, cfg)))
+    checked = checked.withColumn("criteria_error", first_reason(*criteria))
+    judged = with_description(checked, cfg)
+    ok = F.col("skip_reason").isNull() & F.col("criteria_error").isNull() & F.col("gen_ok")
+    return judged.withColumn("ok", ok).withColumn(
+        "description", F.coalesce("criteria_error", "gen_msg")
     )
 
 
+VERDICT = [
+    "skip_reason",
+    "ok",
+    "description",
+    "wikidata_sd",
+    "lead",
+    *RANK_COLUMNS,
+    "modes",
+    "best_rank",
+]
+
+
+def judge(titles: DataFrame, tables: WikiTables, cfg: JobConfig) -> DataFrame:
+    """One verdict per row with a ``title``."""
+    return with_verdict(with_facts(titles, tables, cfg), cfg).select(*titles.columns, *VERDICT)
+
+
 def judge_targets(
     targets: DataFrame,
     tables: WikiTables,
@@ -133,22 +145,19 @@ def judge_targets(
 ) -> DataFrame:
     """One verdict per target row (seq, title).
 
-    Each title is judged once, however many targets ask for it. A title that is
-    ruled out by itself is not looked up at all.
+    A target list of checked size prunes the tables before their texts are read
+    further. From a longer list, each title is judged once, however many targets
+    ask for it, and a title that is ruled out by itself is not looked up.
     """
-    listed = C.is_list_article(F.col("title"))
-    titles = L.distinct_titles(targets.where(~listed))
     if is_small(targets, prune_titles):
-        tables = tables.pruned(titles)
-    verdicts = judge_titles(titles, tables, cfg)
-    reason = F.when(listed, "Is a list article").otherwise(F.col("skip_reason"))
-    success = F.col("ok") & F.col("skip_reason").isNull()
-    return (
-        L.join_back(targets, verdicts, hot_rows)
-        .withColumn("skip_reason", reason)
-        .withColumn("ok", F.coalesce(success, F.lit(False)))
-        .withColumn("title", W.clean_title(F.col("title")))
-    )
+        verdicts = judge(targets, tables.pruned(targets), cfg)
+    else:
+        listed = C.is_list_article(F.col("title"))
+        titles = L.distinct_titles(targets.where(~listed))
+        reason = F.when(listed, C.LIST_ARTICLE).otherwise(F.col("skip_reason"))
+        verdicts = L.join_back(targets, judge(titles, tables, cfg), hot_rows)
+        verdicts = verdicts.withColumn("skip_reason", reason).fillna({"ok": False})
+    return verdicts.withColumn("title", W.clean_title(F.col("title")))
 
 
 @dataclass(frozen=True)
