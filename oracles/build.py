@@ -590,11 +590,13 @@ ORACLES |= {
     ),
     "rank_vote_relational": statement("SELECT title, rank, votes FROM mode_rows", _default),
     "best_rank_rules": statement(
-        "SELECT title, settled_ok AS ok, settled AS rank FROM ruled WHERE best_rank IS NOT NULL", _default
+        "SELECT title, CASE WHEN best_rank IS NOT NULL THEN settled_ok END AS ok, settled AS rank "
+        "FROM ruled",
+        _default,
     ),
     "conflict_rules": statement(
-        "SELECT title, conflict AS rank, CASE WHEN conflict IS NULL THEN error END AS error "
-        "FROM ruled WHERE best_rank IS NULL",
+        "SELECT title, CASE WHEN best_rank IS NULL THEN conflict END AS rank, "
+        "CASE WHEN best_rank IS NULL AND conflict IS NULL THEN error END AS error FROM ruled",
         _default,
     ),
     "adjust_desc": _adjusted(P.DEFAULT),

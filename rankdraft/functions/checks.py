@@ -21,7 +21,8 @@ def is_list_article(title: Column) -> Column:
 
 
 def is_redirect(text: Column) -> Column:
-    return F.upper(text).contains("#REDIRECT")
+    # The plain search spares pages without the sign the upper-case copy.
+    return text.contains("#") & F.upper(text).contains("#REDIRECT")
 
 
 def has_infobox(text: Column, names: tuple[str, ...]) -> Column:

@@ -15,7 +15,7 @@ from rankdraft.functions.pytext import (
     find_between,
     first_reason,
 )
-from rankdraft.functions.wikitext import first_sentence, normalize_title
+from rankdraft.functions.wikitext import first_sentence
 
 # Category name fragments, first hit wins.
 CATEGORY_RANKS = {
@@ -138,10 +138,16 @@ def rank_from_category(has: Callable[[str], Column]) -> Column:
 # ---------------------------------------------------------------- lead
 
 _IS_A = rf"(?:is|was){SPACE}an?{SPACE}"
-_LOOSE = (
-    rf"(?d)(?:is|are|was|were){SPACE}a"
-    rf"(?:(?!{SPACE}in{SPACE}the).){{0,50}}{SPACE}"
-)
+_IN_THE = f"{SPACE}in{SPACE}the"
+# Stands for "in the": the loose search stops at a line end, and no stem follows it.
+_STOP = "\n'"
+
+
+def _loose(stems: list[str]) -> str:
+    """Stems up to 50 characters behind "is a", "are a", "was a" or "were a"."""
+    either = "|".join(stems)
+    behind = rf"(?<=(?:is|are|was|were){SPACE}a[^\n]{{0,50}})"
+    return f"(?={SPACE}(?:{either})){behind}{SPACE}({either})"
 
 
 def rank_lead_tight(sentence: Column) -> Column:
@@ -161,20 +167,17 @@ def rank_lead_noun(sentence: Column, noun: str) -> Column:
 
 def rank_lead_loose(sentence: Column) -> Column:
     """The rank whose stem follows within a few words; null if several do."""
-    stems = {r: s for r, s in LEAD_STEMS.items() if r not in TIGHT_ONLY}
-    checks = [
-        F.when(F.rlike(sentence, F.lit(_LOOSE + stem)), rank) for rank, stem in stems.items()
-    ]
-    checks += [
-        F.when(F.rlike(sentence, F.lit(_IS_A + LEAD_STEMS[rank])), rank) for rank in TIGHT_ONLY
-    ]
-    found = F.array_compact(F.array(*checks))
-    # One search for all stems spares most leads the search for each.
-    either = "|".join([_LOOSE + f"(?:{'|'.join(stems.values())})"] + [
-        _IS_A + LEAD_STEMS[rank] for rank in TIGHT_ONLY
-    ])
-    only = F.when(F.size(found) == 1, found[0])
-    return F.when(F.rlike(sentence, F.lit(either)), only)
+    loose = [stem for rank, stem in LEAD_STEMS.items() if rank not in TIGHT_ONLY]
+    tight = "|".join(LEAD_STEMS[rank] for rank in TIGHT_ONLY)
+    cut = F.regexp_replace(sentence, _IN_THE, _STOP)
+    found = F.array_distinct(
+        F.concat(
+            F.regexp_extract_all(cut, F.lit(_loose(loose)), F.lit(1)),
+            F.regexp_extract_all(sentence, F.lit(f"{_IS_A}({tight})"), F.lit(1)),
+        )
+    )
+    place = F.array_position(_words(LEAD_STEMS.values()), F.get(found, F.lit(0)))
+    return F.when(F.size(found) == 1, F.get(_words(LEAD_STEMS), place.cast("int") - 1))
 
 
 def rank_from_lead(lead: Column, noun: str) -> Column:
@@ -210,6 +213,14 @@ def bold_keys(compressed: Column) -> Column:
     return F.when(compressed.contains("{{taxobox"), found)
 
 
+def _place_in_taxobox(key: Column) -> Column:
+    return F.array_position(_words(TAXOBOX_RANKS), key)
+
+
+def _taxobox_rank(place: Column) -> Column:
+    return F.get(_words(TAXOBOX_RANKS.values()), place.cast("int") - 1)
+
+
 def rank_from_taxobox(nobra: Column, compressed: Column, bold: Column) -> Column:
     """Rank of a hand-made taxobox, from what it sets in bold italics (``bold_keys``).
 
@@ -218,15 +229,13 @@ def rank_from_taxobox(nobra: Column, compressed: Column, bold: Column) -> Column
     only caseless one-word titles match. Both are part of the results.
     """
     in_bold = F.concat(F.lit(BOLD_ITALIC), nobra, F.lit(BOLD_ITALIC))
-    titled = first_reason(
-        *(
-            (F.contains(compressed, F.concat(F.lit(f"|{key}="), in_bold)), rank)
-            for key, rank in TAXOBOX_RANKS.items()
-        )
+    holding = F.filter(
+        _words(TAXOBOX_RANKS),
+        lambda key: F.contains(compressed, F.concat(F.lit("|"), key, F.lit("="), in_bold)),
     )
+    titled = F.array_min(F.transform(holding, _place_in_taxobox))
     # The last parameter of the list decides, not the last one of the page.
-    places = F.transform(bold, lambda key: F.array_position(_words(TAXOBOX_RANKS), key))
-    last = F.get(_words(TAXOBOX_RANKS.values()), F.array_max(places).cast("int") - 1)
+    last = _taxobox_rank(F.array_max(F.transform(bold, _place_in_taxobox)))
 
     def stray(key: str, quotes: str) -> Column:
         return compressed.contains(f"|'{key}={quotes}")
@@ -245,7 +254,7 @@ def rank_from_taxobox(nobra: Column, compressed: Column, bold: Column) -> Column
     species = F.array_contains(bold, "species") | compressed.contains(f"|binomial={ITALIC}")
     genus = F.when(F.array_contains(bold, "genus"), "Genus").otherwise("Species")
     rank = F.coalesce(
-        F.when(F.contains(compressed, F.concat(F.lit("="), in_bold)), titled),
+        F.when(F.contains(compressed, F.concat(F.lit("="), in_bold)), _taxobox_rank(titled)),
         F.when(compressed.contains("|'"), low),
         F.when(species, genus),
         last,
@@ -253,12 +262,17 @@ def rank_from_taxobox(nobra: Column, compressed: Column, bold: Column) -> Column
     return F.when(bold.isNotNull(), rank)
 
 
-def autobox_key(compressed: Column) -> Column:
-    """Title of the taxonomy template an automatic taxobox points to, or null."""
+def autobox_taxon(compressed: Column) -> Column:
+    """Taxon named by an automatic taxobox, null without one."""
     taxon = find_between(compressed, "taxon=", "|")
-    capital = F.concat(F.upper(F.substring(taxon, 1, 1)), F.substr(taxon, F.lit(2)))
-    key = normalize_title(F.concat(F.lit(TAXONOMY_PREFIX), capital))
-    return F.when(compressed.contains("{{automatictaxobox"), key)
+    return F.when(compressed.contains("{{automatictaxobox"), taxon)
+
+
+def autobox_key(taxon: Column) -> Column:
+    """Title of the taxonomy template of a taxon."""
+    capital = F.upper(F.substring(taxon, 1, 1))
+    title = F.concat(F.lit(TAXONOMY_PREFIX), capital, F.substr(taxon, F.lit(2)))
+    return F.btrim(F.regexp_replace(title, "[ _]+", " "))
 
 
 def taxonomy_rank(compressed: Column) -> Column:

@@ -17,7 +17,7 @@ MIN_SENTENCE = 26
 # The clean-up patterns of the lead act on this many matches, not on all.
 MATCH_LIMIT = 8
 
-HEADING = r"(?md)^=+[^=\n].*=[ \t]*$"
+HEADING = r"=+[^=\n].*=[ \t]*"
 TRAILING_CATEGORIES = (
     r"(?i)\[\[\s*+category\s*+:[^\]\[]*+\]\]\s*+"
     r"(?:\[\[\s*+category\s*+:[^\]\[]*+\]\]\s*+)*+\z"
@@ -94,10 +94,20 @@ def lead_section(text: Column) -> Column:
     """Text before the first heading.
 
     On a page without headings the category links at the end are not part of it.
+    Nearly always the first line that starts with "=" is a heading, which a plain
+    search finds; only other pages are searched by a regex.
     """
-    parts = F.split(text, HEADING, 2)
+    before = F.substring_index(text, "\n=", 1)
+    line = F.substring_index(F.substr(text, F.length(before) + 2), "\n", 1)
+    parts = F.split(text, f"(?md)^{HEADING}$", 2)
     whole = F.regexp_replace(text, TRAILING_CATEGORIES, "")
-    return F.when(F.size(parts) > 1, parts[0]).otherwise(whole)
+    searched = F.when(F.size(parts) > 1, parts[0]).otherwise(whole)
+    return (
+        F.when(text.startswith("="), searched)
+        .when(~text.contains("\n="), whole)
+        .when(F.rlike(line, F.lit(rf"(?d)\A{HEADING}\z")), F.concat(before, F.lit("\n")))
+        .otherwise(searched)
+    )
 
 
 def _tokens(c: Column, opening: str, closing: str) -> Column:

@@ -42,7 +42,8 @@ def category_closure(links: DataFrame, root: str, recurse: bool = True) -> tuple
     while recurse:
         children = children_of(edges, frontier, n_frontier)
         fresh = children.select(F.col("child").alias("category")).distinct()
-        frontier = durable(fresh.join(seen, "category", "left_anti"))
+        known = F.broadcast(seen) if n_seen <= BROADCAST_ROWS else seen
+        frontier = durable(fresh.join(known, "category", "left_anti"))
         n_frontier = frontier.count()
         if n_frontier == 0:
             break

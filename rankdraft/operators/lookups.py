@@ -114,10 +114,12 @@ def page_props_from_json(responses: DataFrame, column: str = "response") -> Data
     )
 
 
-def with_existing_shortdesc(df: DataFrame) -> DataFrame:
-    """Add ``existing_desc`` and ``existing_type`` from ``shortdesc`` and ``text``."""
-    desc, kind = existing_shortdesc(F.col("shortdesc"), has_shortdesc_template(F.col("text")))
-    return df.withColumn("existing_desc", desc).withColumn("existing_type", kind)
+def lookup_existing(titles: DataFrame, pages: DataFrame, page_props: DataFrame) -> DataFrame:
+    """Titles with ``existing_desc`` and ``existing_type``; no text is shuffled."""
+    manual = pages.select("title", has_shortdesc_template(F.col("text")).alias("_manual"))
+    found = lookup_shortdesc(titles.join(manual, "title", "left"), page_props)
+    desc, kind = existing_shortdesc(F.col("shortdesc"), F.coalesce("_manual", F.lit(False)))
+    return found.select(*titles.columns, desc.alias("existing_desc"), kind.alias("existing_type"))
 
 
 def english_descriptions(wikidata: DataFrame) -> DataFrame:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def modes_by_rows(rows: DataFrame, rank_columns: list[str]) -> DataFrame:
     """(title, rank, votes): the most common non-null ranks of each title.
 
-    Grouping on title and rank counts map-side, and a title has no more ranks than
-    there are sources, so the second grouping is small as well.
+    Counting per title and rank combines map-side. The window then sees at most one
+    row per known rank of a title.
     """
     ranks = F.explode(F.array_compact(F.array(*rank_columns))).alias("rank")
     votes = rows.select("title", ranks).groupBy("title", "rank").agg(F.count("*").alias("votes"))
-    top = votes.groupBy("title").agg(F.max("votes").alias("votes"))
-    return votes.join(top, ["title", "votes"]).select("title", "rank", "votes")
+    place = F.rank().over(Window.partitionBy("title").orderBy(F.desc("votes")))
+    return votes.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")

@@ -60,7 +60,11 @@ def page_features(pages: DataFrame, cfg: JobConfig) -> DataFrame:
         "text",
         W.compress_text(text).alias("_tc"),
         W.title_nobra(F.col("title")).alias("_nobra"),
-    ).withColumn("_bold", R.bold_keys(compressed))
+    ).select(
+        "*",
+        R.bold_keys(compressed).alias("_bold"),
+        R.autobox_taxon(compressed).alias("_taxon"),
+    )
     featured = featured.select(
         "title",
         "text",
@@ -71,9 +75,10 @@ def page_features(pages: DataFrame, cfg: JobConfig) -> DataFrame:
         R.monotypic_category(compressed).alias("monotypic_category"),
         R.rank_from_speciesbox(compressed).alias("rank_speciesbox"),
         R.rank_from_taxobox(F.col("_nobra"), compressed, F.col("_bold")).alias("rank_taxobox"),
-        R.autobox_key(compressed).alias("autobox_key"),
+        R.autobox_key(F.col("_taxon")).alias("autobox_key"),
     )
-    return W.with_lead(featured).drop("text")
+    lead_rank = R.rank_from_lead(F.col("lead"), cfg.name_singular)
+    return W.with_lead(featured).drop("text").withColumn("rank_lead", lead_rank)
 
 
 # What missing rows look like: a page with empty text, no item, no category.
@@ -97,10 +102,7 @@ def with_facts(titles: DataFrame, tables: WikiTables, cfg: JobConfig) -> DataFra
     joined = L.lookup_wikidata(joined, tables.wikidata)
     joined = L.lookup_taxonomy(joined, tables.taxonomy).fillna(MISSING_PAGE)
     desc, kind = W.existing_shortdesc(F.col("shortdesc"), F.col("has_template"))
-    lead_rank = R.rank_from_lead(F.col("lead"), cfg.name_singular)
-    return joined.select(
-        "*", desc.alias("existing_desc"), kind.alias("existing_type"), lead_rank.alias("rank_lead")
-    )
+    return joined.select("*", desc.alias("existing_desc"), kind.alias("existing_type"))
 
 
 def with_verdict(facts: DataFrame, cfg: JobConfig) -> DataFrame:

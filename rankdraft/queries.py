@@ -208,7 +208,7 @@ def page_category_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lookup_taxonomy")
 def lookup_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    keyed = c.pages.select("title", R.autobox_key(W.compress_text(F.col("text"))).alias("autobox_key"))
+    keyed = c.pages.select("title", R.autobox_key(R.autobox_taxon(W.compress_text(F.col("text")))).alias("autobox_key"))
     return L.lookup_taxonomy(keyed, c.taxonomy)
 
 
@@ -237,9 +237,8 @@ def _facts(spark: SparkSession, sf_dir: str, cfg: JobConfig = P.DEFAULT) -> Data
 @query("existing_shortdesc")
 def existing_shortdesc(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    pages = L.lookup_pages(L.with_key(c.targets, "raw_title"), c.pages)
-    found = L.with_existing_shortdesc(L.lookup_shortdesc(pages, c.page_props))
-    return found.select("title", "existing_desc", "existing_type")
+    titles = L.with_key(c.targets, "raw_title").select("title")
+    return L.lookup_existing(titles, c.pages, c.page_props)
 
 
 @query("filter_list_articles")
@@ -452,19 +451,24 @@ def _voted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("best_rank_rules")
 def best_rank_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of the winner of each vote; null where there is none."""
     rows = _voted(spark, sf_dir).withColumn("best", R.best_rank(F.col("modes")))
     monotypic = R.is_monotypic_genus(F.col("monotypic_category"), F.col("lead"))
     ok, rank = R.settled_rank(F.col("best"), F.col("words") == 1, monotypic)
-    return rows.where(F.col("best").isNotNull()).select("title", ok.alias("ok"), rank.alias("rank"))
+    settled = F.when(F.col("best").isNotNull(), ok)
+    return rows.select("title", settled.alias("ok"), rank.alias("rank"))
 
 
 @query("conflict_rules")
 def conflict_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _voted(spark, sf_dir).where(F.size("modes") != 1)
-    autobox = F.col("rank_autobox")
+    """What becomes of each vote without a winner; null where there is one."""
+    rows = _voted(spark, sf_dir)
+    autobox, open_vote = F.col("rank_autobox"), F.size("modes") != 1
     rank = R.conflict_rank(F.col("votes"), F.col("modes"), autobox, F.col("words"))
     error = R.conflict_error(F.col("votes"), autobox)
-    rows = rows.select("title", rank.alias("rank"), error.alias("error"))
+    rows = rows.select(
+        "title", F.when(open_vote, rank).alias("rank"), F.when(open_vote, error).alias("error")
+    )
     return rows.withColumn("error", F.when(F.col("rank").isNull(), F.col("error")))
 
 

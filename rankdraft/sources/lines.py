@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankdraft.session import durable
+
 # Line ends of Python's str.splitlines() that Spark's text source does not cut at.
 MORE_LINE_ENDS = r"[\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -13,9 +15,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, line) of all text files below a path, numbered from 0 in file order.
 
     A split knows its file and offset, so a line's number is its place in the split
-    plus the lines of all earlier splits; no line moves to get its number.
+    plus the lines of all earlier splits; no line moves to get its number. Places
+    are checkpointed first, because another scan may cut the files differently.
     """
-    lines = (
+    lines = durable(
         spark.read.text(path)
         .select(
             F.col("_metadata.file_path").alias("_file"),
