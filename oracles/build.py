@@ -22,6 +22,7 @@ from oracles.text_sql import (
 from rankdraft import profiles as P
 from rankdraft.config import JobConfig
 from rankdraft.corpus import CTES, ROOT_CATEGORY
+from rankdraft.sinks.staging import EXAMPLE_HEADER
 
 RANKS = ["rank_category", "rank_lead", "rank_speciesbox", "rank_taxobox", "rank_autobox"]
 TABLES = {**CTES, **LEAD_CTES, "taxonomy": R.TAXONOMY_CTE}
@@ -620,11 +621,7 @@ for _name, _cfg in {
 }.items():
     ORACLES[_name] = statement(_STAGED, chain(_cfg))
 
-_HEADER = (
-    "The bot does not use the item description in any way. It is listed here for reference only\n"
-    '{| class="wikitable"\n|+\ndescbot proposed short descriptions\n'
-    "!Article\n!Proposed SD\n!(Wikidata SD)\n!Opening words of the lead\n"
-)
+_HEADER = EXAMPLE_HEADER.format(bot="descbot")
 ORACLES |= {
     "stage_pipeline_distinct": statement(
         "SELECT 2 * n - 1 + b AS n, title, description, wikidata_sd, lead, ok, code FROM staged, "

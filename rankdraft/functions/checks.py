@@ -82,12 +82,15 @@ def override_checks(desc: Column, kind: Column, cfg: JobConfig, mark: str) -> li
         cfg.existing_desc_required_words,
         cfg.existing_desc_excluded_words,
         mark + "Required word missing from existing SD - ",
-        mark + ("Excluded word present in existing SD - "),
+        mark + "Excluded word present in existing SD - ",
     )
     return [(override & cond, text) for cond, text in checks]
 
 
 FAILED = "**** "
+NO_EDIT = "NO EDIT MADE: "
+NOW_MANUAL = NO_EDIT + "Page now has a manual description"
+MISMATCH = "ERROR: title mismatch"
 
 
 def lead_checks(lead: Column, title: Column, cfg: JobConfig) -> list[Check]:
@@ -126,12 +129,12 @@ def edit_checks(page: dict[str, Column], cfg: JobConfig) -> list[Check]:
     Keys kind, existing, redirect, exists, blank, description, bots_ok, title,
     page_title.
     """
-    no_edit = "NO EDIT MADE: "
+    no_edit = NO_EDIT
     checks = _kind_checks(
         page["kind"],
         cfg,
         {
-            "manual": no_edit + "Page now has a manual description",
+            "manual": NOW_MANUAL,
             "embedded": no_edit + "Page now has an embedded description",
         },
     )
@@ -151,8 +154,6 @@ def edit_checks(page: dict[str, Column], cfg: JobConfig) -> list[Check]:
     ]
 
 
-MISMATCH = "ERROR: title mismatch"
-
 BOTS_TEMPLATE = r"(?s)\{\{\s*((?:[Nn]ob|[Bb])ots)\s*((?:\|[^{}]*)?)\}\}"
 
 

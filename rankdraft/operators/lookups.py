@@ -18,9 +18,9 @@ from rankdraft.session import BROADCAST_ROWS, is_small
 
 # A title asked for by more rows than this is spread over SALTS tasks.
 HOT_ROWS = 1_000_000
-# Lookup tables are pruned by the list of titles up to this many (titles have at
-# most 255 bytes). A longer list covers much of the tables anyway.
-PRUNE_TITLES = 500_000
+# Tables are pruned by the hashes of up to this many titles, about 120 MB once
+# broadcast. A longer list covers much of the tables anyway.
+PRUNE_TITLES = 2_000_000
 SALTS = 32
 
 
@@ -92,8 +92,14 @@ def lookup_pages(targets: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def only_titles(table: DataFrame, titles: DataFrame) -> DataFrame:
-    """Rows of a table whose title is in a list of checked size; nothing is shuffled."""
-    return table.join(F.broadcast(titles.select("title")), "title", "left_semi")
+    """Rows of a table whose title may be in a list of checked size.
+
+    Hashes of the titles are broadcast, so nothing is shuffled. Titles that share a
+    hash by chance stay in; the join that follows compares the titles themselves.
+    """
+    hashes = titles.select(F.xxhash64("title").alias("_hash"))
+    keyed = table.withColumn("_hash", F.xxhash64("title"))
+    return keyed.join(F.broadcast(hashes), "_hash", "left_semi").drop("_hash")
 
 
 def lookup_shortdesc(titles: DataFrame, page_props: DataFrame) -> DataFrame:

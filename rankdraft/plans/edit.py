@@ -101,6 +101,22 @@ def decide(
     )
 
 
+def one_edit_per_page(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edits, other rows): a page is edited by its first row, later rows are skipped.
+
+    The first row of a title is an aggregate, so a title with any number of rows is
+    combined map-side.
+    """
+    open_rows = decisions.where(F.col("reason").isNull())
+    others = [c for c in decisions.columns if c != "title"]
+    first = F.min_by(F.struct(*others), F.col("seq")).alias("row")
+    edits = open_rows.groupBy("title").agg(first).select("title", "row.*")
+    late = open_rows.join(edits.select("title", "seq"), ["title", "seq"], "left_anti")
+    late = late.withColumn("reason", F.lit(C.NOW_MANUAL)).select(decisions.columns)
+    skipped = decisions.where(F.col("reason").isNotNull()).unionByName(late)
+    return edits.select(decisions.columns), skipped
+
+
 def plan_edits(
     staged: DataFrame,
     pages: DataFrame,
@@ -112,48 +128,41 @@ def plan_edits(
     """The edit plan: every staged row with its status and, for edits, the new text.
 
     Decisions are taken on narrow rows first. Only pages that will be edited are
-    read in full, and where the list of edits has a checked size their text is not
-    shuffled.
+    read in full, and where the list of edits has a checked size only their text, or
+    none, is shuffled.
     """
     decisions = durable(decide(staged, pages, page_props, cfg, prune_titles))
     if cfg.on_mismatch == "fail" and not decisions.where(F.col("reason") == C.MISMATCH).isEmpty():
         raise ValueError("a staged title is not the title of its page")
+    edits, skipped = one_edit_per_page(decisions)
+
     kind = F.col("existing_type")
     action = (
         F.when(kind.isNull(), "add").when(kind == "embedded", "override").otherwise("replace")
     )
-    decided = decisions.withColumn("action", F.when(F.col("reason").isNull(), action))
-    edits = decided.where(F.col("reason").isNull())
-    if is_small(edits, broadcast_rows):
+    edits = edits.withColumn("action", action)
+    texts = pages.select("title", "text")
+    n_edits = decisions.where(F.col("reason").isNull()).count()
+    if n_edits <= broadcast_rows:
         edits = F.broadcast(edits)
-    new_text = F.when(
-        F.col("action") == "replace",
-        W.rewrite_replace(F.col("text"), F.col("description"), F.col("existing_desc")),
-    ).otherwise(W.rewrite_add(F.col("text"), F.col("description")))
-    rewritten = pages.select("title", "text").join(edits, "title").withColumn("new_text", new_text)
+    elif n_edits <= prune_titles:
+        texts = L.only_titles(texts, edits)
+    replaced = W.rewrite_replace(F.col("text"), F.col("description"), F.col("existing_desc"))
+    new_text = F.when(F.col("action") == "replace", replaced).otherwise(
+        W.rewrite_add(F.col("text"), F.col("description"))
+    )
+    rewritten = texts.join(edits, "title").withColumn("new_text", new_text).drop("text")
     found = F.col("new_text").isNotNull()
-    rewritten = rewritten.withColumn("status", F.when(found, "success").otherwise("error"))
-    rewritten = rewritten.withColumn("reason", F.when(~found, NO_TEMPLATE))
-    status = F.when(F.col("reason") == C.MISMATCH, "error").otherwise("skipped")
-    kept = decided.where(F.col("reason").isNotNull()).withColumn("status", status)
-    kept = kept.withColumn("new_text", F.lit(None).cast("string"))
-    columns = [
-        "seq",
-        "title",
-        "description",
-        "existing_desc",
-        "existing_type",
-        "action",
-        "status",
-        "reason",
-        "new_text",
-    ]
     summary_text = edit_summary_text(
         F.col("action"), F.col("description"), F.col("existing_desc"), cfg
     )
-    plan = rewritten.select(columns).unionByName(kept.select(columns))
-    shown = F.when(F.col("status") == "success", summary_text)
-    return plan.withColumn("edit_summary", shown)
+    rewritten = (
+        rewritten.withColumn("status", F.when(found, "success").otherwise("error"))
+        .withColumn("reason", F.when(~found, NO_TEMPLATE))
+        .withColumn("edit_summary", F.when(found, summary_text))
+    )
+    failed = F.when(F.col("reason") == C.MISMATCH, "error").otherwise("skipped")
+    return rewritten.unionByName(skipped.withColumn("status", failed), allowMissingColumns=True)
 
 
 def edit_log(plan: DataFrame) -> DataFrame:

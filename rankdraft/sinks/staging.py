@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from rankdraft.config import JobConfig
 from rankdraft.functions.pytext import percent
 
+# Fixed value: top of the example page.
+EXAMPLE_HEADER = """The bot does not use Wikidata's short description in any way. \
+It is listed here for reference only
+{{| class="wikitable"
+|+
+{bot} proposed short descriptions
+!Article
+!Proposed SD
+!(Wikidata SD)
+!Opening words of the lead
+"""
 STAGED_COLUMNS = ["n", "title", "description", "wikidata_sd", "lead"]
 
 
@@ -32,12 +43,15 @@ def staging_name(cfg: JobConfig, successes: int, articles: int, now: datetime.da
 
 
 def write_staging(staged: DataFrame, folder: str, cfg: JobConfig, now: datetime.datetime) -> str | None:
-    """Write the reviewable TSV as a folder of text parts in order; None if empty."""
+    """Write the reviewable TSV as a folder of text parts; None if there are no rows.
+
+    The parts are in input order, because the staged rows are.
+    """
     counts = staged.agg(F.count("*").alias("articles"), F.count_if("ok").alias("successes")).first()
     if counts["articles"] == 0:
         return None
     path = f"{folder}/{staging_name(cfg, counts['successes'], counts['articles'], now)}"
-    staging_lines(staged.orderBy("n")).write.text(path)
+    staging_lines(staged).write.text(path)
     return path
 
 
@@ -60,15 +74,9 @@ def example_rows(successes: DataFrame, cfg: JobConfig) -> DataFrame:
 
 def example_report(successes: DataFrame, cfg: JobConfig) -> DataFrame:
     """The example page as one text; no row when there is no draft."""
-    header = (
-        "The bot does not use the item description in any way. It is listed here for "
-        'reference only\n{| class="wikitable"\n|+\n'
-        f"{cfg.bot_user} proposed short descriptions\n"
-        "!Article\n!Proposed SD\n!(Wikidata SD)\n!Opening words of the lead\n"
-    )
     rows = F.expr("listagg(row, '') WITHIN GROUP (ORDER BY success_no)")
     report = example_rows(successes, cfg).agg(rows.alias("rows"))
-    text = F.concat(F.lit(header), F.col("rows"), F.lit("|}"))
+    text = F.concat(F.lit(EXAMPLE_HEADER.format(bot=cfg.bot_user)), F.col("rows"), F.lit("|}"))
     return report.where(F.col("rows").isNotNull()).select(text.alias("report"))
 
 

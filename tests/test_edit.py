@@ -1,3 +1,4 @@
+import datetime
 import glob
 
 import pytest
@@ -5,8 +6,10 @@ from pyspark.sql import functions as F
 
 from rankdraft import profiles as P
 from rankdraft.config import JobConfig
+from rankdraft.corpus import ROOT_CATEGORY, Corpus
 from rankdraft.functions import checks as C
 from rankdraft.plans import edit as E
+from rankdraft.run import run_edit, run_stage, runner
 
 PAGES = [
     ("A", "Text of A"),
@@ -19,7 +22,7 @@ PAGES = [
     ("I", "{{Short description|Same}}\nText"),
 ]
 PROPS = [("B", "Old"), ("C", "Box"), ("H", "Old"), ("I", "Same")]
-STAGED = [(t, "Genus of algae") for t in "ABCDEFGH"] + [("I", "Same"), ("A", "*** : x"), ("a", "x")]
+STAGED = [(t, "Genus of algae") for t in "ABCDEFGH"] + [("I", "Same"), ("A", "*** : x"), ("a", "x"), ("A", "Twice")]
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +53,7 @@ def test_default_policy(tables):
         8: (None, "skipped", no + "Page now has a manual description"),
         9: (None, "skipped", no + 'Description starts with "*"'),
         10: (None, "error", C.MISMATCH),
+        11: (None, "skipped", no + "Page now has a manual description"),
     }
 
 
@@ -72,16 +76,18 @@ def test_replacing_policy(tables):
     lines = {r["seq"]: r["line"] for r in E.edit_log(plan).collect()}
     assert lines[0] == "A\tGenus of algae" and lines[7] == "H\t FAILED: Genus of algae"
     summary = E.edit_summary(plan).first()
-    assert (summary["targets"], summary["success"], summary["failure"], summary["skipped"]) == (5, 3, 2, 6)
+    assert (summary["targets"], summary["success"], summary["failure"], summary["skipped"]) == (5, 3, 2, 7)
 
 
 def test_sizes_do_not_change_the_plan(tables):
     small = E.plan_edits(*tables, P.REPLACE)
     large = E.plan_edits(*tables, P.REPLACE, broadcast_rows=0, prune_titles=0)
     columns = small.columns
-    assert sorted(map(str, small.select(columns).collect())) == sorted(
-        map(str, large.select(columns).collect())
-    )
+    pruned = E.plan_edits(*tables, P.REPLACE, broadcast_rows=0)
+    whole = sorted(map(str, small.select(columns).collect()))
+    assert len(whole) == len(STAGED)
+    for other in (large, pruned):
+        assert sorted(map(str, other.select(columns).collect())) == whole
 
 
 def test_mismatch_can_stop_the_run(tables):
@@ -114,3 +120,22 @@ def test_logs(tmp_path, tables):
     assert E.log_name(person, "success", 1, "x") == "someone non-bot log_success (1) x.tsv"
     E.write_plan(plan, str(tmp_path / "plan"))
     assert glob.glob(str(tmp_path / "plan" / "status=success"))
+
+
+def test_runs_from_file_to_file(spark, tmp_path):
+    corpus = Corpus(spark, "/root/testdata/sf0.001")
+    now = datetime.datetime(2026, 1, 2, 3, 4)
+    base = str(tmp_path / "targets")
+    corpus.targets.orderBy("seq").selectExpr("concat_ws('\t', seq, raw_title) AS value").write.text(base)
+    cfg = JobConfig(base_file=base, write_examples=True, max_examples=2, mode_flag="stage")
+    assert runner(cfg) is run_stage and runner(JobConfig()) is run_edit
+    staged = run_stage(spark, cfg, corpus.tables, str(tmp_path), now)
+    assert staged.summary.first()["success"] == 43
+    assert staged.examples.count() == 1
+    edited = run_edit(spark, cfg, corpus.pages, corpus.page_props, str(tmp_path), now, staged.files[0])
+    row = edited.summary.first()
+    assert row["success"] + row["failure"] + row["skipped"] == 77
+    assert [f.split("/")[-1].split(" ")[0] for f in edited.files] == ["edit_plan", "log_success"]
+    by_category = JobConfig(use_basefile=False, targetcat=ROOT_CATEGORY)
+    staged = run_stage(spark, by_category, corpus.tables, str(tmp_path / "c"), now, corpus.links)
+    assert staged.summary.first()["targets"] > 0
