@@ -5,61 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankdraft.session import BROADCAST_ROWS, durable
+from rankdraft.operators.lookups import salted_semi_join
+from rankdraft.session import BROADCAST_BYTES, durable, fits_broadcast
 
 ARTICLE, CATEGORY = 0, 14
-SALTS = 32
 
 
 def children_of(
-    links: DataFrame, parents: DataFrame, n_parents: int, broadcast_rows: int = BROADCAST_ROWS
+    links: DataFrame, parents: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Links whose parent is listed; ``parents`` is distinct in column ``category``.
+    """Links whose parent is listed; ``parents`` is a finished, distinct ``category`` list.
 
-    One parent may hold a large share of the links. A short list is broadcast, so
-    links are not shuffled; otherwise links are spread over salts.
+    One parent may hold a large share of the links. A list of checked size is
+    broadcast, so links are not shuffled; otherwise links are spread over salts.
     """
-    if n_parents <= broadcast_rows:
-        listed = F.broadcast(parents)
-        return links.join(listed, links["parent"] == listed["category"], "left_semi")
-    salted = links.withColumn("_salt", F.pmod(F.xxhash64("child"), F.lit(SALTS)).cast("int"))
-    listed = parents.select(
-        F.col("category").alias("parent"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
-    )
-    return salted.join(listed, ["parent", "_salt"], "left_semi").drop("_salt")
+    listed = parents.select(F.col("category").alias("parent"))
+    if fits_broadcast(parents, broadcast_bytes):
+        return links.join(F.broadcast(listed), "parent", "left_semi")
+    return salted_semi_join(links, listed, "parent", spread_by="child")
 
 
-def category_closure(links: DataFrame, root: str, recurse: bool = True) -> tuple[DataFrame, int]:
-    """Distinct categories reachable from a root, and how many; cycles are harmless.
+def category_closure(
+    links: DataFrame, root: str, recurse: bool = True, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Distinct categories reachable from a root; cycles are harmless.
 
     One round per level of the tree. Each level is checkpointed, so a round reads
     finished tables only.
     """
-    seen = durable(links.sparkSession.createDataFrame([(root,)], "category string"))
-    frontier, n_frontier, n_seen = seen, 1, 1
+    spark = links.sparkSession
+    seen = frontier = durable(spark.createDataFrame([(root,)], "category string"))
     edges = links.where(F.col("child_ns") == CATEGORY).select("parent", "child")
     while recurse:
-        children = children_of(edges, frontier, n_frontier)
+        children = children_of(edges, frontier, broadcast_bytes)
         fresh = children.select(F.col("child").alias("category")).distinct()
-        known = F.broadcast(seen) if n_seen <= BROADCAST_ROWS else seen
-        frontier = durable(fresh.join(known, "category", "left_anti"))
-        n_frontier = frontier.count()
-        if n_frontier == 0:
+        frontier = durable(fresh.join(seen, "category", "left_anti"))
+        if frontier.isEmpty():
             break
         # The union lists finished tables, one per level.
         seen = seen.unionByName(frontier)
-        n_seen += n_frontier
-    return seen, n_seen
+    return seen
 
 
 def category_members(
-    links: DataFrame, root: str, recurse: bool = True, broadcast_rows: int = BROADCAST_ROWS
+    links: DataFrame, root: str, recurse: bool = True, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Distinct titles of the articles in a category and, if asked, below it."""
-    categories, n = category_closure(links, root, recurse)
+    categories = category_closure(links, root, recurse, broadcast_bytes)
     articles = links.where(F.col("child_ns") == ARTICLE).select("parent", "child")
-    found = children_of(articles, categories, n, broadcast_rows)
+    found = children_of(articles, categories, broadcast_bytes)
     return found.select(F.col("child").alias("title")).distinct()
 
 
@@ -69,4 +63,5 @@ def targets_from_category(links: DataFrame, root: str, recurse: bool = True) ->
     ``seq`` grows with the title but has gaps.
     """
     ordered = durable(category_members(links, root, recurse).orderBy("title"))
-    return ordered.select(F.monotonically_increasing_id().alias("seq"), F.col("title").alias("raw_title"))
+    seq = F.monotonically_increasing_id().alias("seq")
+    return ordered.select(seq, F.col("title").alias("raw_title"))

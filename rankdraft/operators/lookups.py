@@ -14,7 +14,7 @@ from rankdraft.functions.describe import EXTINCT_CATEGORIES
 from rankdraft.functions.pytext import contains_any
 from rankdraft.functions.wikitext import compress_text, existing_shortdesc, has_shortdesc_template
 from rankdraft.functions.wikitext import normalize_title
-from rankdraft.session import BROADCAST_ROWS, is_small
+from rankdraft.session import BROADCAST_BYTES, fits_broadcast
 
 # A title asked for by more rows than this is spread over SALTS tasks.
 HOT_ROWS = 1_000_000
@@ -43,6 +43,15 @@ def salted_left_join(
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
+def salted_semi_join(
+    left: DataFrame, keys: DataFrame, key: str, spread_by: str, salts: int = SALTS
+) -> DataFrame:
+    """Rows whose key is in a distinct list; rows of one key are spread over tasks."""
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    copies = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    return left.withColumn("_salt", salt).join(copies, [key, "_salt"], "left_semi").drop("_salt")
+
+
 def distinct_titles(targets: DataFrame) -> DataFrame:
     """(title, n_targets): each title once, with the number of rows asking for it."""
     return targets.groupBy("title").agg(F.count("*").alias("n_targets"))
@@ -154,6 +163,18 @@ def visible_categories(page_categories: DataFrame) -> DataFrame:
     )
 
 
+def lookup_categories(titles: DataFrame, page_categories: DataFrame) -> DataFrame:
+    """(title, category) of each distinct title; a null category where it has none.
+
+    The list of a page stays rows, so a page may have any number of categories.
+    """
+    asked = titles.select("title").distinct()
+    visible = visible_categories(page_categories)
+    found = salted_semi_join(visible, asked, "title", spread_by="category")
+    without = asked.join(visible.select("title").distinct(), "title", "left_anti")
+    return found.unionByName(without, allowMissingColumns=True)
+
+
 def category_signals(page_categories: DataFrame) -> DataFrame:
     """What the visible categories of each title say: ``rank_category``, ``category_extinct``.
 
@@ -200,7 +221,7 @@ def parse_taxonomy(taxonomy: DataFrame) -> DataFrame:
 
 
 def lookup_taxonomy(
-    pages: DataFrame, taxonomy: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    pages: DataFrame, taxonomy: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Add ``rank_autobox`` and ``autobox_extinct`` by ``autobox_key``.
 
@@ -208,7 +229,7 @@ def lookup_taxonomy(
     beyond it pages are spread over salts.
     """
     parsed = parse_taxonomy(taxonomy)
-    if is_small(taxonomy, broadcast_rows):
+    if fits_broadcast(taxonomy.select("title"), broadcast_bytes):
         found = pages.join(F.broadcast(parsed), "autobox_key", "left")
     else:
         found = salted_left_join(pages, parsed, "autobox_key", spread_by="title")

@@ -10,7 +10,7 @@ from rankdraft.functions import checks as C
 from rankdraft.functions import wikitext as W
 from rankdraft.functions.pytext import first_reason
 from rankdraft.operators import lookups as L
-from rankdraft.session import BROADCAST_ROWS, durable, is_small
+from rankdraft.session import BROADCAST_BYTES, durable, fits_broadcast
 from rankdraft.sinks.staging import summary
 
 # Link text of edit summaries.
@@ -65,7 +65,7 @@ def decide(
     keyed = staged.withColumn("page_title", W.normalize_title(F.col("title")))
     features = edit_features(pages, cfg)
     titles = keyed.groupBy(F.col("page_title").alias("title")).agg(F.count("*").alias("n_targets"))
-    if is_small(staged, prune_titles):
+    if staged.count() <= prune_titles:
         features = edit_features(L.only_titles(pages, titles), cfg)
         page_props = L.only_titles(page_props, titles)
     facts = (
@@ -122,7 +122,7 @@ def plan_edits(
     pages: DataFrame,
     page_props: DataFrame,
     cfg: JobConfig,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     prune_titles: int = L.PRUNE_TITLES,
 ) -> DataFrame:
     """The edit plan: every staged row with its status and, for edits, the new text.
@@ -142,10 +142,10 @@ def plan_edits(
     )
     edits = edits.withColumn("action", action)
     texts = pages.select("title", "text")
-    n_edits = decisions.where(F.col("reason").isNull()).count()
-    if n_edits <= broadcast_rows:
+    open_rows = decisions.where(F.col("reason").isNull())
+    if fits_broadcast(open_rows, broadcast_bytes):
         edits = F.broadcast(edits)
-    elif n_edits <= prune_titles:
+    elif open_rows.count() <= prune_titles:
         texts = L.only_titles(texts, edits)
     replaced = W.rewrite_replace(F.col("text"), F.col("description"), F.col("existing_desc"))
     new_text = F.when(F.col("action") == "replace", replaced).otherwise(

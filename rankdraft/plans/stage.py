@@ -15,7 +15,6 @@ from rankdraft.functions.describe import RANK_COLUMNS, with_description
 from rankdraft.functions.pytext import first_reason
 from rankdraft.operators import lookups as L
 from rankdraft.operators import ordered as O
-from rankdraft.session import is_small
 
 # Targets that are tried first when a limit is set.
 MIN_STRETCH = 10_000
@@ -147,11 +146,11 @@ def judge_targets(
 ) -> DataFrame:
     """One verdict per target row (seq, title).
 
-    A target list of checked size prunes the tables before their texts are read
+    A target list of checked length prunes the tables before their texts are read
     further. From a longer list, each title is judged once, however many targets
     ask for it, and a title that is ruled out by itself is not looked up.
     """
-    if is_small(targets, prune_titles):
+    if targets.count() <= prune_titles:
         verdicts = judge(targets, tables.pruned(targets), cfg)
     else:
         listed = C.is_list_article(F.col("title"))

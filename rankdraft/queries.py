@@ -199,10 +199,9 @@ def lookup_wikidata_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("page_category_array")
 def page_category_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The category list of each page as rows, so no page's list is ever collected."""
+    """The category list of each page, one row per category."""
     c = Corpus(spark, sf_dir)
-    titles = _targets(spark, sf_dir).select("title")
-    return titles.join(L.visible_categories(c.page_categories), "title", "left")
+    return L.lookup_categories(_targets(spark, sf_dir), c.page_categories)
 
 
 @query("lookup_taxonomy")

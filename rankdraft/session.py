@@ -7,9 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of the narrow tables this engine broadcasts (a title and a few short
-# values, well under 400 bytes), so at most about 80 MB.
-BROADCAST_ROWS = 200_000
+# Largest table this engine broadcasts, counted as string bytes plus ROW_BYTES a row.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 64
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,16 +36,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows.
-
-    Call it on scans and checkpoints: counting a parquet table reads footers only.
-    """
-    return df.count() <= rows
+def table_bytes(df: DataFrame) -> int:
+    """Size of a narrow table once broadcast; call it on scans and checkpoints."""
+    strings = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
+    row = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(ROW_BYTES))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if is_small(df, rows) else df
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    return table_bytes(df) <= limit
 
 
 def spread(df: DataFrame) -> DataFrame:

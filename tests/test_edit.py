@@ -81,9 +81,9 @@ def test_replacing_policy(tables):
 
 def test_sizes_do_not_change_the_plan(tables):
     small = E.plan_edits(*tables, P.REPLACE)
-    large = E.plan_edits(*tables, P.REPLACE, broadcast_rows=0, prune_titles=0)
+    large = E.plan_edits(*tables, P.REPLACE, broadcast_bytes=0, prune_titles=0)
     columns = small.columns
-    pruned = E.plan_edits(*tables, P.REPLACE, broadcast_rows=0)
+    pruned = E.plan_edits(*tables, P.REPLACE, broadcast_bytes=0)
     whole = sorted(map(str, small.select(columns).collect()))
     assert len(whole) == len(STAGED)
     for other in (large, pruned):

@@ -71,7 +71,7 @@ def test_taxonomy_lookup_is_the_same_both_ways(spark):
     )
     columns = ["title", "rank_autobox", "autobox_extinct"]
     broadcast = pairs(L.lookup_taxonomy(pages, taxonomy).select(columns).fillna("-"))
-    salted = pairs(L.lookup_taxonomy(pages, taxonomy, broadcast_rows=0).select(columns).fillna("-"))
+    salted = pairs(L.lookup_taxonomy(pages, taxonomy, broadcast_bytes=0).select(columns).fillna("-"))
     assert broadcast == salted and len(salted) == 500
     assert ("p0", "Genus", True) in salted and ("p3", "-", False) in salted
 
@@ -106,7 +106,7 @@ def test_category_tree(spark):
     members = lambda *a, **kw: [r[0] for r in pairs(category_tree.category_members(links, *a, **kw))]
     assert members("root") == ["p1", "p2"]
     assert members("root", recurse=False) == ["p1"]
-    assert members("root", broadcast_rows=0) == ["p1", "p2"]
+    assert members("root", broadcast_bytes=0) == ["p1", "p2"]
     assert members("none") == []
     targets = category_tree.targets_from_category(links, "root").orderBy("seq").collect()
     assert [r["raw_title"] for r in targets] == ["p1", "p2"]
@@ -118,8 +118,8 @@ def test_children_of_many_parents_is_the_same_both_ways(spark):
         "concat('x', id) AS child",
     )
     parents = spark.createDataFrame([("hot",), ("c7",)], "category string")
-    few = category_tree.children_of(links, parents, 2)
-    many = category_tree.children_of(links, parents, 2, broadcast_rows=1)
+    few = category_tree.children_of(links, parents)
+    many = category_tree.children_of(links, parents, broadcast_bytes=1)
     assert pairs(few) == pairs(many) and few.count() > 600
 
 
@@ -142,3 +142,23 @@ def test_props_from_json(spark):
     ]
     got = L.page_props_from_json(spark.createDataFrame(body, "response string"))
     assert [tuple(r) for r in got.orderBy("title").collect()] == [("A", "d"), ("B", None)]
+
+
+def test_categories_stay_rows(spark):
+    table = spark.createDataFrame(
+        [("a", f"Category:{i}", False) for i in range(300)] + [("b", "Category:x", True)],
+        "title string, category string, hidden boolean",
+    )
+    titles = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "title string")
+    got = L.lookup_categories(titles, table)
+    assert got.where("title = 'a'").count() == 300
+    assert sorted(r["title"] for r in got.where("category IS NULL").collect()) == ["b", "c"]
+
+
+def test_broadcast_size_counts_strings(spark):
+    from rankdraft.session import ROW_BYTES, fits_broadcast, table_bytes
+
+    table = spark.createDataFrame([("abé", 1), (None, 2)], "a string, b int")
+    assert table_bytes(table) == 4 + 2 * ROW_BYTES
+    assert fits_broadcast(table) and not fits_broadcast(table, 100)
+    assert table_bytes(table.where("b > 5")) == 0
