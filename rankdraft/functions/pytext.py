@@ -1,7 +1,7 @@
 """String helpers whose results equal Python's ``str`` and ``re`` behaviour.
 
-Spark's ``trim`` knows only U+0020 and Java's ``\\s`` is ASCII, so white space is
-always spelled out here.
+Spark's ``trim`` knows only U+0020 and Java's ``\\s`` is ASCII, so both are spelled
+out here.
 """
 
 from __future__ import annotations
@@ -18,10 +18,8 @@ SPACE_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE = (
-    r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+# The same as a class; it needs the (?U) flag in front of the pattern.
+SPACE = r"[\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
 
 
@@ -30,7 +28,7 @@ def strip(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    words = F.split(c, SPACE + "+")
+    words = F.split(c, f"(?U){SPACE}+")
     return F.size(F.filter(words, lambda w: w != ""))
 
 

@@ -137,8 +137,8 @@ def rank_from_category(has: Callable[[str], Column]) -> Column:
 
 # ---------------------------------------------------------------- lead
 
-_IS_A = rf"(?:is|was){SPACE}an?{SPACE}"
-_IN_THE = f"{SPACE}in{SPACE}the"
+_IS_A = rf"(?U)(?:is|was){SPACE}an?{SPACE}"
+_IN_THE = f"(?U){SPACE}in{SPACE}the"
 # Stands for "in the": the loose search stops at a line end, and no stem follows it.
 _STOP = "\n'"
 
@@ -147,7 +147,7 @@ def _loose(stems: list[str]) -> str:
     """Stems up to 50 characters behind "is a", "are a", "was a" or "were a"."""
     either = "|".join(stems)
     behind = rf"(?<=(?:is|are|was|were){SPACE}a[^\n]{{0,50}})"
-    return f"(?={SPACE}(?:{either})){behind}{SPACE}({either})"
+    return f"(?U)(?={SPACE}(?:{either})){behind}{SPACE}({either})"
 
 
 def rank_lead_tight(sentence: Column) -> Column:
@@ -180,13 +180,17 @@ def rank_lead_loose(sentence: Column) -> Column:
     return F.when(F.size(found) == 1, F.get(_words(LEAD_STEMS), place.cast("int") - 1))
 
 
-def rank_from_lead(lead: Column, noun: str) -> Column:
-    sentence = first_sentence(lead)
+def rank_from_sentence(sentence: Column, noun: str) -> Column:
+    """Rank from the first sentence of a lead, by the tight, noun and loose searches."""
     return F.coalesce(
         rank_lead_tight(sentence), rank_lead_noun(sentence, noun), rank_lead_loose(sentence)
     )
 
 
+def rank_from_lead(lead: Column, noun: str) -> Column:
+    return rank_from_sentence(first_sentence(lead), noun)
+
+
 def _words(values) -> Column:
     """Constant array of strings without a bar."""
     return F.split(F.lit("|".join(values)), r"\|")

@@ -23,7 +23,7 @@ TRAILING_CATEGORIES = (
     r"(?:\[\[\s*+category\s*+:[^\]\[]*+\]\]\s*+)*+\z"
 )
 PIPED_LINK = r"\[[^\]\[|]*\|"
-SELF_CLOSING_REF = rf"(?d)<ref.{{1,40}}/{SPACE}{{0,3}}>"
+SELF_CLOSING_REF = rf"(?dU)<ref.{{1,40}}/{SPACE}{{0,3}}>"
 
 # Removed from the lead in this order.
 DELETED = ["`", "'''", "''", "[", "]", "{", "}", "__NOTOC__"]

@@ -76,8 +76,13 @@ def page_features(pages: DataFrame, cfg: JobConfig) -> DataFrame:
         R.rank_from_taxobox(F.col("_nobra"), compressed, F.col("_bold")).alias("rank_taxobox"),
         R.autobox_key(F.col("_taxon")).alias("autobox_key"),
     )
-    lead_rank = R.rank_from_lead(F.col("lead"), cfg.name_singular)
-    return W.with_lead(featured).drop("text").withColumn("rank_lead", lead_rank)
+    lead_rank = R.rank_from_sentence(F.col("_sentence"), cfg.name_singular)
+    return (
+        W.with_lead(featured)
+        .withColumn("_sentence", W.first_sentence(F.col("lead")))
+        .withColumn("rank_lead", lead_rank)
+        .drop("text", "_sentence")
+    )
 
 
 # What missing rows look like: a page with empty text, no item, no category.
