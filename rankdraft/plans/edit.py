@@ -62,22 +62,23 @@ def decide(
 
     All rows are checked against the given state of the pages.
     """
-    keyed = staged.withColumn("page_title", W.normalize_title(F.col("title")))
-    features = edit_features(pages, cfg)
-    titles = keyed.groupBy(F.col("page_title").alias("title")).agg(F.count("*").alias("n_targets"))
+    keyed = staged.select(
+        "seq",
+        W.normalize_title(F.col("title")).alias("title"),
+        F.col("title").alias("staged_title"),
+        "description",
+    )
     if staged.count() <= prune_titles:
-        features = edit_features(L.only_titles(pages, titles), cfg)
-        page_props = L.only_titles(page_props, titles)
+        pages = L.only_titles(pages, keyed)
+        page_props = L.only_titles(page_props, keyed)
+    titles, features = L.distinct_titles(keyed), edit_features(pages, cfg)
     facts = (
         titles.join(features, "title", "left")
         .join(page_props.select("title", "shortdesc"), "title", "left")
         .fillna({"page_exists": False, "redirect": False, "has_template": False, "bots_ok": True})
         .fillna({"blank": True})
     )
-    known = L.join_back(
-        keyed.select("seq", F.col("title").alias("staged_title"), "description", F.col("page_title").alias("title")),
-        facts,
-    )
+    known = L.join_back(keyed, facts)
     desc, kind = W.existing_shortdesc(F.col("shortdesc"), F.col("has_template"))
     known = known.withColumn("existing_desc", desc).withColumn("existing_type", kind)
     page = {

@@ -207,7 +207,8 @@ def page_category_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lookup_taxonomy")
 def lookup_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    keyed = c.pages.select("title", R.autobox_key(R.autobox_taxon(W.compress_text(F.col("text")))).alias("autobox_key"))
+    taxon = R.autobox_taxon(W.compress_text(F.col("text")))
+    keyed = c.pages.select("title", R.autobox_key(taxon).alias("autobox_key"))
     return L.lookup_taxonomy(keyed, c.taxonomy)
 
 
@@ -471,7 +472,11 @@ def conflict_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("error", F.when(F.col("rank").isNull(), F.col("error")))
 
 
-_scalar("shortdesc_end", _leads, noun=lambda: R.rank_noun(R.rank_from_lead(F.col("lead"), "alga"), "alga", "algae"))
+_scalar(
+    "shortdesc_end",
+    _leads,
+    noun=lambda: R.rank_noun(R.rank_from_lead(F.col("lead"), "alga"), "alga", "algae"),
+)
 _scalar(
     "draft_description",
     _leads,
