@@ -14,20 +14,32 @@ import __spark_entry__ as entry_points
 SF = "/root/testdata/sf0.001"
 LONG = {
     "stage_pipeline_override",
+    "stage_pipeline_strict",
     "stage_pipeline_words",
+    "stage_pipeline_limits",
+    "stage_pipeline_distinct",
     "limit_articles",
     "limit_successes",
+    "range_endpoint",
     "running_article_no",
     "running_success_no",
+    "stage_rows",
     "stage_summary",
+    "example_report",
     "edit_revalidate",
     "edit_plan",
     "edit_log",
     "edit_summary",
+    "rank_trace",
     "rank_vote",
+    "best_rank_rules",
+    "conflict_rules",
     "check_page",
+    "check_page_strict",
+    "check_criteria",
     "generate_shortdesc",
     "adjust_desc",
+    "adjust_desc_long",
 }
 NAMES = [
     n for n in entry_points.queries() if os.environ.get("RANKDRAFT_ALL") or n not in LONG
