@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.zeros(batch.num_rows, dtype=np.int64)
         for column in batch.columns:
             if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-                sizes += np.asarray(pa.compute.binary_length(column).fill_null(0))
+                sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0))
         ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:
