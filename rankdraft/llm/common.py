@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rankdraft.session import scratch_dir
 
@@ -65,7 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def map_slices(
-    df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[str, object]]
+    df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], dict[str, object]]
 ) -> DataFrame:
     """Apply ``fn`` to slices of the rows; it returns the columns of ``schema`` by name."""
 

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankdraft.llm import byte_bpe, token_counts, token_files
-from rankdraft.llm.common import read
+from rankdraft.llm import byte_bpe, language_id, token_counts, token_files, toxicity
+from rankdraft.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +24,14 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    part = fold(F.col("doc_id"))
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), trainable=part != 0)
+    return toxicity.score(docs, model, held_out=part == 0)
+
+
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -41,3 +50,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     return token_files.token_files(read(spark, sf_dir, "documents"), tokenizer)
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    part = fold(F.col("doc_id"))
+    model = language_id.fit(docs, trainable=part != 0)
+    return language_id.predict(docs, model, held_out=part == 0)
