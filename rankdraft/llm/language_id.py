@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from rankdraft.llm.common import map_slices, strings, texts
 
-# Expected training rows of each language, chosen by a hash of the id.
+# Expected training rows of each language, and in all, chosen by a hash of the id.
 ROWS_PER_LANGUAGE = 600
+MAX_ROWS = 6_000
 CENTROIDS = 3
 ROUNDS = 12
 BUCKETS = 1 << 11
@@ -31,7 +32,7 @@ UNKNOWN = "und"
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 SAMPLE = "lang string, counts array<float>"
-# Code points beyond this are folded; letters are looked up in a table up to it.
+# Letters below this code point are looked up in a table.
 LETTERS = 1 << 16
 
 
@@ -63,10 +64,10 @@ _LETTER_TABLE: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
-    """Which code points are letters; the last entry stands for all beyond the table."""
+    """Which code points are letters; the last entry is for those beyond the table."""
     if not _LETTER_TABLE:
         flags = [unicodedata.category(chr(c))[0] == "L" for c in range(LETTERS)]
-        _LETTER_TABLE.append(np.array([*flags, True]))
+        _LETTER_TABLE.append(np.array([*flags, False]))
     return _LETTER_TABLE[0]
 
 
@@ -79,6 +80,8 @@ def ngram_counts(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for i, row in enumerate(rows):
         codes = np.frombuffer(row.lower().encode("utf-32-le", "surrogatepass"), "<u4")
         letter = table[np.minimum(codes, LETTERS)]
+        for rare in np.unique(codes[codes >= LETTERS]):
+            letter[codes == rare] = chr(rare).isalpha()
         letters[i] = letter.any()
         kept = letter.copy()
         kept[:1] = True
@@ -155,8 +158,9 @@ def fit(docs: DataFrame, trainable: Column | None = None) -> Centroids:
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return train(np.zeros((0, BUCKETS), np.float32), [])
+    per_language = min(ROWS_PER_LANGUAGE, MAX_ROWS / len(sizes))
     shares = F.create_map(
-        *(F.lit(x) for lang, n in sizes.items() for x in (lang, ROWS_PER_LANGUAGE / n))
+        *(F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n))
     )
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / F.lit(1 << 30)
     sample = rows.filter(draw < shares[F.col("lang")]).select("lang", "text")

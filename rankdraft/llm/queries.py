@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankdraft.llm import byte_bpe, language_id, token_counts, token_files, toxicity
+from rankdraft.llm import byte_bpe, language_id, near_duplicates, token_counts, token_files, toxicity
 from rankdraft.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = fold(F.col("doc_id"))
     model = language_id.fit(docs, trainable=part != 0)
     return language_id.predict(docs, model, held_out=part == 0)
+
+
+@query("op8_near_duplicates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(read(spark, sf_dir, "documents"))

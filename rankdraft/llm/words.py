@@ -141,3 +141,31 @@ def windows(words: Words, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndar
     text = words.text
     at = np.flatnonzero(text[size - 1 :] == text[: n - size + 1])
     return mix((sums[at + size] - sums[at]) * down[at]), at
+
+
+def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` words, and their texts; a shorter text that has
+    words is one run."""
+    hashes, at = windows(words, size)
+    text = words.text[at]
+    n = np.diff(words.first)
+    short = np.flatnonzero((n > 0) & (n < size))
+    if len(short):
+        up, down = _POWERS.of(size)
+        parts = []
+        for i in short:
+            own = mix(words.hashes[words.first[i] : words.first[i + 1]])
+            parts.append((own * up[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own)))
+        hashes = np.concatenate((hashes, mix(np.array(parts, np.uint64))))
+        text = np.concatenate((text, short))
+    return hashes, text
+
+
+def counted(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (hash, text), by text and then hash, and how often each occurs."""
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    at = np.flatnonzero(new)
+    return hashes[at], text[at], np.diff(np.append(at, len(hashes)))
