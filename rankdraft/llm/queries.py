@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankdraft.llm import byte_bpe, language_id, near_duplicates, token_counts, token_files, toxicity
+from rankdraft.llm import (
+    byte_bpe,
+    decontamination,
+    language_id,
+    near_duplicates,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from rankdraft.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +71,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_near_duplicates")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(read(spark, sf_dir, "documents"))
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    )
