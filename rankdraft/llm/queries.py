@@ -13,6 +13,7 @@ from rankdraft.llm import (
     decontamination,
     language_id,
     near_duplicates,
+    pii,
     token_counts,
     token_files,
     toxicity,
@@ -78,3 +79,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     )
+
+
+@query("op2_personal_data")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read(spark, sf_dir, "documents"))
