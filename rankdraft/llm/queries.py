@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rankdraft.llm import (
     byte_bpe,
     decontamination,
+    fingerprints,
     language_id,
     near_duplicates,
     pii,
@@ -84,3 +85,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_personal_data")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(read(spark, sf_dir, "documents"))
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
