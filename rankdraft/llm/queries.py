@@ -15,6 +15,7 @@ from rankdraft.llm import (
     language_id,
     near_duplicates,
     pii,
+    substring_dedup,
     token_counts,
     token_files,
     toxicity,
@@ -90,3 +91,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
