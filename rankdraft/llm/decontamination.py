@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankdraft.llm.common import texts
+from rankdraft.llm.common import stored, texts
 from rankdraft.session import BROADCAST_BYTES, fits_broadcast
 
 WINDOW = 10
@@ -213,6 +213,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         one = hits(rows, items, window).select("doc_id", "digest")
         found = one if found is None else found.unionByName(one)
     found = found.distinct().select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    found = stored(found, "contaminated")
+    if fits_broadcast(found):
+        found = F.broadcast(found)
     digest = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
     return docs.join(found, same, "left_anti")

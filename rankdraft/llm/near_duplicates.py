@@ -225,8 +225,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without an id are kept. Of repeated rows with that id all stay.
     """
-    classes = near_duplicate_classes(docs).filter("doc_id <> class_id").select(
-        F.col("doc_id").alias("_dropped")
-    )
-    dropped = classes.distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    classes = near_duplicate_classes(docs).filter("doc_id <> class_id")
+    dropped = stored(classes.select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    if fits_broadcast(dropped):
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
