@@ -145,32 +145,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for window in window_lengths(items):
         one = hits(rows, items, window).withColumn("length", F.lit(window))
         found = one if found is None else found.unionByName(one)
-    key = ["doc_id", "digest"]
-
-    # Words covered by the windows: what each adds beyond the furthest end so far. Rows
-    # of a document are one per place and item before, one per place after.
-    places = found.groupBy(*key, "start").agg(F.max("length").alias("length"))
     end = F.col("start") + F.col("length")
-    covered = (
-        places.groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("start", end.alias("end")))).alias("spans"))
-        .select(*key, _covered(F.col("spans")).alias("n_hit"))
-    )
-    items_found = (
-        found.select(*key, "item_id")
-        .distinct()
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+    result = (
+        found.groupBy("doc_id", "digest")
+        .agg(
+            F.array_sort(F.collect_set(F.struct("start", end.alias("end")))).alias("spans"),
+            F.array_sort(F.collect_set("item_id")).alias("ids"),
+        )
         .select(
-            *key,
-            F.size("ids").cast("long").alias("n_items"),
+            F.col("doc_id").alias("_id"),
+            F.col("digest").alias("_digest"),
+            _covered(F.col("spans")).alias("n_hit"),
+            F.size("ids").alias("n_items"),
             F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
         )
     )
-    result = covered.join(items_found, key).select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"),
-        "n_hit", "n_items", "items_sha256",
-    )
     base = rows.select("doc_id", "digest", F.regexp_count("text", F.lit(WORD)).alias("n_words"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
     return base.join(result, same, "left").select(
