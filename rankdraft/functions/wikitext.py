@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankdraft.functions.arrays import let, scan
 from rankdraft.functions.pytext import SPACE, replace, replace_first, strip, word_count
 
 MASK = "`"
@@ -116,72 +117,90 @@ def _tokens(c: Column, opening: str, closing: str) -> Column:
     return F.split(c, f"(?<={either})|(?={either})")
 
 
+def _depths(tokens: Column, opening: str, closing: str) -> Column:
+    """Open brackets before each token, and at last after all."""
+    return scan(
+        tokens,
+        F.lit(0),
+        lambda depth, t: depth + (t == opening).cast("int") - (t == closing).cast("int"),
+    )
+
+
+def _balanced(depths: Column) -> Column:
+    return (F.array_min(depths) >= 0) & (F.element_at(depths, -1) == 0)
+
+
+def _masked(token: Column) -> Column:
+    return F.repeat(F.lit(MASK), F.length(token))
+
+
 def mask_balanced(c: Column, opening: str, closing: str) -> Column:
     """Overwrite every bracketed span by as many mask characters.
 
     Null when the brackets do not balance.
     """
 
-    def step(acc: Column, token: Column) -> Column:
-        opens, closes = token == opening, token == closing
-        hidden = opens | closes | (acc["depth"] > 0)
-        return F.struct(
-            (acc["depth"] + opens.cast("int") - closes.cast("int")).alias("depth"),
-            (acc["ok"] & ~(closes & (acc["depth"] == 0))).alias("ok"),
-            F.array_append(
-                acc["out"],
-                F.when(hidden, F.repeat(F.lit(MASK), F.length(token))).otherwise(token),
-            ).alias("out"),
+    def masked(p: Column) -> Column:
+        written = F.zip_with(
+            p["tokens"],
+            F.slice(p["depths"], F.lit(1), F.size(p["tokens"])),
+            lambda t, depth: F.when((t == opening) | (t == closing) | (depth > 0), _masked(t))
+            .otherwise(t),
         )
+        return F.when(_balanced(p["depths"]), F.array_join(written, ""))
 
-    start = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit(True).alias("ok"),
-        F.array().cast("array<string>").alias("out"),
-    )
-    masked = F.aggregate(
+    parts = let(
         _tokens(c, opening, closing),
-        start,
-        step,
-        lambda acc: F.when(acc["ok"] & (acc["depth"] == 0), F.array_join(acc["out"], "")),
+        lambda t: F.struct(t.alias("tokens"), _depths(t, opening, closing).alias("depths")),
     )
-    return F.when(c.contains(opening) | c.contains(closing), masked).otherwise(c)
+    return F.when(c.contains(opening) | c.contains(closing), let(parts, masked)).otherwise(c)
 
 
 def bracket_pairs(c: Column, opening: str, closing: str) -> Column:
-    """Array of (open_pos, close_pos) from 0, in closing order; null if unbalanced."""
+    """Array of (open_pos, close_pos) from 0, in closing order; null if unbalanced.
+
+    Among the brackets of one level, opening and closing ones take turns. So with the
+    brackets sorted by level and position, every two neighbours are a pair.
+    """
 
-    def step(acc: Column, token: Column) -> Column:
-        opens, closes = token == opening, token == closing
-        depth = F.size(acc["stack"])
-        pair = F.struct(
-            F.element_at(acc["stack"], -1).alias("open_pos"), acc["pos"].alias("close_pos")
+    def pairs(p: Column) -> Column:
+        tokens, depths, places = p["tokens"], p["depths"], p["places"]
+        numbers = F.sequence(F.lit(0), F.size(tokens) - 1)
+        bracket = lambda i: (tokens[i] == opening) | (tokens[i] == closing)
+        level = lambda i: F.greatest(depths[i], depths[i + 1])
+        levels = F.array_sort(
+            F.transform(
+                F.filter(numbers, bracket),
+                lambda i: F.struct(level(i).alias("level"), places[i].alias("place")),
+            )
         )
-        pops = closes & (depth > 0)
-        return F.struct(
-            (acc["pos"] + F.length(token)).alias("pos"),
-            (acc["ok"] & ~(closes & (depth == 0))).alias("ok"),
-            F.when(opens, F.array_append(acc["stack"], acc["pos"]))
-            .when(pops, F.slice(acc["stack"], F.lit(1), depth - 1))
-            .otherwise(acc["stack"])
-            .alias("stack"),
-            F.when(pops, F.array_append(acc["pairs"], pair))
-            .otherwise(acc["pairs"])
-            .alias("pairs"),
+        return F.when(_balanced(depths), let(levels, in_closing_order))
+
+    def in_closing_order(levels: Column) -> Column:
+        half = F.size(levels) / 2
+        found = F.transform(
+            F.sequence(F.lit(0), half.cast("int") - 1),
+            lambda i: F.struct(
+                levels[2 * i + 1]["place"].alias("close_pos"),
+                levels[2 * i]["place"].alias("open_pos"),
+            ),
+        )
+        none = F.array().cast("array<struct<open_pos:int,close_pos:int>>")
+        ordered = F.transform(
+            F.array_sort(found),
+            lambda x: F.struct(x["open_pos"].alias("open_pos"), x["close_pos"].alias("close_pos")),
         )
+        return F.when(half > 0, ordered).otherwise(none)
 
-    start = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(True).alias("ok"),
-        F.array().cast("array<int>").alias("stack"),
-        F.array().cast("array<struct<open_pos:int,close_pos:int>>").alias("pairs"),
-    )
-    return F.aggregate(
+    parts = let(
         _tokens(c, opening, closing),
-        start,
-        step,
-        lambda acc: F.when(acc["ok"] & (F.size(acc["stack"]) == 0), acc["pairs"]),
+        lambda t: F.struct(
+            t.alias("tokens"),
+            _depths(t, opening, closing).alias("depths"),
+            scan(t, F.lit(0), lambda at, x: at + F.length(x)).alias("places"),
+        ),
     )
+    return let(parts, pairs)
 
 
 def mask_templates(c: Column) -> Column:
@@ -198,45 +217,62 @@ def shorten_piped_links(c: Column) -> Column:
 
 
 def mask_images(c: Column) -> Column:
-    """Mask ``[File:..]`` and ``[Image:..]`` spans, inner spans first."""
+    """Mask ``[File:..]`` and ``[Image:..]`` spans, inner spans first.
+
+    The name stands right behind the bracket, or for files one character later. Masks
+    are as long as what they cover, so what counts is the outermost image that is open.
+    """
     single = replace(replace(c, "[[", "["), "]]", "]")
 
-    # The stack holds the text of each open bracket; its bottom is the result.
-    def step(acc: Column, token: Column) -> Column:
-        stack, size = acc["stack"], F.size(acc["stack"])
-        top = F.element_at(stack, -1)
-        head = F.substring(top, 1, 6)
-        image = head.contains("File:") | head.contains("Image:")
-        span = F.when(image, F.repeat(F.lit(MASK), F.length(top) + 2)).otherwise(
-            F.concat(F.lit("["), top, F.lit("]"))
-        )
-        closed = F.array_append(
-            F.slice(stack, F.lit(1), size - 2), F.concat(F.element_at(stack, -2), span)
-        )
-        extended = F.array_append(
-            F.slice(stack, F.lit(1), size - 1), F.concat(top, token)
+    def image(token: Column) -> Column:
+        return (
+            token.startswith("File:")
+            | (F.substring(token, 2, 5) == "File:")
+            | token.startswith("Image:")
         )
+
+    # Open brackets, and how many were open within the outermost image, 0 for none.
+    def step(state: Column, x: Column) -> Column:
+        opens, closes = x["token"] == "[", x["token"] == "]"
+        depth, within = state["depth"], state["within"]
         return F.struct(
-            (acc["ok"] & ~((token == "]") & (size == 1))).alias("ok"),
-            F.when(token == "[", F.array_append(stack, F.lit("")))
-            .when((token == "]") & (size > 1), closed)
-            .otherwise(extended)
-            .alias("stack"),
+            (depth + opens.cast("int") - closes.cast("int")).alias("depth"),
+            F.when(opens & x["image"] & (within == 0), depth + 1)
+            .when(closes & (within == depth), F.lit(0))
+            .otherwise(within)
+            .alias("within"),
         )
 
-    start = F.struct(F.lit(True).alias("ok"), F.array(F.lit("")).alias("stack"))
-    masked = F.aggregate(
+    def masked(p: Column) -> Column:
+        tokens, states = p["tokens"], p["states"]
+        hidden = lambda i: (states[i]["within"] > 0) | (states[i + 1]["within"] > 0)
+        written = F.transform(
+            tokens, lambda x, i: F.when(hidden(i), _masked(x["token"])).otherwise(x["token"])
+        )
+        depths = F.transform(states, lambda s: s["depth"])
+        return F.when(_balanced(depths), F.array_join(written, ""))
+
+    named = let(
         _tokens(single, "[", "]"),
-        start,
-        step,
-        lambda acc: F.when(acc["ok"] & (F.size(acc["stack"]) == 1), acc["stack"][0]),
+        lambda t: F.transform(
+            t,
+            lambda x, i: F.struct(
+                x.alias("token"),
+                F.coalesce(image(F.get(t, i + 1)), F.lit(False)).alias("image"),
+            ),
+        ),
+    )
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("within"))
+    parts = let(
+        named, lambda t: F.struct(t.alias("tokens"), scan(t, start, step).alias("states"))
     )
+    masked_text = let(parts, masked)
     # The look at six characters reaches past an empty pair into the text behind it.
-    masked = F.when(
-        single.contains("[]File:"), replace(masked, "[]", MASK * 2)
-    ).otherwise(masked)
+    masked_text = F.when(
+        single.contains("[]File:"), replace(masked_text, "[]", MASK * 2)
+    ).otherwise(masked_text)
     any_bracket = single.contains("[") | single.contains("]")
-    return F.when(any_bracket, F.coalesce(masked, single)).otherwise(single)
+    return F.when(any_bracket, F.coalesce(masked_text, single)).otherwise(single)
 
 
 def drop_selfclosing_refs(c: Column) -> Column:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +176,88 @@ def test_rewrites(spark):
         "{{Short description|N}}\n{{short description|E}}T",
         None,
     ]
+
+
+# ---------------------------------------------------------------- against a plain stack
+
+
+def _plain_mask(text, opening, closing):
+    depth, out = 0, []
+    for c in text:
+        depth -= c == closing
+        if depth < 0:
+            return None
+        out.append(W.MASK if depth or c in (opening, closing) else c)
+        depth += c == opening
+    return None if depth else "".join(out)
+
+
+def _plain_pairs(text):
+    stack, pairs = [], []
+    for i, c in enumerate(text):
+        if c == "{":
+            stack.append(i)
+        elif c == "}":
+            if not stack:
+                return None
+            pairs.append((stack.pop(), i))
+    return None if stack else pairs
+
+
+def _plain_images(text):
+    single = text.replace("[[", "[").replace("]]", "]")
+    stack = [""]
+    for c in single:
+        if c == "[":
+            stack.append("")
+        elif c == "]":
+            if len(stack) == 1:
+                return single
+            top = stack.pop()
+            image = "File:" in top[:6] or "Image:" in top[:6]
+            stack[-1] += W.MASK * (len(top) + 2) if image else f"[{top}]"
+        else:
+            stack[-1] += c
+    if len(stack) > 1:
+        return single
+    return stack[0].replace("[]", W.MASK * 2) if "[]File:" in single else stack[0]
+
+
+def _bracket_texts(parts, n, seed):
+    draw = random.Random(seed)
+    texts = ["".join(draw.choices(parts, k=draw.randrange(30))) for _ in range(n)]
+    # Balanced texts, which chance alone makes too seldom.
+    for _ in range(n):
+        text = ""
+        for _ in range(draw.randrange(12)):
+            a, b = draw.choice([(0, 1), (0, 1), (2, 2)])
+            inner = draw.choice(parts[2:])
+            text = draw.choice([parts[a] + inner + text + parts[b], text + inner])
+        texts.append(text * draw.choice([1, 1, 5, 40]))
+    return texts
+
+
+def test_masks_and_pairs_are_those_of_a_stack(apply):
+    texts = _bracket_texts(["{", "}", "ab", "é🙂", " ", "\n"], 150, 1)
+    got = apply(lambda c: W.mask_balanced(c, "{", "}"), texts)
+    assert got == [_plain_mask(t, "{", "}") for t in texts]
+    pairs = apply(lambda c: W.bracket_pairs(c, "{", "}"), texts)
+    assert [p and [tuple(x) for x in p] for p in pairs] == [_plain_pairs(t) for t in texts]
+
+
+def test_images_are_those_of_a_stack(apply):
+    parts = ["[", "]", "File:x", ":File:", "Image:a|b", "aImage:", "text", "é", "[[File:q", "]]"]
+    texts = _bracket_texts(parts, 200, 2)
+    assert apply(W.mask_images, texts) == [_plain_images(t) for t in texts]
+
+
+def test_long_leads_take_time_in_proportion(spark):
+    def seconds(lines):
+        text = "A line with [[a link|link]] and {{a|template}} and some more words in it.\n"
+        frame = spark.createDataFrame([(text * lines,)], "text string")
+        start = time.perf_counter()
+        W.with_lead(frame).collect()
+        return time.perf_counter() - start
+
+    seconds(2_000)
+    assert seconds(16_000) < 2.5 * seconds(8_000) + 0.5
