@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankdraft.functions.arrays import let
 from rankdraft.llm.common import stored, texts
 from rankdraft.session import BROADCAST_BYTES, fits_broadcast
 
@@ -72,12 +73,7 @@ def kept_grams(words: Column, window: int) -> Column:
             ),
         )
 
-    return _let(hashes, lambda h: _let(grams(h), least))
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), body)[0]
+    return let(hashes, lambda h: let(grams(h), least))
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankdraft.functions.arrays import let, scan
 from rankdraft.llm.common import texts
 
 LOCAL = "A-Za-z0-9._%+-"
@@ -25,8 +26,6 @@ LABEL = "[A-Za-z0-9-]++"
 CONTEXT = 40
 CONTEXT_BONUS = 0.3
 CONFIDENT = 0.6
-# Spans are numbered in blocks of so many, so that long lists take linear time.
-BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -127,11 +126,6 @@ CHECKS = {
 }
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 # Column for the spans while texts are masked.
 SPANS = "_personal_data_spans"
 SPAN = "struct<start:int,kind:int,end:int,score:double>"
@@ -174,62 +168,13 @@ def spans_of(text: Column, kind: Kind) -> Column:
 
     none = F.array().cast(f"array<{SPAN}>")
     possible = text.contains(kind.needs) if kind.needs else text.rlike("[0-9]")
-    return F.when(possible, _let(parts, located)).otherwise(none)
-
-
-def scan(items: Column, zero: Column, step) -> Column:
-    """The accumulator before each item of an array.
-
-    Appending to an array copies it, so the items are taken in about as many blocks as a
-    block is long: first the accumulator before each block, then those inside.
-    """
-
-    def inside(begin: Column, block: Column) -> Column:
-        start = F.struct(begin.alias("acc"), F.slice(F.array(zero), 1, 0).alias("out"))
-        return F.aggregate(
-            block,
-            start,
-            lambda state, x: F.struct(
-                step(state["acc"], x).alias("acc"),
-                F.array_append(state["out"], state["acc"]).alias("out"),
-            ),
-            lambda state: state["out"],
-        )
-
-    def before_blocks(blocks: Column) -> Column:
-        return F.aggregate(
-            blocks,
-            F.array(zero),
-            lambda out, block: F.array_append(
-                out, F.aggregate(block, F.element_at(out, -1), step)
-            ),
-        )
-
-    def in_blocks(s: Column) -> Column:
-        size = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(s))).cast("int"))
-        last = F.ceil(F.size(s) / size).cast("int") - 1
-        blocks = F.transform(
-            F.sequence(F.lit(0), last), lambda b: F.slice(s, b * size + 1, size)
-        )
-        joined = _let(
-            blocks,
-            lambda b: F.flatten(
-                F.zip_with(
-                    F.slice(before_blocks(b), F.lit(1), F.size(b)),
-                    b,
-                    lambda begin, block: inside(begin, block),
-                )
-            ),
-        )
-        return F.when(F.size(s) <= BLOCK, inside(zero, s)).otherwise(joined)
-
-    return _let(items, in_blocks)
+    return F.when(possible, let(parts, located)).otherwise(none)
 
 
 def _starts(steps: Column) -> Column:
     """Where each proposal begins, from (gap before, size)."""
     ends = scan(steps, F.lit(0), lambda at, x: at + x["gap"] + x["size"])
-    return F.zip_with(ends, steps, lambda at, x: at + x["gap"])
+    return let(ends, lambda e: F.transform(steps, lambda x, i: e[i] + x["gap"]))
 
 
 def _score(kind: Kind, before: Column, after: Column) -> Column:
@@ -316,4 +261,4 @@ def _masked(text: Column, spans: Column) -> Column:
 
     # How far the spans before each one reach.
     before = scan(spans, F.lit(0), lambda end, s: F.greatest(end, s["end"]))
-    return _let(F.struct(characters.alias("chars"), before.alias("before")), written)
+    return let(F.struct(characters.alias("chars"), before.alias("before")), written)
