@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankdraft.plans.stage import WikiTables
-from rankdraft.session import spread
 
 NL = "chr(10)"
 Q2, Q5 = "repeat(chr(39), 2)", "repeat(chr(39), 5)"
@@ -187,7 +186,7 @@ class Corpus:
 
     @property
     def articles(self) -> DataFrame:
-        kept = spread(self.docs.where("k % 37 <> 0"))
+        kept = self.docs.where("k % 37 <> 0")
         return kept.selectExpr("k", "title", f"{PAGE_TEXT} AS text")
 
     @property

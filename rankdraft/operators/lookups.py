@@ -6,6 +6,8 @@ asked for by a large share of all rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +37,13 @@ def salted_left_join(
 
     Left rows of one key are spread by a hash of another column, which a repeated
     task computes alike. Every right row is copied ``salts`` times, so the right
-    side should be much smaller than the left.
+    side should be much smaller than the left. Rows without a key match nothing and are
+    spread over all tasks.
     """
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    chance = F.xxhash64(spread_by)
+    salt = F.when(F.col(key).isNull(), chance).otherwise(F.pmod(chance, F.lit(salts)))
     salted = left.withColumn("_salt", salt)
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
@@ -87,6 +91,16 @@ def join_back(
     return left.join(right, ["title", "_salt"], "left").drop("_salt")
 
 
+def by_title(
+    targets: DataFrame, lookup: Callable[[DataFrame], DataFrame], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Targets (seq, title) with what ``lookup`` adds to a frame of distinct titles.
+
+    Each title is looked up once, and a title that many targets ask for is split.
+    """
+    return join_back(targets, lookup(distinct_titles(targets)), hot_rows)
+
+
 # ---------------------------------------------------------------- pages
 
 
@@ -151,13 +165,15 @@ def lookup_wikidata(titles: DataFrame, wikidata: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- categories
 
+# A missing flag counts as visible.
+VISIBLE = "NOT coalesce(hidden, false)"
 SIGNALS = [*R.CATEGORY_RANKS, *(fragment for _, fragment in R.CATEGORY_OVERRIDES)]
 
 
 def visible_categories(page_categories: DataFrame) -> DataFrame:
     """Distinct (title, category) of the categories that are not hidden, lower case."""
     return (
-        page_categories.where(~F.col("hidden"))
+        page_categories.where(VISIBLE)
         .select("title", F.lower("category").alias("category"))
         .distinct()
     )
@@ -170,7 +186,7 @@ def lookup_categories(titles: DataFrame, page_categories: DataFrame) -> DataFram
     """
     asked = titles.select("title").distinct()
     visible = visible_categories(page_categories)
-    found = salted_semi_join(visible, asked, "title", spread_by="category")
+    found = visible.join(asked, "title", "left_semi")
     without = asked.join(visible.select("title").distinct(), "title", "left_anti")
     return found.unionByName(without, allowMissingColumns=True)
 
@@ -187,7 +203,8 @@ def category_signals(page_categories: DataFrame) -> DataFrame:
     extinct = F.bool_or(contains_any(category, EXTINCT_CATEGORIES))
     telling = contains_any(category, fragments + EXTINCT_CATEGORIES)
     seen = (
-        page_categories.where(~F.col("hidden") & telling)
+        page_categories.where(VISIBLE)
+        .where(telling)
         .groupBy("title")
         .agg(*flags, extinct.alias("category_extinct"))
     )
@@ -200,7 +217,7 @@ def titles_in_category(
 ) -> DataFrame:
     """Titles with a visible category whose name contains the fragment."""
     match = F.lower("category").contains(fragment.lower())
-    members = page_categories.where(~F.col("hidden") & match).select("title").distinct()
+    members = page_categories.where(VISIBLE).where(match).select("title").distinct()
     return titles.join(members, "title", "left_semi")
 
 

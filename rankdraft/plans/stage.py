@@ -16,7 +16,8 @@ from rankdraft.functions.pytext import first_reason
 from rankdraft.operators import lookups as L
 from rankdraft.operators import ordered as O
 
-# Targets that are tried first when a limit is set.
+# Targets that are tried first when a limit is set. What a run returns ends where the
+# limit is met, so it does not depend on this number.
 MIN_STRETCH = 10_000
 
 
@@ -151,25 +152,24 @@ def judge_targets(
 ) -> DataFrame:
     """One verdict per target row (seq, title).
 
-    A target list of checked length prunes the tables before their texts are read
-    further. From a longer list, each title is judged once, however many targets
-    ask for it, and a title that is ruled out by itself is not looked up.
+    Each title is judged once, however many targets ask for it, and a list article is
+    ruled out by its title alone: nothing is looked up for it. A list of checked length
+    prunes the tables before their texts are read further, which changes no result.
     """
+    listed = C.is_list_article(F.col("title"))
+    titles = L.distinct_titles(targets.where(~listed))
     if targets.count() <= prune_titles:
-        verdicts = judge(targets, tables.pruned(targets), cfg)
-    else:
-        listed = C.is_list_article(F.col("title"))
-        titles = L.distinct_titles(targets.where(~listed))
-        reason = F.when(listed, C.LIST_ARTICLE).otherwise(F.col("skip_reason"))
-        verdicts = L.join_back(targets, judge(titles, tables, cfg), hot_rows)
-        verdicts = verdicts.withColumn("skip_reason", reason).fillna({"ok": False})
+        tables = tables.pruned(titles)
+    reason = F.when(listed, C.LIST_ARTICLE).otherwise(F.col("skip_reason"))
+    verdicts = L.join_back(targets, judge(titles, tables, cfg), hot_rows)
+    verdicts = verdicts.withColumn("skip_reason", reason).fillna({"ok": False})
     return verdicts.withColumn("title", W.clean_title(F.col("title")))
 
 
 @dataclass(frozen=True)
 class Staging:
-    """A staging run. ``verdicts`` is a finished table in target order, the others
-    are cheap views of it."""
+    """A staging run. ``verdicts`` is a finished table in target order, up to the row
+    after which the run stops; the others are cheap views of it."""
 
     verdicts: DataFrame
     articles: DataFrame
@@ -187,7 +187,7 @@ class Staging:
 
     def skipped(self) -> DataFrame:
         rows = self.verdicts.where(F.col("skip_reason").isNotNull())
-        return O.upto(rows, self.stop).select("seq", "title", "skip_reason")
+        return rows.select("seq", "title", "skip_reason")
 
 
 def run(
@@ -203,7 +203,7 @@ def run(
     articles = O.number_rows(verdicts, recorded, "n")
     successes = O.number_rows(verdicts, F.col("ok"), "success_no")
     stop = O.stop_after(articles, successes, cfg)
-    return Staging(verdicts, O.upto(articles, stop), O.upto(successes, stop), stop)
+    return Staging(*(O.upto(rows, stop) for rows in (verdicts, articles, successes)), stop)
 
 
 def stage(targets: DataFrame, tables: WikiTables, cfg: JobConfig, **sizes) -> Staging:
@@ -216,9 +216,8 @@ def stage(targets: DataFrame, tables: WikiTables, cfg: JobConfig, **sizes) -> St
     if cfg.partial:
         keyed = O.from_startpoint(keyed, W.clean_title(F.col("title")), cfg.startpoint)
     limit = max(cfg.max_arts, cfg.max_stage)
-    first = O.first_seq(keyed) if limit else None
-    if first is not None:
-        stretch = keyed.where(F.col("seq") < first + max(MIN_STRETCH, 20 * limit))
+    if limit:
+        stretch = keyed.orderBy("seq").limit(max(MIN_STRETCH, 20 * limit))
         staging = run(stretch, tables, cfg, **sizes)
         if staging.stop is not None:
             return staging

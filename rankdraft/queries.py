@@ -169,20 +169,23 @@ def category_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lookup_page_text")
 def lookup_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    return L.lookup_pages(L.with_key(c.targets, "raw_title").drop("raw_title"), c.pages)
+    rows = L.with_key(c.targets, "raw_title").drop("raw_title")
+    return L.by_title(rows, lambda titles: L.lookup_pages(titles, c.pages))
 
 
 @query("lookup_shortdesc")
 def lookup_shortdesc(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    return L.lookup_shortdesc(_targets(spark, sf_dir), c.page_props)
+    rows = _targets(spark, sf_dir)
+    return L.by_title(rows, lambda titles: L.lookup_shortdesc(titles, c.page_props))
 
 
 @query("shortdesc_from_json")
 def shortdesc_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page property read out of raw responses, one per target."""
     c = Corpus(spark, sf_dir)
-    answers = L.lookup_shortdesc(_targets(spark, sf_dir), c.page_props)
+    rows = _targets(spark, sf_dir)
+    answers = L.by_title(rows, lambda titles: L.lookup_shortdesc(titles, c.page_props))
     props = F.when(
         F.col("shortdesc").isNotNull(), F.create_map(F.lit("wikibase-shortdesc"), "shortdesc")
     )
@@ -194,7 +197,8 @@ def shortdesc_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lookup_wikidata_desc")
 def lookup_wikidata_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.lookup_wikidata(_targets(spark, sf_dir), Corpus(spark, sf_dir).wikidata)
+    rows, items = _targets(spark, sf_dir), Corpus(spark, sf_dir).wikidata
+    return L.by_title(rows, lambda titles: L.lookup_wikidata(titles, items))
 
 
 @query("page_category_array")
@@ -231,14 +235,16 @@ def scan_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf_dir: str, cfg: JobConfig = P.DEFAULT) -> DataFrame:
-    return S.with_facts(_targets(spark, sf_dir), Corpus(spark, sf_dir).tables, cfg)
+    rows, tables = _targets(spark, sf_dir), Corpus(spark, sf_dir).tables
+    return L.by_title(rows, lambda titles: S.with_facts(titles, tables, cfg))
 
 
 @query("existing_shortdesc")
 def existing_shortdesc(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    titles = L.with_key(c.targets, "raw_title").select("title")
-    return L.lookup_existing(titles, c.pages, c.page_props)
+    rows = L.with_key(c.targets, "raw_title").select("seq", "title")
+    found = L.by_title(rows, lambda titles: L.lookup_existing(titles, c.pages, c.page_props))
+    return found.drop("seq")
 
 
 @query("filter_list_articles")

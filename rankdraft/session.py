@@ -45,13 +45,3 @@ def table_bytes(df: DataFrame) -> int:
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return table_bytes(df) <= limit
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a scan that has fewer partitions than there are cores.
-
-    Such a scan is small, at most one file split per core; a larger one is left as
-    it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

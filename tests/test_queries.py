@@ -1,49 +1,13 @@
-"""Registered queries against their SQL twins on the smallest tables.
-
-The composite queries run long, so only some of them are checked here; set
-RANKDRAFT_ALL=1 for all.
-"""
-
-import os
+"""Registered queries against their SQL twins on the smallest tables."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from oracles import ORACLES
+from rankdraft.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-LONG = {
-    "stage_pipeline_override",
-    "stage_pipeline_strict",
-    "stage_pipeline_words",
-    "stage_pipeline_limits",
-    "stage_pipeline_distinct",
-    "limit_articles",
-    "limit_successes",
-    "range_endpoint",
-    "running_article_no",
-    "running_success_no",
-    "stage_rows",
-    "stage_summary",
-    "example_report",
-    "edit_revalidate",
-    "edit_plan",
-    "edit_log",
-    "edit_summary",
-    "rank_trace",
-    "rank_vote",
-    "best_rank_rules",
-    "conflict_rules",
-    "check_page",
-    "check_page_strict",
-    "check_criteria",
-    "generate_shortdesc",
-    "adjust_desc",
-    "adjust_desc_long",
-}
-NAMES = [
-    n for n in entry_points.queries() if os.environ.get("RANKDRAFT_ALL") or n not in LONG
-]
 
 
 @pytest.fixture(scope="module")
@@ -59,13 +23,15 @@ def comparable(columns, rows):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= entry_points.queries().items()
+    assert ORACLES.items() <= entry_points.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, duck, name):
-    frame = entry_points.queries()[name](spark, SF)
-    twin = duck.sql(entry_points.oracle_sql()[name])
+    frame = QUERIES[name](spark, SF)
+    twin = duck.sql(ORACLES[name])
     assert sorted(frame.columns) == sorted(twin.columns)
     got = comparable(frame.columns, [tuple(r) for r in frame.collect()])
     assert got and got == comparable(twin.columns, twin.fetchall())
