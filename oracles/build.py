@@ -456,6 +456,10 @@ ORACLES |= {
         FROM (SELECT title, {R.autobox_key('tc')} AS autobox_key FROM {TC}) a
         LEFT JOIN taxonomy x ON x.autobox_key = a.autobox_key"""
     ),
+    "reject_staged": statement(
+        "SELECT seq, CASE seq % 40 WHEN 6 THEN concat(seq, chr(9), raw_title) "
+        "ELSE concat('note ', seq) END AS line FROM tgt WHERE seq % 40 IN (6, 7)"
+    ),
     "scan_staged": statement(
         "SELECT seq, raw_title AS title, 'Species of alga' AS description FROM tgt "
         "WHERE seq % 40 NOT IN (3, 4, 5)"

@@ -88,6 +88,7 @@ def override_checks(desc: Column, kind: Column, cfg: JobConfig, mark: str) -> li
 
 
 FAILED = "**** "
+# Reasons as reported.
 NO_EDIT = "NO EDIT MADE: "
 NOW_MANUAL = NO_EDIT + "Page now has a manual description"
 MISMATCH = "ERROR: title mismatch"
@@ -123,37 +124,45 @@ def criteria_checks(
     return override_checks(desc, kind, cfg, FAILED) + lead_checks(lead, title, cfg)
 
 
-def edit_checks(page: dict[str, Column], cfg: JobConfig) -> list[Check]:
-    """Checks before an edit.
+def replacing_checks(desc: Column, kind: Column, cfg: JobConfig) -> list[Check]:
+    """Checks before an edit of the description in place."""
+    texts = {
+        "manual": NOW_MANUAL,
+        "embedded": NO_EDIT + "Page now has an embedded description",
+    }
+    return _kind_checks(kind, cfg, texts) + override_checks(desc, kind, cfg, NO_EDIT)
 
-    Keys kind, existing, redirect, exists, blank, description, bots_ok, title,
-    page_title.
-    """
+
+def page_state_checks(page: dict[str, Column]) -> list[Check]:
+    """Checks before an edit that have nothing to do with the description in place."""
     no_edit = NO_EDIT
-    checks = _kind_checks(
-        page["kind"],
-        cfg,
-        {
-            "manual": NOW_MANUAL,
-            "embedded": no_edit + "Page now has an embedded description",
-        },
-    )
-    checks += override_checks(page["existing"], page["kind"], cfg, no_edit)
-    description = page["description"]
-    return checks + [
+    return [
         (page["redirect"], no_edit + "Page has been converted to a redirect"),
         (~page["exists"], no_edit + "Page does not exist"),
         (page["blank"], no_edit + "Page blanked or a blank page has been served"),
-        (
-            description == page["existing"],
-            F.concat(F.lit(no_edit + 'No change to "'), description, F.lit('"')),
-        ),
-        (description.contains("*"), no_edit + 'Description starts with "*"'),
+        (page["description"].contains("*"), no_edit + 'Description starts with "*"'),
         (~page["bots_ok"], no_edit + "Bot is excluded by the Bots template"),
         (page["title"] != page["page_title"], MISMATCH),
     ]
 
 
+def edit_checks(page: dict[str, Column], cfg: JobConfig) -> list[Check]:
+    """Checks before an edit, in the order in which their texts are reported.
+
+    Keys kind, existing, redirect, exists, blank, description, bots_ok, title,
+    page_title.
+    """
+    description = page["description"]
+    same = F.concat(F.lit(NO_EDIT + 'No change to "'), description, F.lit('"'))
+    state = page_state_checks(page)
+    return (
+        replacing_checks(page["existing"], page["kind"], cfg)
+        + state[:3]
+        + [(description == page["existing"], same)]
+        + state[3:]
+    )
+
+
 BOTS_TEMPLATE = r"(?s)\{\{\s*((?:[Nn]ob|[Bb])ots)\s*((?:\|[^{}]*)?)\}\}"
 
 

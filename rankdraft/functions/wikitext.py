@@ -342,13 +342,21 @@ def rewrite_add(text: Column, description: Column) -> Column:
     return F.concat(shortdesc_template(description), F.lit("\n"), text)
 
 
-def rewrite_replace(text: Column, description: Column, existing: Column) -> Column:
-    """Swap the manual template; null when the page does not hold it.
+def cut_shortdesc(text: Column, existing: Column) -> Column:
+    """The text without the manual template, where that stands at the end of a line."""
+    for name in ("Short", "short"):
+        template = F.concat(shortdesc_template(existing, name), F.lit("\n"))
+        text = F.replace(text, template, F.lit(""))
+    return text
 
-    Only a template at the end of a line is removed.
-    """
-    old = [shortdesc_template(existing, name) for name in ("Short", "short")]
-    cut = text
-    for template in old:
-        cut = F.replace(cut, F.concat(template, F.lit("\n")), F.lit(""))
-    return F.when(text.contains(old[0]) | text.contains(old[1]), rewrite_add(cut, description))
+
+def without_shortdesc(text: Column, existing: Column) -> Column:
+    """As ``cut_shortdesc``; null when the page does not hold the template."""
+    first, second = (shortdesc_template(existing, name) for name in ("Short", "short"))
+    held = text.contains(first) | text.contains(second)
+    return F.when(held, cut_shortdesc(text, existing))
+
+
+def rewrite_replace(text: Column, description: Column, existing: Column) -> Column:
+    """Swap the manual template; null when the page does not hold it."""
+    return rewrite_add(without_shortdesc(text, existing), description)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankdraft.config import JobConfig
@@ -15,6 +15,7 @@ from rankdraft.sinks.staging import summary
 
 # Link text of edit summaries.
 POLICY_LINK = "[[Wikipedia:Short description|short description]]"
+BAD_LINE = "ERROR: line without a title and a description"
 NO_TEMPLATE = "ERROR: Cannot locate SD template, though it should exist"
 
 
@@ -60,7 +61,8 @@ def decide(
 ) -> DataFrame:
     """Staged rows (seq, title, description) with ``reason``, null where an edit may go on.
 
-    All rows are checked against the given state of the pages.
+    Rows of one page are checked in the order of the file, each against what those
+    before it leave there. ``page_desc`` and ``page_type`` are the given state.
     """
     keyed = staged.select(
         "seq",
@@ -77,11 +79,26 @@ def decide(
         .join(page_props.select("title", "shortdesc"), "title", "left")
         .fillna({"page_exists": False, "redirect": False, "has_template": False, "bots_ok": True})
         .fillna({"blank": True})
+        .withColumn("n_rows", F.col("n_targets"))
     )
     known = L.join_back(keyed, facts)
     desc, kind = W.existing_shortdesc(F.col("shortdesc"), F.col("has_template"))
-    known = known.withColumn("existing_desc", desc).withColumn("existing_type", kind)
-    page = {
+    known = known.withColumn("page_desc", desc).withColumn("page_type", kind)
+    state = _in_file_order(known, cfg)
+    return state.select(
+        "seq",
+        F.col("staged_title").alias("title"),
+        "description",
+        "existing_desc",
+        "existing_type",
+        first_reason(*C.edit_checks(_page(), cfg)).alias("reason"),
+        "page_desc",
+        "page_type",
+    )
+
+
+def _page() -> dict[str, Column]:
+    return {
         "kind": F.col("existing_type"),
         "existing": F.col("existing_desc"),
         "redirect": F.col("redirect"),
@@ -92,30 +109,44 @@ def decide(
         "title": F.col("staged_title"),
         "page_title": F.col("title"),
     }
-    return known.select(
-        "seq",
-        F.col("staged_title").alias("title"),
-        "description",
-        "existing_desc",
-        "existing_type",
-        first_reason(*C.edit_checks(page, cfg)).alias("reason"),
-    )
 
 
-def one_edit_per_page(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edits, other rows): a page is edited by its first row, later rows are skipped.
+def _in_file_order(rows: DataFrame, cfg: JobConfig) -> DataFrame:
+    """Add ``existing_desc`` and ``existing_type`` as each row finds them.
 
-    The first row of a title is an aggregate, so a title with any number of rows is
-    combined map-side.
+    A row that may edit its page leaves its own description there, as a manual one, for
+    the rows of that page behind it; one that repeats the description in place leaves it
+    as it is. So a row finds the description of the last row before it that may edit,
+    up to the first description that the policy does not let anyone change. Only titles
+    of several rows need an order, and only narrow rows are sorted for it.
     """
-    open_rows = decisions.where(F.col("reason").isNull())
-    others = [c for c in decisions.columns if c != "title"]
-    first = F.min_by(F.struct(*others), F.col("seq")).alias("row")
-    edits = open_rows.groupBy("title").agg(first).select("title", "row.*")
-    late = open_rows.join(edits.select("title", "seq"), ["title", "seq"], "left_anti")
-    late = late.withColumn("reason", F.lit(C.NOW_MANUAL)).select(decisions.columns)
-    skipped = decisions.where(F.col("reason").isNotNull()).unionByName(late)
-    return edits.select(decisions.columns), skipped
+    single = rows.where("n_rows = 1").select(
+        "*", F.col("page_desc").alias("existing_desc"), F.col("page_type").alias("existing_type")
+    )
+    may_edit = first_reason(*C.page_state_checks(_page())).isNull()
+    fixed = lambda desc, kind: first_reason(*C.replacing_checks(desc, kind, cfg)).isNotNull()
+    order = Window.partitionBy("title").orderBy("seq")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    left = F.when(F.col("_edits") & F.col("_changed"), F.col("description"))
+    several = (
+        rows.where("n_rows > 1")
+        .withColumn("_edits", may_edit)
+        # From the first row on that changes the given description, there is another.
+        .withColumn("_changes", may_edit & (F.col("description") != F.col("page_desc")))
+        .withColumn("_changed", F.max("_changes").over(so_far))
+        .withColumn("_left", left)
+        .withColumn("_stays", F.when(fixed(left, F.lit("manual")), left))
+        .withColumn("_last", F.last("_left", ignorenulls=True).over(earlier))
+        .withColumn("_end", F.first("_stays", ignorenulls=True).over(earlier))
+        .withColumn("_fixed", fixed(F.col("page_desc"), F.col("page_type")))
+    )
+    found = F.when(~F.col("_fixed"), F.coalesce("_end", "_last"))
+    several = several.withColumn("existing_desc", F.coalesce(found, "page_desc")).withColumn(
+        "existing_type", F.when(found.isNotNull(), "manual").otherwise(F.col("page_type"))
+    )
+    several = several.drop(*(c for c in several.columns if c.startswith("_")))
+    return single.unionByName(several)
 
 
 def plan_edits(
@@ -128,31 +159,40 @@ def plan_edits(
 ) -> DataFrame:
     """The edit plan: every staged row with its status and, for edits, the new text.
 
-    Decisions are taken on narrow rows first. Only pages that will be edited are
+    Rows of one page edit it one after the other, in the order of the file. Decisions are taken on narrow rows first. Only pages that will be edited are
     read in full, and where the list of edits has a checked size only their text, or
     none, is shuffled.
     """
     decisions = durable(decide(staged, pages, page_props, cfg, prune_titles))
     if cfg.on_mismatch == "fail" and not decisions.where(F.col("reason") == C.MISMATCH).isEmpty():
         raise ValueError("a staged title is not the title of its page")
-    edits, skipped = one_edit_per_page(decisions)
-
+    skipped = decisions.where(F.col("reason").isNotNull()).drop("page_desc", "page_type")
+    open_rows = decisions.where(F.col("reason").isNull())
     kind = F.col("existing_type")
     action = (
         F.when(kind.isNull(), "add").when(kind == "embedded", "override").otherwise("replace")
     )
-    edits = edits.withColumn("action", action)
+    earlier = Window.partitionBy("title").orderBy("seq").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    edits = open_rows.withColumn("action", action).withColumn(
+        "_earlier", F.collect_set("description").over(earlier)
+    )
     texts = pages.select("title", "text")
-    open_rows = decisions.where(F.col("reason").isNull())
     if fits_broadcast(open_rows, broadcast_bytes):
         edits = F.broadcast(edits)
     elif open_rows.count() <= prune_titles:
-        texts = L.only_titles(texts, edits)
-    replaced = W.rewrite_replace(F.col("text"), F.col("description"), F.col("existing_desc"))
-    new_text = F.when(F.col("action") == "replace", replaced).otherwise(
-        W.rewrite_add(F.col("text"), F.col("description"))
+        texts = L.only_titles(texts, open_rows)
+    # The text as the edits before have left it, but for the template in front.
+    given = F.when(
+        F.col("page_type") == "manual", W.without_shortdesc(F.col("text"), F.col("page_desc"))
+    ).otherwise(F.col("text"))
+    body = F.aggregate("_earlier", given, W.cut_shortdesc)
+    rewritten = (
+        texts.join(edits, "title")
+        .withColumn("new_text", W.rewrite_add(body, F.col("description")))
+        .drop("text", "_earlier", "page_desc", "page_type")
     )
-    rewritten = texts.join(edits, "title").withColumn("new_text", new_text).drop("text")
     found = F.col("new_text").isNotNull()
     summary_text = edit_summary_text(
         F.col("action"), F.col("description"), F.col("existing_desc"), cfg
@@ -166,6 +206,17 @@ def plan_edits(
     return rewritten.unionByName(skipped.withColumn("status", failed), allowMissingColumns=True)
 
 
+def rejected_rows(lines: DataFrame) -> DataFrame:
+    """Plan rows for lines (line_no, line) that hold no title and description."""
+    return lines.select(
+        F.col("line_no").alias("seq"),
+        F.col("line").alias("title"),
+        F.lit("").alias("description"),
+        F.lit("error").alias("status"),
+        F.lit(BAD_LINE).alias("reason"),
+    )
+
+
 def edit_log(plan: DataFrame) -> DataFrame:
     """Log lines of finished and failed edits; skipped rows are not logged."""
     line = F.when(

@@ -231,6 +231,21 @@ def scan_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged.scan_staged(spark, path)
 
 
+@query("reject_staged")
+def reject_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a reviewed file that lack the description, or hold no tab at all."""
+    line = (
+        F.when(F.col("seq") % 40 == 6, F.concat_ws("\t", "seq", "raw_title"))
+        .when(F.col("seq") % 40 == 7, F.concat(F.lit("note "), "seq"))
+        .when(F.col("seq") % 40 == 8, F.lit("|} note"))
+        .otherwise(F.concat_ws("\t", "seq", "raw_title", F.lit("Species of alga")))
+    )
+    path = _new_folder(spark, "reviewed")
+    Corpus(spark, sf_dir).targets.orderBy("seq").select(line.alias("value")).write.text(path)
+    rejected = staged.rejected_staged(lines.read_lines(spark, path))
+    return rejected.select(F.col("line_no").alias("seq"), "line")
+
+
 # ------------------------------------------------------------------ facts per target
 
 
@@ -558,7 +573,7 @@ def stage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stage_summary")
 def stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _stage(spark, sf_dir, P.DEFAULT)
-    return K.stage_summary(O.upto(run.verdicts, run.stop))
+    return K.stage_summary(run.verdicts)
 
 
 @query("example_report")
@@ -602,7 +617,8 @@ def edit_revalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drafts made under one policy, checked under a stricter one."""
     c = Corpus(spark, sf_dir)
     rows = _reviewed(spark, sf_dir, P.REPLACE)
-    return E.decide(rows, c.pages, c.page_props, P.OVERRIDE)
+    decided = E.decide(rows, c.pages, c.page_props, P.OVERRIDE)
+    return decided.drop("page_desc", "page_type")
 
 
 @query("ok_to_edit")

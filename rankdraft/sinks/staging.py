@@ -29,6 +29,11 @@ def tsv_line(*columns: str) -> Column:
     return F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
 
 
+def write_lines(rows: DataFrame, path: str, *columns: str) -> None:
+    """Write columns as a folder of tab-separated text parts."""
+    rows.select(tsv_line(*columns).alias("value")).write.text(path)
+
+
 def staging_lines(staged: DataFrame) -> DataFrame:
     return staged.select(tsv_line(*STAGED_COLUMNS).alias("value"))
 

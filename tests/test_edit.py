@@ -1,5 +1,8 @@
+import dataclasses
 import datetime
 import glob
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,8 +54,8 @@ def test_default_policy(tables):
         6: (None, "skipped", no + "Bot is excluded by the Bots template"),
         7: (None, "skipped", no + "Page now has a manual description"),
         8: (None, "skipped", no + "Page now has a manual description"),
-        9: (None, "skipped", no + 'Description starts with "*"'),
-        10: (None, "error", C.MISMATCH),
+        9: (None, "skipped", no + "Page now has a manual description"),
+        10: (None, "skipped", no + "Page now has a manual description"),
         11: (None, "skipped", no + "Page now has a manual description"),
     }
 
@@ -64,6 +67,9 @@ def test_replacing_policy(tables):
     assert got[2] == ("override", "success", None)
     assert got[7] == ("replace", "error", E.NO_TEMPLATE)
     assert got[8][2] == 'NO EDIT MADE: No change to "Same"'
+    assert got[9][2] == 'NO EDIT MADE: Description starts with "*"'
+    assert got[10] == (None, "error", C.MISMATCH)
+    assert got[11] == ("replace", "success", None)
     texts = {r["seq"]: (r["new_text"], r["edit_summary"]) for r in plan.where("status = 'success'").collect()}
     bot = "[[User:descbot|descbot]] "
     link = "[[Wikipedia:Short description|short description]]"
@@ -72,11 +78,15 @@ def test_replacing_policy(tables):
         0: (new + "Text of A", f'{bot}adding {link} "Genus of algae"'),
         1: (new + "Text", f'{bot}changing {link} from "Old" to "Genus of algae"'),
         2: (new + "{{Infobox}} text", f'{bot}overriding {link} from infobox with "Genus of algae"'),
+        11: (
+            "{{Short description|Twice}}\nText of A",
+            f'{bot}changing {link} from "Genus of algae" to "Twice"',
+        ),
     }
     lines = {r["seq"]: r["line"] for r in E.edit_log(plan).collect()}
     assert lines[0] == "A\tGenus of algae" and lines[7] == "H\t FAILED: Genus of algae"
     summary = E.edit_summary(plan).first()
-    assert (summary["targets"], summary["success"], summary["failure"], summary["skipped"]) == (5, 3, 2, 7)
+    assert (summary["targets"], summary["success"], summary["failure"], summary["skipped"]) == (6, 4, 2, 6)
 
 
 def test_sizes_do_not_change_the_plan(tables):
@@ -92,7 +102,7 @@ def test_sizes_do_not_change_the_plan(tables):
 
 def test_mismatch_can_stop_the_run(tables):
     with pytest.raises(ValueError):
-        E.plan_edits(*tables, JobConfig(on_mismatch="fail"))
+        E.plan_edits(*tables, dataclasses.replace(P.REPLACE, on_mismatch="fail"))
 
 
 def test_second_run_edits_nothing(spark, tables):
@@ -113,9 +123,9 @@ def test_second_run_edits_nothing(spark, tables):
 def test_logs(tmp_path, tables):
     plan = E.plan_edits(*tables, P.REPLACE)
     paths = E.write_logs(plan, str(tmp_path), P.REPLACE, "2026")
-    assert [p.split("/")[-1] for p in paths] == ["log_success (3) 2026.tsv", "log_fail (2) 2026.tsv"]
+    assert [p.split("/")[-1] for p in paths] == ["log_success (4) 2026.tsv", "log_fail (2) 2026.tsv"]
     parts = glob.glob(glob.escape(paths[0]) + "/part-*")
-    assert sum(len(open(p).read().splitlines()) for p in parts) == 3
+    assert sum(len(open(p).read().splitlines()) for p in parts) == 4
     person = JobConfig(username="someone")
     assert E.log_name(person, "success", 1, "x") == "someone non-bot log_success (1) x.tsv"
     E.write_plan(plan, str(tmp_path / "plan"))
@@ -136,6 +146,91 @@ def test_runs_from_file_to_file(spark, tmp_path):
     row = edited.summary.first()
     assert row["success"] + row["failure"] + row["skipped"] == 77
     assert [f.split("/")[-1].split(" ")[0] for f in edited.files] == ["edit_plan", "log_success"]
+    names = [f.split("/")[-1].split(" ")[0] for f in staged.files]
+    assert names[-2:] == ["skipped", "examples"] and staged.rejected == 0
     by_category = JobConfig(use_basefile=False, targetcat=ROOT_CATEGORY)
     staged = run_stage(spark, by_category, corpus.tables, str(tmp_path / "c"), now, corpus.links)
     assert staged.summary.first()["targets"] > 0
+
+
+def loop(staged, texts, props, cfg):
+    """The rows one after the other, as (action, new text), or the reason."""
+    out, rule = {}, re.compile(cfg.existing_desc_regex)
+    for seq, title, new in staged:
+        text, old = texts.get(title, ""), props.get(title, "")
+        manual = "{{Short description|" in text or "{{short description|" in text
+        kind = ("manual" if manual else "embedded") if old else None
+        if kind and not getattr(cfg, f"override_{kind}"):
+            out[seq] = f"Page now has a{'n' * (kind == 'embedded')} {kind} description"
+        elif kind and not rule.match(old):
+            out[seq] = "Existing description does not match regex"
+        elif kind and any(w in old for w in cfg.existing_desc_excluded_words):
+            out[seq] = "Excluded word present in existing SD"
+        elif not text:
+            out[seq] = "Page does not exist"
+        elif new == old:
+            out[seq] = "No change to"
+        elif "*" in new:
+            out[seq] = "Description starts with"
+        else:
+            cut = text
+            if kind == "manual":
+                for name in ("Short", "short"):
+                    cut = cut.replace("{{" + name + " description|" + old + "}}\n", "")
+            texts[title] = "{{Short description|" + new + "}}\n" + cut
+            props[title] = new
+            action = {None: "add", "embedded": "override", "manual": "replace"}[kind]
+            out[seq] = (action, texts[title])
+    return out
+
+
+@pytest.mark.parametrize("policy", ["default", "replace", "words"])
+def test_rows_of_one_page_follow_each_other(spark, policy):
+    cfg = {
+        "default": JobConfig(),
+        "replace": JobConfig(override_manual=True, override_embedded=True),
+        "words": JobConfig(
+            override_manual=True,
+            override_embedded=True,
+            existing_desc_regex="[DE]",
+            existing_desc_excluded_words=("2",),
+        ),
+    }[policy]
+    draw = random.Random(policy)
+    texts, props = {}, {}
+    for i in range(60):
+        old = draw.choice(["D1", "D2", "E1", "X", ""])
+        manual = "{{%short description|%s}}\n" % (draw.choice("Ss") + "", old)
+        manual = manual.replace("{{Sshort", "{{Short").replace("{{sshort", "{{short")
+        texts[f"P{i}"] = (manual if old and draw.random() < 0.6 else "") + f"Text {i}"
+        if old:
+            props[f"P{i}"] = old
+    staged = [
+        (n, f"P{draw.randrange(62)}", draw.choice(["D1", "D2", "E1", "X", "* x", "E2"]))
+        for n in range(400)
+    ]
+    frames = (
+        spark.createDataFrame(staged, "seq bigint, title string, description string"),
+        spark.createDataFrame(list(texts.items()), "title string, text string"),
+        spark.createDataFrame(list(props.items()), "title string, shortdesc string"),
+    )
+    plan = E.plan_edits(*frames, cfg).collect()
+    assert sorted(r["seq"] for r in plan) == list(range(400))
+    expected = loop(staged, dict(texts), dict(props), cfg)
+    for row in plan:
+        want = expected[row["seq"]]
+        if row["status"] == "success":
+            assert (row["action"], row["new_text"]) == want
+        else:
+            assert want in row["reason"]
+
+
+def test_lines_that_cannot_be_used_are_failed_rows(spark, tmp_path):
+    (tmp_path / "staged.tsv").write_text("1\tA\tGenus\t\t\n2\tB\njunk\n\n{| x\n")
+    pages = spark.createDataFrame([("A", "Text")], "title string, text string")
+    props = spark.createDataFrame([], "title string, shortdesc string")
+    now = datetime.datetime(2026, 1, 2, 3, 4)
+    path = str(tmp_path / "staged.tsv")
+    done = run_edit(spark, JobConfig(), pages, props, str(tmp_path / "out"), now, path)
+    row = done.summary.first()
+    assert (row["success"], row["failure"], row["skipped"], done.rejected) == (1, 2, 0, 2)

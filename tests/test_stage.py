@@ -40,8 +40,11 @@ def test_every_target_is_skipped_failed_or_staged(corpus, default_run):
 
 def test_long_target_lists_give_the_same_verdicts(corpus, default_run):
     wide = S.run(keyed(corpus), corpus.tables, P.DEFAULT, hot_rows=0, prune_titles=0)
-    columns = ["seq", "title", "skip_reason", "ok"]
+    columns = default_run.verdicts.columns
     assert rows(wide.verdicts, *columns) == rows(default_run.verdicts, *columns)
+    assert rows(wide.skipped(), "seq", "title", "skip_reason") == rows(
+        default_run.skipped(), "seq", "title", "skip_reason"
+    )
     assert rows(wide.staged(), "n", "title", "description", "lead") == rows(
         default_run.staged(), "n", "title", "description", "lead"
     )
@@ -58,6 +61,9 @@ def test_limits_cut_the_unlimited_run(corpus, default_run):
     good = S.stage(corpus.targets, corpus.tables, JobConfig(max_stage=5))
     fifth = [n for n, _, ok in whole if ok][4]
     assert rows(good.staged(), "n", "title", "ok") == whole[:fifth]
+    columns = good.verdicts.columns
+    cut = default_run.verdicts.where(F.col("seq") <= good.stop)
+    assert rows(good.verdicts, *columns) == rows(cut, *columns)
     both = S.stage(corpus.targets, corpus.tables, JobConfig(max_stage=5, max_arts=2))
     assert rows(both.staged(), "n", "title", "ok") == whole[:2]
     too_many = S.stage(corpus.targets, corpus.tables, JobConfig(max_arts=10_000))
