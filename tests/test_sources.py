@@ -40,3 +40,19 @@ def test_staged(spark, tmp_path):
     path = write(tmp_path, "s.tsv", text)
     got = [tuple(r) for r in staged.scan_staged(spark, path).orderBy("seq").collect()]
     assert got == [(1, "A", "Species of alga"), (3, "B", "*** : x"), (5, "D", "d")]
+
+
+def test_parts_of_many_digits_keep_their_order(spark, tmp_path):
+    names = ["part-99998-x", "part-99999-x", "part-100000-x", "part-100001-x"]
+    for i, name in enumerate(names):
+        path = write(tmp_path, name, f"{i}a\x0c\n{i}b\n")
+    rows = lines.read_lines(spark, path).orderBy("line_no").collect()
+    assert [r["line"] for r in rows] == [f"{i}{x}" for i in range(4) for x in "ab"]
+
+
+def test_rejected_lines_of_a_reviewed_file(spark, tmp_path):
+    path = write(tmp_path, "s.tsv", "1\tA\tGenus\n2\tB\njunk\n \n{| x\ty\n")
+    read = lines.read_lines(spark, path)
+    rejected = staged.rejected_staged(read).orderBy("line_no").collect()
+    assert [r["line"] for r in rejected] == ["2\tB", "junk"]
+    assert staged.parse_staged(read).count() == 1
