@@ -14,6 +14,7 @@ from rankdraft.llm import (
     fingerprints,
     language_id,
     near_duplicates,
+    oracles,
     pii,
     substring_dedup,
     token_counts,
@@ -96,3 +97,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+ORACLES |= {
+    "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op6_decontamination": oracles.DECONTAMINATION,
+}
