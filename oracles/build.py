@@ -678,6 +678,9 @@ ORACLES |= {
     "edit_plan": statement(
         "SELECT title, new_text, edit_summary FROM plan WHERE status = 'success'", _edits
     ),
+    "edit_plan_long": statement(
+        "SELECT title, new_text, edit_summary FROM plan WHERE status = 'success'", _edits
+    ),
     "edit_log": statement(
         "SELECT seq, title, status, CASE WHEN status = 'success' THEN title || chr(9) || description "
         "ELSE title || chr(9) || ' FAILED: ' || description END AS line FROM plan WHERE status <> 'skipped'",

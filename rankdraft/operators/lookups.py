@@ -24,6 +24,8 @@ HOT_ROWS = 1_000_000
 # broadcast. A longer list covers much of the tables anyway.
 PRUNE_TITLES = 2_000_000
 SALTS = 32
+# Words of 64 bits in the bitmap for longer lists; about 100 MB once broadcast.
+BITMAP_WORDS = 1 << 21
 
 
 def with_key(df: DataFrame, raw: str = "title") -> DataFrame:
@@ -125,6 +127,26 @@ def only_titles(table: DataFrame, titles: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(hashes), "_hash", "left_semi").drop("_hash")
 
 
+def maybe_titles(table: DataFrame, titles: DataFrame) -> DataFrame:
+    """Rows of a table whose title may be in a list of any length.
+
+    A bitmap of BITMAP_WORDS words at most is broadcast, whatever the length of the
+    list. Titles that share a bit by chance stay in: one in ten with 14 million titles,
+    half with 90 million. The join that follows compares the titles themselves.
+    """
+
+    def place(df: DataFrame) -> DataFrame:
+        chance = F.xxhash64("title")
+        return df.withColumn("_word", F.pmod(chance, F.lit(BITMAP_WORDS))).withColumn(
+            "_bit", F.pmod(F.shiftright(chance, 40), F.lit(64)).cast("int")
+        )
+
+    bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))
+    words = place(titles.select("title")).groupBy("_word").agg(F.bit_or(bits).alias("_bits"))
+    found = place(table).join(F.broadcast(words), "_word")
+    return found.where(F.getbit("_bits", "_bit") == 1).drop("_word", "_bit", "_bits")
+
+
 def lookup_shortdesc(titles: DataFrame, page_props: DataFrame) -> DataFrame:
     """Titles with the ``shortdesc`` page property, null when absent."""
     return titles.join(page_props.select("title", "shortdesc"), "title", "left")

@@ -159,9 +159,9 @@ def plan_edits(
 ) -> DataFrame:
     """The edit plan: every staged row with its status and, for edits, the new text.
 
-    Rows of one page edit it one after the other, in the order of the file. Decisions are taken on narrow rows first. Only pages that will be edited are
-    read in full, and where the list of edits has a checked size only their text, or
-    none, is shuffled.
+    Rows of one page edit it one after the other, in the order of the file. Decisions
+    are taken on narrow rows first. Only pages that will be edited are read in full, and
+    only their text, or none, is shuffled.
     """
     decisions = durable(decide(staged, pages, page_props, cfg, prune_titles))
     if cfg.on_mismatch == "fail" and not decisions.where(F.col("reason") == C.MISMATCH).isEmpty():
@@ -183,6 +183,8 @@ def plan_edits(
         edits = F.broadcast(edits)
     elif open_rows.count() <= prune_titles:
         texts = L.only_titles(texts, open_rows)
+    else:
+        texts = L.maybe_titles(texts, open_rows)
     # The text as the edits before have left it, but for the template in front.
     given = F.when(
         F.col("page_type") == "manual", W.without_shortdesc(F.col("text"), F.col("page_desc"))

@@ -645,6 +645,15 @@ def edit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("title", "new_text", "edit_summary")
 
 
+@query("edit_plan_long")
+def edit_plan_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same plan the way a very long list of edits takes."""
+    c = Corpus(spark, sf_dir)
+    rows = _reviewed(spark, sf_dir, P.REPLACE)
+    plan = E.plan_edits(rows, c.pages, c.page_props, P.REPLACE, broadcast_bytes=0, prune_titles=0)
+    return plan.where(F.col("status") == "success").select("title", "new_text", "edit_summary")
+
+
 @query("edit_log")
 def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.edit_log(_plan(spark, sf_dir))

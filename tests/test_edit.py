@@ -11,6 +11,7 @@ from rankdraft import profiles as P
 from rankdraft.config import JobConfig
 from rankdraft.corpus import ROOT_CATEGORY, Corpus
 from rankdraft.functions import checks as C
+from rankdraft.operators import lookups as L
 from rankdraft.plans import edit as E
 from rankdraft.run import run_edit, run_stage, runner
 
@@ -100,6 +101,14 @@ def test_sizes_do_not_change_the_plan(tables):
         assert sorted(map(str, other.select(columns).collect())) == whole
 
 
+def test_long_lists_are_pruned_by_a_bitmap(spark):
+    pages = spark.range(3000).selectExpr("concat('T', id) AS title", "id")
+    asked = spark.range(0, 3000, 100).selectExpr("concat('T', id) AS title")
+    kept = L.maybe_titles(pages, asked)
+    assert kept.columns == pages.columns
+    assert asked.join(kept, "title", "left_anti").count() == 0 and kept.count() < 100
+
+
 def test_mismatch_can_stop_the_run(tables):
     with pytest.raises(ValueError):
         E.plan_edits(*tables, dataclasses.replace(P.REPLACE, on_mismatch="fail"))
