@@ -1,10 +1,13 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-From every run of 10 words a text keeps the least hash of its 5-word grams, so that a
+From every window of 10 words a text keeps the least hash of its 5-word grams, so that a
 text and a benchmark item that share 10 words also share a kept hash. Kept hashes of
-the texts are joined to those of the benchmark; every hit carries the words around it,
-and is extended to the windows of 10 words that hold the gram. Those are compared word
-for word with the windows of the items.
+the texts are joined to those of the benchmark. A hit still has the words of its window,
+which are compared word for word with the windows of the items; windows that follow each
+other extend a hit to the whole passage.
+
+Windows are rows of shifted word arrays, not lambdas over arrays, so that hashing and the
+join to a benchmark of checked size run as compiled code, one row after the other.
 
 An item of fewer than 10 words is one window of its own length; for each such length
 that occurs (nine at most) the same is done with shorter grams.
@@ -15,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankdraft.functions.arrays import let
 from rankdraft.llm.common import stored, texts
 from rankdraft.session import BROADCAST_BYTES, fits_broadcast
 
@@ -31,64 +33,46 @@ def words(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def joined(words: Column) -> Column:
-    """Words of a window as one string, A-Z in lower case."""
-    return F.translate(F.array_join(words, " "), UPPER, LOWER)
-
-
 def gram_length(window: int) -> int:
     return (window + 1) // 2
 
 
-def kept_grams(words: Column, window: int) -> Column:
-    """Array of (at, hash): the least gram hash of each window, with its place from 0.
+def windows(rows: DataFrame, columns: list[str], window: int) -> DataFrame:
+    """``columns`` of each window, its ``start`` from 0, and its words ``w0``, ``w1``, ..."""
+    n = F.greatest(F.size("words") - window + 1, F.lit(0))
+    shifted = [F.slice("words", F.lit(k + 1), n) for k in range(window)]
+    each = rows.select(*columns, F.posexplode(F.arrays_zip(*shifted)).alias("start", "w"))
+    return each.select(
+        *columns, "start", *(F.col("w").getField(str(k)).alias(f"w{k}") for k in range(window))
+    )
+
+
+def kept_hash(found: DataFrame, window: int) -> DataFrame:
+    """Add ``hash``, the least gram hash of each window.
 
     Letters are folded a little further than the windows ask, which can only add hits.
     """
     size = gram_length(window)
-    hashes = F.transform(words, lambda w: F.xxhash64(F.lower(w)))
-
-    def grams(h: Column) -> Column:
-        last = F.size(h) - size
-        return F.when(
-            last >= 0,
-            F.transform(
-                F.sequence(F.lit(0), last),
-                lambda i: F.struct(
-                    F.xxhash64(*(h[i + k] for k in range(size))).alias("hash"), i.alias("at")
-                ),
-            ),
-        )
+    hashed = found.select("*", *(F.xxhash64(F.lower(f"w{k}")).alias(f"h{k}") for k in range(window)))
+    grams = [
+        F.xxhash64(*(f"h{k + j}" for j in range(size))) for k in range(window - size + 1)
+    ]
+    least = F.least(*grams) if len(grams) > 1 else grams[0]
+    return hashed.withColumn("hash", least).drop(*(f"h{k}" for k in range(window)))
 
-    def least(g: Column) -> Column:
-        span = window - size + 1
-        last = F.size(g) - span
-        return F.when(
-            last >= 0,
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(0), last),
-                    lambda i: F.array_min(F.slice(g, i + 1, F.lit(span))),
-                )
-            ),
-        )
 
-    return let(hashes, lambda h: let(grams(h), least))
+def joined(window: int) -> Column:
+    """Words of a window as one string, A-Z in lower case."""
+    return F.translate(F.concat_ws(" ", *(f"w{k}" for k in range(window))), UPPER, LOWER)
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """(gram, item_id): the windows of the items for this window length."""
+    """(gram, hash, item_id): the windows of the items for this window length."""
     listed = items.filter("item_id IS NOT NULL").withColumn("words", words(F.col("text")))
-    n = F.size("words")
-    fits = n >= window if window == WINDOW else n == window
-    starts = F.sequence(F.lit(1), n - window + 1)
-    grams = F.transform(starts, lambda i: joined(F.slice(F.col("words"), i, F.lit(window))))
-    return (
-        listed.filter(fits)
-        .select("item_id", F.explode(grams).alias("gram"))
-        .select("gram", F.col("item_id").cast("string").alias("item_id"))
-        .distinct()
-    )
+    fits = F.size("words") >= window if window == WINDOW else F.size("words") == window
+    found = kept_hash(windows(listed.filter(fits), ["item_id"], window), window)
+    item = F.col("item_id").cast("string").alias("item_id")
+    return found.select(joined(window).alias("gram"), "hash", item).distinct()
 
 
 def window_lengths(items: DataFrame) -> list[int]:
@@ -100,32 +84,15 @@ def window_lengths(items: DataFrame) -> list[int]:
 
 def hits(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """(doc_id, digest, start, item_id): windows of the texts that are windows of items."""
-    grams = item_windows(items, window)
-    kept = kept_grams(F.split("gram", " "), window)
-    known = grams.select(F.explode(kept).alias("kept")).select("kept.hash").distinct()
-    if fits_broadcast(known, BROADCAST_BYTES):
-        known = F.broadcast(known)
-    size = gram_length(window)
-    reach = window - size
-    split = rows.withColumn("words", words(F.col("text")))
-    found = (
-        split.withColumn("kept", F.explode(kept_grams(F.col("words"), window)))
-        .select("doc_id", "digest", "words", "kept.hash", "kept.at")
-        .join(known, "hash", "left_semi")
-    )
-    # The windows that hold the gram start up to ``reach`` words before it.
-    first = F.greatest(F.col("at") - reach, F.lit(0))
-    last = F.least(F.col("at"), F.size("words") - window)
-    starts = F.sequence(first, last)
-    spans = F.transform(
-        starts,
-        lambda s: F.struct(
-            s.alias("start"), joined(F.slice(F.col("words"), s + 1, F.lit(window))).alias("gram")
-        ),
-    )
-    windows = found.filter(last >= first).select("doc_id", "digest", F.explode(spans).alias("w"))
-    windows = windows.select("doc_id", "digest", "w.start", "w.gram")
-    return windows.join(grams, "gram").select("doc_id", "digest", "start", "item_id").distinct()
+    grams = stored(item_windows(items, window), "benchmark")
+    known = grams.select("hash").distinct()
+    listed = grams.select("gram", "item_id")
+    if fits_broadcast(grams, BROADCAST_BYTES):
+        known, listed = F.broadcast(known), F.broadcast(listed)
+    split = rows.select("doc_id", "digest", words(F.col("text")).alias("words"))
+    found = kept_hash(windows(split, ["doc_id", "digest"], window), window)
+    found = found.join(known, "hash", "left_semi").withColumn("gram", joined(window))
+    return found.join(listed, "gram").select("doc_id", "digest", "start", "item_id").distinct()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
