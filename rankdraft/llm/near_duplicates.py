@@ -8,8 +8,16 @@ their weighted shingles, the plain Jaccard similarity where no shingle repeats.
 
 Candidates: texts that agree in all components of a band share a bucket. Verification
 is exact, by the Jaccard similarity of the distinct shingles. Buckets are not expanded
-into pairs: first all members are compared with the bucket's hub, the member that meets
-most others; then only members that are still in different classes are compared, so
+into pairs. First all members are compared with the bucket's hub, the member that meets
+most others. What a pair x, y that is not in one class yet can still share follows from
+the shingles that each has in common with the hub, a, and those of its own, e:
+
+* if they share none of their own, they have at most a_x in common, of at least
+  |y| + e_x, so to reach the similarity s, |y| must not exceed a_x / s - e_x, nor |x|
+  a_y / s - e_y. Hardly any member that is not like the hub gets that far;
+* else they meet in some of their own shingles, and in as many as the sizes ask for.
+
+Only such pairs are compared in a second round. All others are proven to be unlike, so
 that every link between candidates ends up in the classes.
 """
 
@@ -17,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankdraft.llm.common import map_slices, stored, texts
@@ -32,7 +40,7 @@ BANDS = 24
 ROWS = 4
 COMPONENTS = BANDS * ROWS
 
-SKETCHED = "doc_id long, digest binary, n_shingles int, bands array<long>"
+SKETCHED = "doc_id long, digest binary, bands array<long>"
 SETS = "node long, shingles array<long>"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,7 +91,6 @@ def _sketched(part: pa.RecordBatch) -> dict[str, object]:
     return {
         "doc_id": part["doc_id"],
         "digest": part["digest"],
-        "n_shingles": pa.array(sizes.astype(np.int32)),
         "bands": pa.array(bands, pa.list_(pa.int64())),
     }
 
@@ -108,7 +115,6 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     a null class, a null text is a class of its own. Texts without a word are alike only
     if equal. Texts of fewer than five words are one shingle.
     """
-    spark = docs.sparkSession
     rows = texts(docs).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     usable = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
@@ -119,7 +125,6 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
         .groupBy("digest")
         .agg(
             F.min("doc_id").alias("node"),
-            F.any_value("n_shingles").alias("n"),
             F.any_value("bands").alias("bands"),
         ),
         "sketches",
@@ -127,18 +132,21 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     buckets = stored(_buckets(nodes), "buckets")
     sets = stored(map_slices(_texts_of(usable, buckets), SETS, _sets), "shingle-sets")
 
-    hubs = _hubs(buckets)
-    to_hub = buckets.join(hubs.select("key", "hub", F.col("n").alias("n_hub")), "key")
-    pairs = to_hub.filter("node <> hub").select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "n", "n_hub"
+    hubs = stored(_hubs(buckets), "hubs")
+    met = buckets.join(hubs, "key").filter("node <> hub").select("hub", "node").distinct()
+    compared = stored(_compared(met, sets), "compared")
+    first = compared.filter(_alike("n_hub", "n", similarity)).select(
+        F.col("hub").alias("a"), F.col("node").alias("b")
     )
-    first = _verified(pairs, sets, similarity)
     roots = stored(components(first), "components")
 
-    across = _across(buckets, hubs.select("key", "hub"), roots)
-    second = _verified(across, sets, similarity)
-    # Rows that share an id but not a text are one node already. Classes of the first
-    # round take part as links to their roots.
+    open_pairs = _open_pairs(buckets, hubs, compared, roots, sets, similarity)
+    second = (
+        _compared(open_pairs, sets)
+        .filter(_alike("n_hub", "n", similarity))
+        .select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    )
+    # Classes of the first round take part as links to their roots.
     held = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     classes = components(held.unionByName(second))
 
@@ -153,19 +161,19 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, meets) for all buckets of two nodes or more; ``meets`` is how many
+    """(key, node, meets) for all buckets of two nodes or more; ``meets`` is how many
     others a node meets in all its buckets."""
-    members = nodes.select("node", "n", F.explode("bands").alias("key"))
+    members = nodes.select("node", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     kept = members.join(shared, "key")
     meets = kept.groupBy("node").agg(F.sum("size").alias("meets"))
-    return kept.join(meets, "node").select("key", "node", "n", "meets")
+    return kept.join(meets, "node").select("key", "node", "meets")
 
 
 def _hubs(buckets: DataFrame) -> DataFrame:
-    best = F.max(F.struct("meets", (-F.col("node")).alias("minus"), "n")).alias("best")
+    best = F.max(F.struct("meets", (-F.col("node")).alias("minus"))).alias("best")
     hubs = buckets.groupBy("key").agg(best)
-    return hubs.select("key", (-F.col("best.minus")).alias("hub"), F.col("best.n").alias("n"))
+    return hubs.select("key", (-F.col("best.minus")).alias("hub"))
 
 
 def _texts_of(rows: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -177,47 +185,87 @@ def _texts_of(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     return rows.join(listed, "doc_id", "left_semi").select("doc_id", "text")
 
 
-def _across(buckets: DataFrame, hubs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that are not in one class yet.
+def _alike(n_a: str, n_b: str, similarity: float) -> Column:
+    return F.col("shared") >= similarity * (F.col(n_a) + F.col(n_b) - F.col("shared"))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, node, n_hub, n, shared) of distinct pairs (hub, node); exact."""
+    left = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("_of_hub"))
+    both = pairs.join(sets, "node").join(left, "hub")
+    shared = F.size(F.array_intersect("_of_hub", "shingles"))
+    return both.select(
+        "hub", "node", F.size("_of_hub").alias("n_hub"), F.size("shingles").alias("n"),
+        shared.alias("shared"),
+    )
+
 
-    One of the two is always outside of the hub's class, and in a bucket whose members
-    all belong to one class there is nothing to compare.
+def _open_pairs(
+    buckets: DataFrame,
+    hubs: DataFrame,
+    compared: DataFrame,
+    roots: DataFrame,
+    sets: DataFrame,
+    similarity: float,
+) -> DataFrame:
+    """(hub, node): pairs of a bucket in different classes that may still be alike.
+
+    One of the two, x, is always outside of the class of the bucket's hub.
     """
-    placed = buckets.join(roots, "node", "left").select(
-        "key", "node", "n", F.coalesce("root", "node").alias("root")
+    # Of each hub and member: own class, the hub's, sizes shared and own.
+    hub_roots = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    near = (
+        compared.join(roots, "node", "left")
+        .join(hub_roots, "hub", "left")
+        .select(
+            "hub",
+            "node",
+            "n",
+            "shared",
+            F.coalesce("root", "node").alias("root"),
+            F.coalesce("hub_root", "hub").alias("hub_root"),
+            # The largest partner that shares nothing of the member's own.
+            (F.col("shared") / similarity - (F.col("n") - F.col("shared"))).alias("reach"),
+        )
     )
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = mixed.filter("low <> high").select("key").join(hubs, "key")
-    hub_root = mixed.join(
-        roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left"
-    ).select("key", "hub", F.coalesce("hub_root", "hub").alias("hub_root"))
-    members = placed.join(hub_root, "key")
-    outside = members.filter("root <> hub_root").select(
-        "key", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x")
+    outside = F.col("root") != F.col("hub_root")
+    # Hubs all of whose members are in their class have no open pairs.
+    mixed = near.filter(outside).select("hub").distinct()
+    near = stored(near.join(mixed, "hub", "left_semi"), "open-members")
+    x = [F.col(c).alias(f"{c}_x") for c in ("node", "n", "root", "reach")]
+    differ = "root <> root_x AND (root = hub_root OR node < node_x)"
+
+    placed = buckets.select("key", "node").join(hubs, "key").join(near, ["hub", "node"])
+    least = placed.groupBy("key").agg(F.min("n").alias("least"))
+    far = placed.filter(outside).join(least, "key").filter("reach >= least").select("key", *x)
+    by_size = placed.join(far, "key").filter(f"{differ} AND n <= reach_x AND n_x <= reach")
+
+    # With c shingles of their own in common, c at least what their sizes ask for beyond
+    # what both share with the hub, two members also share one that is not among the
+    # c - 1 most frequent of either. Rare ones come first, so chance meetings drop out.
+    in_hub = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("_of_hub"))
+    least = near.groupBy("hub").agg(F.min("n").alias("least"))
+    asked = similarity / (1 + similarity) * (F.col("n") + F.col("least")) - F.col("shared")
+    own = near.join(least, "hub").withColumn("asked", F.greatest(F.ceil(asked - 1e-9), F.lit(1)))
+    own = own.join(sets, "node").join(in_hub, "hub").withColumn(
+        "shingle", F.explode(F.array_except("shingles", "_of_hub"))
+    ).drop("shingles", "_of_hub")
+    met = own.groupBy("hub", "shingle").agg(
+        F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")
     )
-    pairs = members.filter("node <> hub").join(outside, "key")
-    pairs = pairs.filter("root <> root_x AND (root = hub_root OR node < x)")
-    return pairs.select(
-        F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"), "n",
-        F.col("n_x").alias("n_hub"),
+    met = met.filter("low < high").select("hub", "shingle", "members")
+    of_node = Window.partitionBy("hub", "node")
+    own = (
+        own.join(met, ["hub", "shingle"])
+        .withColumn("place", F.row_number().over(of_node.orderBy("members", "shingle")))
+        .withColumn("found", F.count("*").over(of_node))
+        .filter("place <= found - asked + 1")
     )
+    far = own.filter(outside).select("hub", "shingle", *x)
+    by_own = own.join(far, ["hub", "shingle"]).filter(differ)
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of the pairs whose shingles are similar enough; exact."""
-    # Sets whose sizes differ too much cannot be similar.
-    close = F.least("n", "n_hub") >= F.lit(similarity) * F.greatest("n", "n_hub")
-    wanted = pairs.filter(close).select("a", "b").distinct()
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    both = wanted.join(right, "b").join(left, "a")
-    return both.filter(jaccard(F.col("of_a"), F.col("of_b")) >= similarity).select("a", "b")
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays of distinct values."""
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
+    pair = [F.col("node_x").alias("hub"), "node"]
+    return by_size.select(*pair).unionByName(by_own.select(*pair)).distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
