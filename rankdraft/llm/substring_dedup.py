@@ -15,7 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankdraft.llm.common import map_slices, stored, texts
@@ -27,8 +27,13 @@ WINDOW = 50
 
 ANCHORS = "doc_id long, digest binary, keys array<long>, at array<int>, n array<int>"
 WHOLE = "doc_id long, digest binary, n_words long, whole_sha256 string"
-WINDOWS = "node long, digest binary, h1 long, h2 long, at int"
-CUT = "node long, digest binary, n_removed long, kept_sha256 string"
+WINDOWS = "node long, tag int, h1 long, h2 long, at int, later boolean"
+CUT = "node long, tag int, n_removed long, kept_sha256 string"
+
+
+def _tag() -> Column:
+    """A few bits of the digest, which tell texts of one id apart."""
+    return F.hash("digest")
 
 
 def _lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -70,10 +75,10 @@ def _whole(part: pa.RecordBatch) -> dict[str, object]:
 
 
 def _covered(first: np.ndarray, spans: list, size: int) -> np.ndarray:
-    """Which words, or windows, the spans of (at, n) of each text cover."""
+    """Which words, or windows, the spans (at, n) of each text cover."""
     change = np.zeros(first[-1] + 1, np.int64)
     for i, own in enumerate(spans):
-        pairs = np.array([(s["at"], s["n"]) for s in own], np.int64).reshape(-1, 2)
+        pairs = np.array(own, np.int64).reshape(-1, 2)
         begin = first[i] + pairs[:, 0]
         np.add.at(change, begin, 1)
         np.add.at(change, begin + pairs[:, 1] + size - 1, -1)
@@ -82,7 +87,11 @@ def _covered(first: np.ndarray, spans: list, size: int) -> np.ndarray:
 
 def _windows(part: pa.RecordBatch) -> dict[str, object]:
     words = split_words(part["text"], SPACED)
-    wanted = _covered(words.first, part["spans"].to_pylist(), 1)
+    spans = part["spans"].to_pylist()
+    wanted = _covered(words.first, [[(s["at"], s["n"]) for s in own] for own in spans], 1)
+    later = _covered(
+        words.first, [[(s["at"], s["n"]) for s in own if s["later"]] for own in spans], 1
+    )
     h1, at = windows(words, WINDOW, 1)
     h2, _ = windows(words, WINDOW, 2)
     chosen = wanted[at]
@@ -91,16 +100,17 @@ def _windows(part: pa.RecordBatch) -> dict[str, object]:
     rows = pa.array(text)
     return {
         "node": part["node"].take(rows),
-        "digest": part["digest"].take(rows),
+        "tag": part["tag"].take(rows),
         "h1": pa.array(h1[chosen].view(np.int64)),
         "h2": pa.array(h2[chosen].view(np.int64)),
         "at": pa.array((at - words.first[text]).astype(np.int32)),
+        "later": pa.array(later[at]),
     }
 
 
 def _cut(part: pa.RecordBatch) -> dict[str, object]:
     words = split_words(part["text"], SPACED)
-    spans = [[{"at": a, "n": 1} for a in own] for own in part["starts"].to_pylist()]
+    spans = [[(at, 1) for at in own] for own in part["starts"].to_pylist()]
     removed = _covered(words.first, spans, WINDOW)
     counts = np.add.reduceat(np.append(removed, False), words.first[:-1]) * (
         np.diff(words.first) > 0
@@ -110,20 +120,20 @@ def _cut(part: pa.RecordBatch) -> dict[str, object]:
     ]
     return {
         "node": part["node"],
-        "digest": part["digest"],
+        "tag": part["tag"],
         "n_removed": pa.array(counts.astype(np.int64)),
         "kept_sha256": pa.array(digests, pa.string()),
     }
 
 
 def _with_text(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` (one row per node and digest) with the texts of its documents."""
+    """``found`` (one row per node and tag) with the texts of its documents."""
     ids = found.select(F.col("node").alias("doc_id")).distinct()
     if fits_broadcast(ids):
         # A small list of ids is sent to the texts, so that only those move.
         rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
-    own = rows.select(F.col("doc_id").alias("node"), "digest", "text")
-    return own.join(found, ["node", "digest"])
+    own = rows.select(F.col("doc_id").alias("node"), _tag().alias("tag"), "text")
+    return own.join(found, ["node", "tag"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -148,27 +158,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         "anchors",
     )
     zipped = F.arrays_zip("anchors.keys", "anchors.at", "anchors.n")
-    spans = nodes.select("node", "digest", F.explode(zipped).alias("a")).select(
-        "node", "digest", F.col("a.keys").alias("key"), "a.at", "a.n"
+    spans = nodes.select("node", _tag().alias("tag"), F.explode(zipped).alias("a")).select(
+        "node", "tag", F.col("a.keys").alias("key"), "a.at", "a.n"
     )
     shared = (
         spans.groupBy("key")
         .agg(F.min("node").alias("low"), F.max("node").alias("high"))
         .filter("low < high")
-        .select("key")
+        .select("key", "low")
     )
+    # The smallest document of a key may give a window its owner, but loses none by it.
+    span = F.struct("at", "n", (F.col("node") > F.col("low")).alias("later"))
     candidates = stored(
-        spans.join(shared, "key")
-        .groupBy("node", "digest")
-        .agg(F.collect_list(F.struct("at", "n")).alias("spans")),
+        spans.join(shared, "key").groupBy("node", "tag").agg(F.collect_list(span).alias("spans")),
         "spans",
     )
     found = stored(map_slices(_with_text(known, candidates), WINDOWS, _windows), "windows")
     first = found.groupBy("h1", "h2").agg(F.min("node").alias("first"))
     covered = stored(
-        found.join(first, ["h1", "h2"])
+        found.filter("later")
+        .join(first, ["h1", "h2"])
         .filter("node > first")
-        .groupBy("node", "digest")
+        .groupBy("node", "tag")
         .agg(F.collect_set("at").alias("starts")),
         "covered",
     )
@@ -176,8 +187,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     whole = map_slices(rows, WHOLE, _whole)
     result = whole.join(nodes.select("digest", "node"), "digest", "left").join(
-        cut.withColumnsRenamed({"node": "_node", "digest": "_digest"}),
-        (F.col("doc_id") == F.col("_node")) & (F.col("digest") == F.col("_digest")),
+        cut.withColumnsRenamed({"node": "_node", "tag": "_tag"}),
+        (F.col("doc_id") == F.col("_node")) & (_tag() == F.col("_tag")),
         "left",
     )
     # A later copy of a text loses all its words, if it has enough for one window.
