@@ -19,13 +19,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from rankdraft.llm.common import map_slices, strings, texts
+from rankdraft.llm.common import Remembered, map_slices, strings, texts
 
+# A leaf of the bitmap has a bit for each of 2^10 ranks.
 LEAF_BITS = 10
 LEAF_MASK = (1 << LEAF_BITS) - 1
-# Pre-tokens and words up to this length are remembered, up to this many at a time.
+# Pre-tokens and words up to this length are remembered, so many in each generation.
 CACHED_LENGTH = 48
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
+CACHED_PIECES = 700_000
 
 # A space before other white space, or at the end.
 SPACE_RUN = re.compile(r" (?:\s|\Z)")
@@ -34,59 +36,6 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TOKENS = "doc_id long, n_tokens long, ids array<int>, decoded string"
 
 
-class RankQueue:
-    """Positions by rank; the smallest rank comes first, in it the leftmost position."""
-
-    __slots__ = ("summary", "leaves", "buckets")
-
-    def __init__(self) -> None:
-        self.summary = 0
-        self.leaves: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        leaf = rank >> LEAF_BITS
-        self.leaves[leaf] = self.leaves.get(leaf, 0) | 1 << (rank & LEAF_MASK)
-        self.summary |= 1 << leaf
-
-    def pop(self) -> tuple[int, int]:
-        leaf = (self.summary & -self.summary).bit_length() - 1
-        bits = self.leaves[leaf]
-        lowest = bits & -bits
-        rank = leaf << LEAF_BITS | lowest.bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            self.leaves[leaf] = bits ^ lowest
-            if bits == lowest:
-                self.summary ^= 1 << leaf
-        return rank, position
-
-    def __bool__(self) -> bool:
-        return self.summary != 0
-
-
-class _Remembered(dict):
-    """Results for short keys; begins anew when full, so that memory stays bounded."""
-
-    def __init__(self, fn) -> None:
-        super().__init__()
-        self.fn = fn
-
-    def __missing__(self, key):
-        value = self.fn(key)
-        if len(key) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[key] = value
-        return value
-
-
 class ByteBpe:
     """Encoder and decoder of one rank file."""
 
@@ -101,22 +50,22 @@ class ByteBpe:
         # No match of the pattern goes on from a word into white space, so that words
         # with the white space before them are encoded, and remembered, apart.
         self.word = regex.compile(r"\s*\S+|\s+")
-        self.pieces = _Remembered(self.merge)
-        self.words = _Remembered(self._encode_word)
+        self.pieces = Remembered(self.merge, CACHED_PIECES, CACHED_LENGTH)
+        # Words by the space that stands before them.
+        self.words = Remembered(lambda w: self._encode_word(" " + w), CACHED_WORDS, CACHED_LENGTH)
 
     def encode(self, text: str) -> list[int]:
-        return list(itertools.chain.from_iterable(map(self.words.__getitem__, self._split(text))))
+        if SPACE_RUN.search(text):
+            parts = map(self._encode_word, self.word.findall(text))
+        else:
+            # Every space stands right before a word.
+            first, *rest = text.split(" ")
+            parts = itertools.chain([self._encode_word(first)], map(self.words.__getitem__, rest))
+        return list(itertools.chain.from_iterable(parts))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def _split(self, text: str) -> list[str]:
-        if SPACE_RUN.search(text):
-            return self.word.findall(text)
-        # Every space stands right before a word.
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
-
     def _encode_word(self, word: str) -> list[int]:
         pieces = (self.pieces[m.encode()] for m in self.pattern.findall(word))
         return list(itertools.chain.from_iterable(pieces))
@@ -126,36 +75,57 @@ class ByteBpe:
         ranks = self.ranks
         if piece in ranks:
             return [ranks[piece]]
-        n = len(piece)
+        n, get = len(piece), ranks.get
         # ends[i] is where the token that starts at i ends, starts[j] its start by end.
         ends, starts = list(range(1, n + 1)), list(range(-1, n))
-        pair_rank: list[int] = [-1] * n
-        queue = RankQueue()
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                pair_rank[i] = rank
-                queue.push(rank, i)
-        while queue:
-            rank, left = queue.pop()
-            if pair_rank[left] != rank:
+        # Rank of the pair that starts at a position, -1 for none; also marks entries of
+        # the queue as stale.
+        pair = [get(piece[i : i + 2], -1) for i in range(n)]
+        pair[-1] = -1
+        # The queue: positions by rank, bits of the ranks in use by leaf, leaves in use.
+        buckets: dict[int, list[int]] = {}
+        leaves: dict[int, int] = {}
+        summary = 0
+        fresh = [i for i in range(n) if pair[i] >= 0]
+        while True:
+            for position in fresh:
+                rank = pair[position]
+                bucket = buckets.get(rank)
+                if bucket:
+                    heapq.heappush(bucket, position)
+                else:
+                    buckets[rank] = [position]
+                    leaf = rank >> LEAF_BITS
+                    leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & LEAF_MASK)
+                    summary |= 1 << leaf
+            if not summary:
+                break
+            # Find first set: the lowest leaf in use, the lowest rank in it.
+            leaf = (summary & -summary).bit_length() - 1
+            bits = leaves[leaf]
+            lowest = bits & -bits
+            rank = leaf << LEAF_BITS | lowest.bit_length() - 1
+            bucket = buckets[rank]
+            left = bucket.pop() if len(bucket) == 1 else heapq.heappop(bucket)
+            if not bucket:
+                leaves[leaf] = bits ^ lowest
+                if bits == lowest:
+                    summary ^= 1 << leaf
+            fresh = []
+            if pair[left] != rank:
                 continue
             right = ends[left]
             end = ends[left] = ends[right]
             starts[end] = left
-            pair_rank[left] = pair_rank[right] = -1
-            if end < n:
-                grown = ranks.get(piece[left : ends[end]])
-                if grown is not None:
-                    pair_rank[left] = grown
-                    queue.push(grown, left)
+            pair[right] = -1
+            pair[left] = get(piece[left : ends[end]], -1) if end < n else -1
+            if pair[left] >= 0:
+                fresh.append(left)
             if left:
-                previous = starts[left]
-                grown = ranks.get(piece[previous:end])
-                pair_rank[previous] = -1
-                if grown is not None:
-                    pair_rank[previous] = grown
-                    queue.push(grown, previous)
+                before = starts[left]
+                pair[before] = get(piece[before:end], -1)
+                if pair[before] >= 0:
+                    fresh.append(before)
         ids, at = [], 0
         while at < n:
             ids.append(ranks[piece[at : ends[at]]])

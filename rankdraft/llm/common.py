@@ -85,3 +85,27 @@ def to_batch(columns: dict[str, object]) -> pa.RecordBatch:
 def strings(column: pa.Array) -> list[str]:
     """The texts as Python strings, a null as an empty text."""
     return ["" if s is None else s for s in column.to_pylist()]
+
+
+class Remembered(dict):
+    """Results of a function for short keys, in bounded memory.
+
+    There are two generations of up to ``size`` keys. When the young one is full it
+    becomes the old one, and what is asked for again comes back from there.
+    """
+
+    def __init__(self, fn: Callable, size: int, longest: int) -> None:
+        super().__init__()
+        self.fn, self.size, self.longest = fn, size, longest
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.fn(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

@@ -14,13 +14,13 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from rankdraft.llm.common import map_slices, strings, texts
+from rankdraft.llm.common import Remembered, map_slices, strings, texts
 
 SPACE = "▁"
 TOKEN_LIMIT = 4096
-# Segments up to this length are remembered, up to this many at a time.
+# Words up to this length are remembered, so many in each generation.
 CACHED_LENGTH = 48
-CACHED_SEGMENTS = 400_000
+CACHED_WORDS = 400_000
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -39,7 +39,9 @@ class PieceCounter:
         # Where no piece goes on after a word with a space, words are counted apart.
         self.segment = None if inner else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.line_apart = not any("\n" in p for p in self.order)
-        self.words = _Remembered(lambda word: self._segment_count(SPACE + word))
+        self.words = Remembered(
+            lambda word: self._segment_count(SPACE + word), CACHED_WORDS, CACHED_LENGTH
+        )
 
     def count(self, text: str) -> int:
         if not text:
@@ -91,22 +93,6 @@ class PieceCounter:
         return n - merges + unknown
 
 
-class _Remembered(dict):
-    """Counts of short segments; begins anew when full, so that memory stays bounded."""
-
-    def __init__(self, fn) -> None:
-        super().__init__()
-        self.fn = fn
-
-    def __missing__(self, segment: str) -> int:
-        count = self.fn(segment)
-        if len(segment) <= CACHED_LENGTH:
-            if len(self) >= CACHED_SEGMENTS:
-                self.clear()
-            self[segment] = count
-        return count
-
-
 @functools.lru_cache(maxsize=2)
 def _counter(model_file: str) -> PieceCounter:
     return PieceCounter(model_file)

@@ -19,7 +19,9 @@ at most files that nobody reads. The readers use Spark's binary file source.
 
 from __future__ import annotations
 
+import array
 import functools
+import re
 import struct
 import uuid
 import zlib
@@ -28,13 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankdraft.llm.byte_bpe import SPACE_RUN
-from rankdraft.llm.common import shared_folder, slices, strings, texts, to_batch
+from rankdraft.llm.common import Remembered, shared_folder, slices, strings, texts, to_batch
 
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4s3Q")
@@ -44,9 +47,10 @@ PERCENTILE = 95
 # A file ends with the document that takes it over so many ids.
 FILE_IDS = 2 << 20
 END_ID = 2
-# Words up to this length are remembered, up to this many at a time.
+# Words and parts up to this length are remembered, so many in each generation.
 CACHED_LENGTH = 48
 CACHED_WORDS = 400_000
+CACHED_PARTS = 600_000
 
 MANIFEST = "partition int, sequence int, file string, n_docs long, n_ids long"
 DOCUMENTS = "file string, position long, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -146,39 +150,50 @@ class TokenFile:
 # ---------------------------------------------------------------- encoding
 
 
-class _Words(dict):
-    """Ids of words as bytes, by the library; begins anew when full."""
+class Encoder:
+    """Ids of whole texts by the library, which sees every different word once.
 
-    def __init__(self, tokenizer: tokenizers.Tokenizer) -> None:
-        super().__init__()
-        self.tokenizer = tokenizer
+    The byte-level pre-tokenizer never joins a word to the space before the next, letters
+    to what is not a letter, or a line end to what is not white space. So the parts of a
+    text cut there give the same ids apart as together.
+    """
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        value = np.array(ids, "<u4").tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = value
-        return value
+    LETTERS = regex.compile(r"( ?\p{L}+)([^\s\p{L}].*)", regex.DOTALL)
+    LINES = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
+    def __init__(self, tokenizer_file: str) -> None:
+        self.tokenizer = tokenizers.Tokenizer.from_file(tokenizer_file)
+        # Words by themselves, and words with the space that stands before them.
+        self.parts = Remembered(self.encode_part, CACHED_PARTS, CACHED_LENGTH)
+        self.words = Remembered(lambda w: self.encode_word(" " + w), CACHED_WORDS, CACHED_LENGTH)
 
-@functools.lru_cache(maxsize=2)
-def _words(tokenizer_file: str) -> _Words:
-    return _Words(tokenizers.Tokenizer.from_file(tokenizer_file))
+    def encode(self, text: str) -> bytes:
+        """The ids as u32. Runs of white space are left to the library whole."""
+        if SPACE_RUN.search(text):
+            return self.encode_part(text)
+        first, *rest = text.split(" ")
+        return self.encode_word(first) + b"".join(map(self.words.__getitem__, rest))
 
+    def encode_word(self, word: str) -> bytes:
+        if "\n" in word:
+            return b"".join(map(self.encode_line, self.LINES.split(word)))
+        return self.encode_line(word)
 
-def encode(words: _Words, text: str) -> bytes:
-    """Ids of a whole text as u32.
+    def encode_line(self, word: str) -> bytes:
+        found = self.LETTERS.fullmatch(word)
+        if found is None:
+            return self.parts[word]
+        letters, rest = found.groups()
+        return self.parts[letters] + self.parts[rest]
 
-    The byte-level pre-tokenizer never joins a word to the space before the next, so
-    words with their space give the same ids apart as together. Runs of white space
-    are left to the library whole.
-    """
-    if SPACE_RUN.search(text):
-        return np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    first, *rest = text.split(" ")
-    return words[first] + b"".join(map(words.__getitem__, map(" ".__add__, rest)))
+    def encode_part(self, part: str) -> bytes:
+        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return array.array("I", ids).tobytes()
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(tokenizer_file: str) -> Encoder:
+    return Encoder(tokenizer_file)
 
 
 # ---------------------------------------------------------------- Spark
@@ -199,7 +214,7 @@ def write_token_files(
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(tokenizer_file)
+        encoder = _encoder(tokenizer_file)
         files, path = pa.fs.FileSystem.from_uri(f"{folder}/data")
         task, sequence = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
@@ -221,7 +236,7 @@ def write_token_files(
         files.create_dir(path, recursive=True)
         for part in slices(batches):
             for doc_id, text in zip(part["doc_id"].to_pylist(), strings(part["text"])):
-                ids = encode(words, text) + end
+                ids = encoder.encode(text) + end
                 doc_ids.append(doc_id)
                 encoded.append(ids)
                 size += len(ids) // 4
