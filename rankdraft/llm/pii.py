@@ -5,9 +5,11 @@ international bank account numbers; octets and digit counts are checked as well.
 next to a span that speak of its kind raise its score, a plain number without any keeps
 the low one of its kind.
 
-The patterns are those of the contract, written so that no text makes them search
+The base patterns are those of the contract, written so that no text makes them search
 twice: a match can only begin where a run begins or the match before ended, and what a
-loop has taken it keeps.
+loop has taken it keeps. Account numbers may be grouped by spaces, so that only their
+length tells them from the words behind. They are proposed at every start that looks
+like one, and looked for in the at most 30 characters that can follow.
 """
 
 from __future__ import annotations
@@ -71,13 +73,41 @@ PHONE = Kind(
     0.6,
     ("phone", "tel", "call", "mobile", "fax"),
 )
+# Takes the first four characters only; what can follow them is group 1, the context
+# behind that group 2.
 IBAN = Kind(
     "iban",
-    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])"
+    rf"((?s:.{{0,{CONTEXT}}})))",
     "",
     0.8,
     ("iban", "account", "bank"),
 )
+# The length of an account number by country, from the IBAN registry.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO",
+        16: "BE",
+        18: "DK FK FO FI GL NL SD",
+        19: "MK SI",
+        20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST",
+        26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA",
+        30: "JO KW MU YE",
+        31: "MT SC",
+        32: "LC",
+        33: "RU",
+    }.items()
+    for country in countries.split()
+}
 BASE = (EMAIL, IP, CARD, PHONE)
 KINDS = (*BASE, IBAN)
 
@@ -102,9 +132,8 @@ def _phone_digits(c: Column) -> Column:
     return F.length(digits(c)).between(10, 15)
 
 
-def _mod97(c: Column) -> Column:
+def _mod97(plain: Column) -> Column:
     """Modulo 97 of country and check digits moved to the end, A as 10 up to Z as 35."""
-    plain = F.replace(c, F.lit(" "), F.lit(""))
     turned = F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))
 
     def step(rest: Column, character: Column) -> Column:
@@ -113,8 +142,28 @@ def _mod97(c: Column) -> Column:
             (rest * 100 + code - 55) % 97
         )
 
-    rest = F.aggregate(F.split(turned, ""), F.lit(0), step)
-    return F.length(plain).between(15, 34) & (rest == 1)
+    return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
+
+
+def _account_size(head: Column, tail: Column) -> Column:
+    """How many code points an account number takes; null if there is none.
+
+    It ends where a group of the tail ends. Its country fixes its length; that of a
+    country that is not in the registry is the longest one that modulo 97 confirms.
+    """
+    lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+    asked = F.try_element_at(lengths, F.left(head, F.lit(2)))
+    fits = lambda n: F.coalesce(n == asked, n.between(15, 34))
+
+    def confirmed(end: Column) -> Column:
+        plain = F.concat(head, F.replace(F.left(tail, end), F.lit(" "), F.lit("")))
+        return let(plain, lambda p: F.when(fits(F.length(p)), _mod97(p)).otherwise(False))
+
+    ends = F.filter(
+        F.sequence(F.lit(1), F.length(tail)),
+        lambda e: F.substr(tail, e + 1, F.lit(1)).isin("", " ") & confirmed(e),
+    )
+    return F.length(head) + F.array_max(ends)
 
 
 CHECKS = {
@@ -122,7 +171,6 @@ CHECKS = {
     "ip": _octets,
     "card": _luhn,
     "phone": _phone_digits,
-    "iban": _mod97,
 }
 
 
@@ -171,6 +219,55 @@ def spans_of(text: Column, kind: Kind) -> Column:
     return F.when(possible, let(parts, located)).otherwise(none)
 
 
+def accounts_of(text: Column) -> Column:
+    """Confirmed account numbers, in order; one that begins inside another is left out."""
+    group = lambda n: F.regexp_extract_all(text, F.lit(IBAN.pattern), F.lit(n))
+    parts = F.struct(
+        F.split(text, IBAN.pattern, -1).alias("between"),
+        group(0).alias("heads"),
+        group(1).alias("tails"),
+        group(2).alias("after"),
+    )
+
+    def span(p: Column, start: Column, i: Column) -> Column:
+        head, tail = p["heads"][i], p["tails"][i]
+
+        def sized(size: Column) -> Column:
+            after = F.concat(F.substr(tail, size - F.length(head) + 1), p["after"][i])
+            return F.when(
+                size.isNotNull(),
+                F.struct(
+                    start.alias("start"),
+                    F.lit(KINDS.index(IBAN)).alias("kind"),
+                    (start + size).alias("end"),
+                    _score(IBAN, p["between"][i], after).alias("score"),
+                ),
+            )
+
+        return let(_account_size(head, tail), sized)
+
+    def located(p: Column) -> Column:
+        steps = F.zip_with(
+            F.slice(p["between"], F.lit(1), F.size(p["heads"])),
+            p["heads"],
+            lambda b, h: F.struct(F.length(b).alias("gap"), F.length(h).alias("size")),
+        )
+        spans = F.transform(_starts(steps), lambda start, i: span(p, start, i))
+        return let(F.filter(spans, lambda s: s.isNotNull()), apart)
+
+    def apart(spans: Column) -> Column:
+        # Where the last one that was kept ends, before each of them.
+        ends = scan(
+            spans,
+            F.lit(0),
+            lambda end, s: F.when(s["start"] >= end, s["end"]).otherwise(end),
+        )
+        return let(ends, lambda e: F.filter(spans, lambda s, i: s["start"] >= e[i]))
+
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.when(text.rlike(IBAN.pattern), let(parts, located)).otherwise(none)
+
+
 def _starts(steps: Column) -> Column:
     """Where each proposal begins, from (gap before, size)."""
     ends = scan(steps, F.lit(0), lambda at, x: at + x["gap"] + x["size"])
@@ -186,7 +283,8 @@ def _score(kind: Kind, before: Column, after: Column) -> Column:
 def with_spans(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
     """Add all spans by start, then kind; a null text has none."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = F.array_sort(F.concat(*(spans_of(whole, kind) for kind in KINDS)))
+    base = (spans_of(whole, kind) for kind in BASE)
+    found = F.array_sort(F.concat(*base, accounts_of(whole)))
     return docs.withColumn(into, found)
 
 

@@ -93,6 +93,47 @@ def test_checksums_and_context(spark):
     assert spans[2][0].score > spans[3][0].score == 0.5
 
 
+ACCOUNTS = [
+    "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32",
+    "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "XX57 1234 5678 9012 345",
+]
+BEHIND = ["", " Please pay", " Bank", " PAY NOW", " 2024", " 2024 A 1 B", ", and", " and", "\nNEXT"]
+
+
+def test_account_numbers_end_by_their_length_whatever_follows(spark):
+    rows, expected = [], {}
+    for account in ACCOUNTS:
+        for before in ("", "IBAN ", "Ref AB12 ", "é🙂 "):
+            for behind in BEHIND:
+                expected[len(rows)] = [(len(before), len(before) + len(account))]
+                rows.append((len(rows), before + account + behind))
+    # One behind the other, broken ones, and one that goes on.
+    expected[len(rows)] = [(0, 22), (23, 50)]
+    rows.append((len(rows), f"{ACCOUNTS[1]} {ACCOUNTS[2]} X"))
+    for text in ("DE88 3704 0044 0532 0130 00 Please", "DE89370400440532013000x", "GB82WEST"):
+        expected[len(rows)] = []
+        rows.append((len(rows), text))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    iban = pii.KINDS.index(pii.IBAN)
+    for row in pii.with_spans(frame).collect():
+        got = [(s.start, s.end) for s in row.spans if s.kind == iban]
+        assert got == expected[row.doc_id], row.text
+    masked = {r.doc_id: r.text for r in pii.mask_personal_data(frame).collect()}
+    assert masked[1] == "<iban> Please pay" and masked[4] == "<iban> 2024"
+
+
+def test_many_account_numbers_take_time_in_proportion(spark):
+    def seconds(n):
+        frame = spark.createDataFrame([(1, f"{ACCOUNTS[2]} AB12 " * n)], "doc_id long, text string")
+        start = time.perf_counter()
+        (row,) = pii.find_personal_data(frame).collect()
+        assert row.n_iban == n
+        return time.perf_counter() - start
+
+    seconds(10)
+    assert seconds(10_000) < 10 * max(0.5, seconds(2_000))
+
+
 def test_masks_cover_all_spans_and_nothing_else(docs):
     texts = some_texts()
     spans = {r.doc_id: r.spans for r in pii.with_spans(docs.drop("spans")).collect()}
