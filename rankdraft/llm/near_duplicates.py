@@ -1,10 +1,11 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-Sketch: every distinct five-word shingle of a text, weighted by 1 + ln(count), is a
-Poisson process whose arrivals fall on random components; a component keeps the shingle
-of its first arrival. A shingle stops once its next arrival comes later than all first
-arrivals. Two texts agree in a component with the probability Jaccard similarity of
-their weighted shingles, the plain Jaccard similarity where no shingle repeats.
+Sketch: every distinct five-word shingle of a text is a Poisson process whose arrivals
+fall on random components; a component keeps the shingle of its first arrival. A shingle
+stops once its next arrival comes later than all first arrivals. Two texts agree in a
+component with the probability Jaccard similarity of their weighted shingles. There are
+two signatures: with equal weights, for which that is the plain Jaccard similarity, the
+one that is verified; and with 1 + ln(count), the same one where no shingle repeats.
 
 Candidates: texts that agree in all components of a band share a bucket. Verification
 is exact, by the Jaccard similarity of the distinct shingles. Buckets are not expanded
@@ -35,7 +36,8 @@ from rankdraft.session import fits_broadcast
 
 SHINGLE = 5
 SIMILARITY = 0.8
-# At the similarity of 0.8, (1 - 0.8^4)^24 = 3 in a million pairs share no band.
+# At the similarity of 0.8, (1 - 0.8^4)^24 = 3 in a million pairs share no band of the
+# signature with equal weights, however often their shingles repeat.
 BANDS = 24
 ROWS = 4
 COMPONENTS = BANDS * ROWS
@@ -85,9 +87,16 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 def _sketched(part: pa.RecordBatch) -> dict[str, object]:
     hashes, text, counts = counted(*shingles(split_words(part["text"], FOLDED), SHINGLE))
     n = part.num_rows
-    keys = band_keys(sketch(hashes, text, 1 + np.log(counts), n)).view(np.int64)
+    keys = band_keys(sketch(hashes, text, np.ones(len(hashes)), n)).view(np.int64)
     sizes = np.bincount(text, minlength=n)
     bands = [k if size else [] for k, size in zip(keys, sizes)]
+    # Where no shingle repeats the weighted signature is the same one.
+    repeats = np.unique(text[counts > 1])
+    own = np.isin(text, repeats)
+    again = np.searchsorted(repeats, text[own])
+    weighted = sketch(hashes[own], again, 1 + np.log(counts[own]), len(repeats))
+    for i, more in zip(repeats, band_keys(weighted).view(np.int64)):
+        bands[i] = np.union1d(bands[i], more)
     return {
         "doc_id": part["doc_id"],
         "digest": part["digest"],

@@ -133,6 +133,20 @@ def test_classes_of_odd_rows(spark):
     assert near_duplicates.near_duplicate_classes(frame(spark, [])).count() == 0
 
 
+def test_pairs_whose_own_shingles_repeat(spark):
+    # 112 shared shingles; each side has 4 own ones at the border and 10 that come 500
+    # times, so that the similarity is 0.8 and that of the weighted shingles 0.42.
+    draw = random.Random(7)
+    rows = []
+    for pair in range(20):
+        common = words_of(draw, 116, 10**9)
+        for side in range(2):
+            own = [f"own{pair}x{side}x{i}" for i in range(10)]
+            rows.append((2 * pair + side, " ".join(common + own * 500 + own[:4])))
+    found = near_duplicates.near_duplicate_classes(frame(spark, rows)).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: i - i % 2 for i in range(40)}
+
+
 def test_signatures_estimate_probability_jaccard():
     draw = random.Random(5)
     common, own = words_of(draw, 700, 10**6), [words_of(draw, 150, 10**6) for _ in range(2)]
