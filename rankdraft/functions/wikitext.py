@@ -350,6 +350,14 @@ def cut_shortdesc(text: Column, existing: Column) -> Column:
     return text
 
 
+def shortdesc_lines(text: Column, longest: int) -> Column:
+    """Distinct descriptions of up to ``longest`` characters that ``cut_shortdesc`` finds:
+    all that stand between an opening and the end of its line."""
+    opening = r"\{\{[Ss]hort description\|"
+    pattern = rf"{opening}(?=([^\n]{{0,{longest}}})\}}\}}\n)"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+
+
 def without_shortdesc(text: Column, existing: Column) -> Column:
     """As ``cut_shortdesc``; null when the page does not hold the template."""
     first, second = (shortdesc_template(existing, name) for name in ("Short", "short"))

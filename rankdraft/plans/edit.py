@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,6 +152,113 @@ def _in_file_order(rows: DataFrame, cfg: JobConfig) -> DataFrame:
     return single.unionByName(several)
 
 
+def _given() -> Column:
+    """The text as the first edit leaves it, but for the template in front."""
+    return F.when(
+        F.col("page_type") == "manual", W.without_shortdesc(F.col("text"), F.col("page_desc"))
+    ).otherwise(F.col("text"))
+
+
+def _without(text: Column, cuts: Column) -> Column:
+    return F.aggregate(cuts, text, lambda t, c: W.cut_shortdesc(t, c["description"]))
+
+
+def _in_order(*columns: str) -> Column:
+    return F.array_sort(F.collect_list(F.struct(*columns)))
+
+
+def earlier_cuts(
+    open_rows: DataFrame, pruned: Callable[[DataFrame], DataFrame]
+) -> DataFrame | None:
+    """(title, seq, description): the cuts that change a text which several rows edit.
+
+    An edit takes the template of the edit before it out of the whole text, so it can
+    meet templates that the page had all along. Those are few, whatever the number of
+    rows: they are read from the text and joined with the first row that wrote the same.
+    A cut can bring about a template out of what stood around it. The replay of a text
+    stops there, and a further round goes on behind that row. None if no page has two rows.
+    """
+    several = durable(
+        open_rows.groupBy("title")
+        .agg(
+            F.count("*").alias("n"),
+            F.max(F.length("description")).alias("longest"),
+            F.first("page_desc").alias("page_desc"),
+            F.first("page_type").alias("page_type"),
+        )
+        .where("n > 1")
+    )
+    longest = several.agg(F.max("longest")).first()[0]
+    if longest is None:
+        return None
+    lines = lambda text: W.shortdesc_lines(text, longest)
+    written = open_rows.groupBy("title", "description").agg(F.min("seq").alias("seq"))
+    none = F.array().cast("array<struct<seq:bigint,description:string>>")
+    state = several.select("title", "page_desc", "page_type", none.alias("cuts"))
+    rounds = []
+    while True:
+        body = _without(_given(), F.col("cuts"))
+        bodies = pruned(state).join(state, "title").withColumn("body", body)
+        held = bodies.select("title", F.explode(lines(F.col("body"))).alias("description"))
+        first = durable(
+            written.join(held, ["title", "description"])
+            .groupBy("title")
+            .agg(_in_order("seq", "description").alias("next"))
+        )
+        replay = _replay(F.col("body"), F.col("next"), lines)
+        done = durable(
+            bodies.join(first, "title")
+            .withColumn("end", replay)
+            .select(
+                "title",
+                "page_desc",
+                "page_type",
+                F.slice("next", F.lit(1), F.col("end.n")).alias("next"),
+                "cuts",
+                F.col("end.stopped").alias("stopped"),
+            )
+        )
+        rounds.append(done.select("title", F.explode("next").alias("c")).select("title", "c.*"))
+        state = done.where("stopped").select(
+            "title", "page_desc", "page_type", F.concat("cuts", "next").alias("cuts")
+        )
+        if state.isEmpty():
+            return durable(reduce(DataFrame.unionByName, rounds))
+        # Behind the first round a row may repeat what an earlier one wrote.
+        last = state.select("title", F.array_max("cuts.seq").alias("_last"))
+        written = (
+            open_rows.join(last, "title")
+            .where("seq > _last")
+            .groupBy("title", "description")
+            .agg(F.min("seq").alias("seq"))
+        )
+
+
+def _replay(body: Column, cuts: Column, lines: Callable[[Column], Column]) -> Column:
+    """(n, stopped): how many cuts to make until one brings about a new template."""
+
+    def step(state: Column, cut: Column) -> Column:
+        text = W.cut_shortdesc(state["text"], cut["description"])
+        known = F.array_remove(state["known"], cut["description"])
+        return F.when(state["stopped"], state).otherwise(
+            F.struct(
+                text.alias("text"),
+                known.alias("known"),
+                (state["n"] + 1).alias("n"),
+                (F.size(F.array_except(lines(text), known)) > 0).alias("stopped"),
+            )
+        )
+
+    start = F.struct(
+        body.alias("text"),
+        lines(body).alias("known"),
+        F.lit(0).alias("n"),
+        F.lit(False).alias("stopped"),
+    )
+    end = lambda s: F.struct(s["n"].alias("n"), s["stopped"].alias("stopped"))
+    return F.aggregate(cuts, start, step, end)
+
+
 def plan_edits(
     staged: DataFrame,
     pages: DataFrame,
@@ -172,28 +282,29 @@ def plan_edits(
     action = (
         F.when(kind.isNull(), "add").when(kind == "embedded", "override").otherwise("replace")
     )
-    earlier = Window.partitionBy("title").orderBy("seq").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    edits = open_rows.withColumn("action", action).withColumn(
-        "_earlier", F.collect_set("description").over(earlier)
-    )
+    edits = open_rows.withColumn("action", action)
     texts = pages.select("title", "text")
+    pruned = lambda titles: (
+        L.only_titles if titles.count() <= prune_titles else L.maybe_titles
+    )(texts, titles)
+    cuts = earlier_cuts(open_rows, pruned)
     if fits_broadcast(open_rows, broadcast_bytes):
         edits = F.broadcast(edits)
-    elif open_rows.count() <= prune_titles:
-        texts = L.only_titles(texts, open_rows)
     else:
-        texts = L.maybe_titles(texts, open_rows)
-    # The text as the edits before have left it, but for the template in front.
-    given = F.when(
-        F.col("page_type") == "manual", W.without_shortdesc(F.col("text"), F.col("page_desc"))
-    ).otherwise(F.col("text"))
-    body = F.aggregate("_earlier", given, W.cut_shortdesc)
+        texts = pruned(open_rows)
+    if cuts is None:
+        body = _given()
+    else:
+        of_title = cuts.groupBy("title").agg(_in_order("seq", "description").alias("_cuts"))
+        if fits_broadcast(cuts, broadcast_bytes):
+            of_title = F.broadcast(of_title)
+        texts = texts.join(of_title, "title", "left")
+        before = F.filter("_cuts", lambda c: c["seq"] < F.col("seq"))
+        body = F.when(F.col("_cuts").isNull(), _given()).otherwise(_without(_given(), before))
     rewritten = (
         texts.join(edits, "title")
         .withColumn("new_text", W.rewrite_add(body, F.col("description")))
-        .drop("text", "_earlier", "page_desc", "page_type")
+        .drop("text", "_cuts", "page_desc", "page_type")
     )
     found = F.col("new_text").isNotNull()
     summary_text = edit_summary_text(

@@ -234,6 +234,33 @@ def test_rows_of_one_page_follow_each_other(spark, policy):
             assert want in row["reason"]
 
 
+def test_many_rows_of_one_page_carry_no_list_of_those_before(spark):
+    text = "".join(("{{Short description|D%d}}\n" % i) + "x" for i in (900, 3, 44, 3))
+    # Cutting D7 brings about D20, which a later row cuts.
+    text += "{{Short description|D2{{short description|D7}}\n0}}\nend"
+    texts, props = {"P": text, "Q": "{{Short description|D1}}\nQ"}, {"Q": "D1"}
+    staged = [(i, "P", f"D{i}") for i in range(1000)]
+    staged += [(1000 + i, "Q", f"D{i % 3}") for i in range(6)]
+    frames = (
+        spark.createDataFrame(staged, "seq bigint, title string, description string"),
+        spark.createDataFrame(list(texts.items()), "title string, text string"),
+        spark.createDataFrame(list(props.items()), "title string, shortdesc string"),
+    )
+    cfg = JobConfig(override_manual=True, override_embedded=True)
+    expected = loop(staged, dict(texts), dict(props), cfg)
+    for limits in ({}, {"broadcast_bytes": 0, "prune_titles": 0}):
+        plan = E.plan_edits(*frames, cfg, **limits)
+        assert "collect_set" not in plan._jdf.queryExecution().optimizedPlan().toString()
+        rows = plan.collect()
+        assert len(rows) == len(staged)
+        for row in rows:
+            want = expected[row["seq"]]
+            if row["status"] == "success":
+                assert (row["action"], row["new_text"]) == want
+            else:
+                assert want in row["reason"]
+
+
 def test_lines_that_cannot_be_used_are_failed_rows(spark, tmp_path):
     (tmp_path / "staged.tsv").write_text("1\tA\tGenus\t\t\n2\tB\njunk\n\n{| x\n")
     pages = spark.createDataFrame([("A", "Text")], "title string, text string")
