@@ -356,6 +356,38 @@ def edits(cfg: JobConfig) -> dict[str, str]:
     }
 
 
+def repeated_edits(policies: dict[str, JobConfig]) -> tuple[str, dict[str, str]]:
+    """The loop over four rows of each page: each row finds the text and the description
+    that the row before it has saved."""
+    drafts = ["draft", "draft", "draft || ' again'", "draft"]
+    tables, parts = {}, []
+    for policy, cfg in policies.items():
+        of = edits(cfg)
+        name = lambda table, i: f"{policy}_{table}_{i}"
+        tables[name("state", 0)] = """
+            SELECT seq, staged_title, title, description AS draft, text, page_exists, shortdesc
+            FROM edit_facts"""
+        for i, draft in enumerate(drafts):
+            tables[name("facts", i)] = f"""
+                SELECT *, {EXISTING} FROM (
+                    SELECT * REPLACE (seq * {len(drafts)} + {i} AS seq), {draft} AS description
+                    FROM {name("state", i)})"""
+            before = "edit_facts", name("facts", i)
+            for table in ("decided", "actions", "rewritten", "plan"):
+                tables[name(table, i)] = of[table].replace(f"FROM {before[0]}", f"FROM {before[1]}")
+                before = table, name(table, i)
+            parts.append(
+                f"SELECT {q(policy)} AS policy, seq, title, description, action, status, reason, "
+                f"edit_summary, new_text FROM {name('plan', i)}"
+            )
+            tables[name("state", i + 1)] = f"""
+                SELECT seq // {len(drafts)} AS seq, staged_title, title, draft,
+                       coalesce(new_text, text) AS text, page_exists,
+                       CASE WHEN new_text IS NULL THEN shortdesc ELSE description END AS shortdesc
+                FROM {name("rewritten", i)}"""
+    return " UNION ALL ".join(parts), tables
+
+
 def run_summary(phase: str, source: str) -> str:
     def pct(x: str) -> str:
         return f"CASE WHEN s + f > 0 THEN CAST(printf('%.2f', 100 * {x} / (s + f)) AS DOUBLE) END"
@@ -661,6 +693,7 @@ ORACLES |= {
 
 # edit
 _edits = edits(P.REPLACE)
+_repeats, _repeat_tables = repeated_edits({"default": P.DEFAULT, "replace": P.REPLACE})
 _all = {
     "every": "SELECT seq, CASE WHEN seq % 9 = 2 THEN lower(raw_title) ELSE raw_title END AS title, "
     "CASE WHEN seq % 23 = 7 THEN '*** : Genus of algae' ELSE 'Genus of algae' END AS description FROM tgt",
@@ -675,6 +708,7 @@ ORACLES |= {
     "edit_pipeline": statement(
         "SELECT seq, title, description, action, status, reason, edit_summary FROM plan", _edits
     ),
+    "edit_pipeline_repeats": statement(_repeats, {**_edits, **_repeat_tables}),
     "edit_plan": statement(
         "SELECT title, new_text, edit_summary FROM plan WHERE status = 'success'", _edits
     ),

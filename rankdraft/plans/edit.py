@@ -84,6 +84,12 @@ def decide(
         .fillna({"blank": True})
         .withColumn("n_rows", F.col("n_targets"))
     )
+    repeated = keyed.groupBy("title").count().where("count > 1").select("title")
+    stuck = _without_template(repeated, pages, page_props, prune_titles)
+    if stuck is None:
+        facts = facts.withColumn("stuck", F.lit(False))
+    else:
+        facts = facts.join(stuck.withColumn("stuck", F.lit(True)), "title", "left").fillna({"stuck": False})
     known = L.join_back(keyed, facts)
     desc, kind = W.existing_shortdesc(F.col("shortdesc"), F.col("has_template"))
     known = known.withColumn("page_desc", desc).withColumn("page_type", kind)
@@ -100,6 +106,24 @@ def decide(
     )
 
 
+def _without_template(
+    titles: DataFrame, pages: DataFrame, page_props: DataFrame, prune_titles: int
+) -> DataFrame | None:
+    """Those titles whose text does not hold the template of their description.
+
+    A manual description there cannot be replaced. None if there are no titles.
+    """
+    n = titles.count()
+    if not n:
+        return None
+    texts = pages.select("title", "text")
+    texts = (L.only_titles if n <= prune_titles else L.maybe_titles)(texts, titles)
+    given = titles.join(page_props.select("title", "shortdesc"), "title")
+    desc = W.existing_shortdesc(F.col("shortdesc"), F.lit(True))[0]
+    held = W.without_shortdesc(F.col("text"), desc)
+    return texts.join(given, "title").where(held.isNull()).select("title").distinct()
+
+
 def _page() -> dict[str, Column]:
     return {
         "kind": F.col("existing_type"),
@@ -126,7 +150,9 @@ def _in_file_order(rows: DataFrame, cfg: JobConfig) -> DataFrame:
     single = rows.where("n_rows = 1").select(
         "*", F.col("page_desc").alias("existing_desc"), F.col("page_type").alias("existing_type")
     )
-    may_edit = first_reason(*C.page_state_checks(_page())).isNull()
+    # Where the template to replace is not found, every edit fails and leaves nothing.
+    fails = F.col("stuck") & F.coalesce(F.col("page_type") == "manual", F.lit(False))
+    may_edit = first_reason(*C.page_state_checks(_page())).isNull() & ~fails
     fixed = lambda desc, kind: first_reason(*C.replacing_checks(desc, kind, cfg)).isNotNull()
     order = Window.partitionBy("title").orderBy("seq")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -639,6 +639,26 @@ def edit_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("edit_pipeline_repeats")
+def edit_pipeline_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rows of each page, the third with another description, under two policies."""
+    c = Corpus(spark, sf_dir)
+    draft = F.col("description")
+    four = F.array(draft, draft, F.concat(draft, F.lit(" again")), draft)
+    rows = _reviewed(spark, sf_dir, P.REPLACE).select(
+        "seq", "title", F.posexplode(four).alias("i", "description")
+    )
+    rows = rows.select((F.col("seq") * 4 + F.col("i")).alias("seq"), "title", "description")
+    plans = [
+        E.plan_edits(rows, c.pages, c.page_props, cfg).select(
+            F.lit(policy).alias("policy"),
+            *("seq", "title", "description", "action", "status", "reason", "edit_summary", "new_text"),
+        )
+        for policy, cfg in {"default": P.DEFAULT, "replace": P.REPLACE}.items()
+    ]
+    return plans[0].unionByName(plans[1])
+
+
 @query("edit_plan")
 def edit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = _plan(spark, sf_dir).where(F.col("status") == "success")

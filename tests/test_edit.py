@@ -261,6 +261,20 @@ def test_many_rows_of_one_page_carry_no_list_of_those_before(spark):
                 assert want in row["reason"]
 
 
+def test_a_failed_replacement_leaves_the_page_as_it_is(spark):
+    texts, props = {"P": "{{Short description|Old}}\nText"}, {"P": "Other"}
+    staged = [(0, "P", "D"), (1, "P", "D"), (2, "P", "Other"), (3, "P", "E")]
+    frames = (
+        spark.createDataFrame(staged, "seq bigint, title string, description string"),
+        spark.createDataFrame(list(texts.items()), "title string, text string"),
+        spark.createDataFrame(list(props.items()), "title string, shortdesc string"),
+    )
+    for limits in ({}, {"broadcast_bytes": 0, "prune_titles": 0}):
+        plan = E.plan_edits(*frames, P.REPLACE, **limits).orderBy("seq").collect()
+        assert [r["status"] for r in plan] == ["error", "error", "skipped", "error"]
+        assert plan[1]["reason"] == E.NO_TEMPLATE
+
+
 def test_lines_that_cannot_be_used_are_failed_rows(spark, tmp_path):
     (tmp_path / "staged.tsv").write_text("1\tA\tGenus\t\t\n2\tB\njunk\n\n{| x\n")
     pages = spark.createDataFrame([("A", "Text")], "title string, text string")
