@@ -13,9 +13,12 @@ from rankdraft.llm import (
     decontamination,
     fingerprints,
     language_id,
+    licenses,
+    merkle,
     near_duplicates,
     oracles,
     pii,
+    spelling,
     substring_dedup,
     token_counts,
     token_files,
@@ -99,7 +102,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+@query("op11_merkle_manifest")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(read(spark, sf_dir, "documents"))
+
+
+@query("op12_license_scan")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 ORACLES |= {
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op6_decontamination": oracles.DECONTAMINATION,
+    "op11_merkle_manifest": oracles.MERKLE_MANIFEST,
+    "op13_spelling_variants": oracles.SPELLING_VARIANTS,
 }
