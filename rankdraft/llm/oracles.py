@@ -125,7 +125,7 @@ MERKLE_MANIFEST = f"""
 WITH {_CRC_TABLE},
 hashed AS (
     SELECT doc_id, source, {_leaf("text")} AS leaf,
-           CASE WHEN {_crc(_ID_BYTES)} % 5 = 0 THEN
+           CASE WHEN doc_id IS NOT NULL AND {_crc(_ID_BYTES)} % 5 = 0 THEN
                {_leaf(f"translate(text, '{_LETTERS}', '{_LETTERS.lower()}')")} END AS tampered
     FROM documents, crc_table),
 leaves AS (
