@@ -16,7 +16,13 @@ from rankdraft.session import scratch_dir
 
 # Rows that one step of a Python pass holds at a time, and the bytes of their texts.
 SLICE_ROWS = 512
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+# Bounds of the batches that go to Python tasks and come back, unless the session has its
+# own: the default of 10,000 rows is some 100 MB of long texts, twice, for each task.
+ARROW_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +71,19 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = stop
 
 
+def in_arrow(
+    df: DataFrame,
+    fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str | StructType,
+) -> DataFrame:
+    """``mapInArrow`` over batches of bounded size."""
+    conf = df.sparkSession.conf
+    for key, value in ARROW_BATCHES.items():
+        if conf.get(key, None) is None:
+            conf.set(key, value)
+    return df.mapInArrow(fn, schema)
+
+
 def map_slices(
     df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], dict[str, object]]
 ) -> DataFrame:
@@ -74,7 +93,7 @@ def map_slices(
         for part in slices(batches):
             yield to_batch(fn(part))
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def to_batch(columns: dict[str, object]) -> pa.RecordBatch:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from rankdraft.llm.common import fold, stored
+from rankdraft.llm.common import fold, in_arrow, stored
 from rankdraft.session import fits_broadcast
 
 RUN = 16
@@ -249,7 +249,7 @@ def positions(rows: DataFrame, order: list[str]) -> DataFrame:
             at += n
 
     ordered = rows.repartitionByRange(_partitions(rows), *keys).sortWithinPartitions(*keys)
-    found = stored(ordered.mapInArrow(placed, schema), "places")
+    found = stored(in_arrow(ordered, placed, schema), "places")
     # One row per partition and source: as many as partitions and sources together.
     runs = found.groupBy("part", "source").agg(
         F.min("place").alias("first"), F.count("*").alias("size")
@@ -272,11 +272,8 @@ def positions(rows: DataFrame, order: list[str]) -> DataFrame:
 
 def _in_blocks(nodes: DataFrame, run: Callable, schema: str) -> DataFrame:
     """Apply ``run`` to the nodes, sorted in blocks; rows of idx -1 name their block."""
-    return (
-        nodes.repartition(_partitions(nodes), "source", "block")
-        .sortWithinPartitions("source", "block", "idx")
-        .mapInArrow(run, schema)
-    )
+    placed = nodes.repartition(_partitions(nodes), "source", "block")
+    return in_arrow(placed.sortWithinPartitions("source", "block", "idx"), run, schema)
 
 
 def _blocked(nodes: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rankdraft.functions.arrays import let
-from rankdraft.llm.common import slices, stored, strings, texts
+from rankdraft.llm.common import in_arrow, slices, stored, strings, texts
 from rankdraft.session import fits_broadcast
 
 SHORTEST = 7
@@ -83,7 +83,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n): letter runs of seven letters or more that occur twice or more."""
-    counts = texts(docs).mapInArrow(_counted, COUNTS)
+    counts = in_arrow(texts(docs), _counted, COUNTS)
     total = counts.groupBy("word").agg(F.sum("n").alias("n"))
     return total.filter(F.col("n") >= LEAST_COUNT)
 
@@ -212,7 +212,7 @@ def number_trie(words: DataFrame, key: str, number: str, nodes: str) -> DataFram
     partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = words.repartitionByRange(partitions, key).sortWithinPartitions(key)
     schema = StructType(words.schema.fields + StructType.fromDDL(NUMBERED).fields)
-    found = stored(ordered.mapInArrow(lambda b: _numbered(b, key), schema), "trie")
+    found = stored(in_arrow(ordered, lambda b: _numbered(b, key), schema), "trie")
     borders = _borders(found, key)
     spark = words.sparkSession
     table = spark.createDataFrame([tuple(b.values()) for b in borders], BORDERS)

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import array
 import functools
+import os
 import re
 import struct
 import uuid
@@ -29,15 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
-import regex
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankdraft.llm.byte_bpe import SPACE_RUN
-from rankdraft.llm.common import Remembered, shared_folder, slices, strings, texts, to_batch
+from rankdraft.llm.common import in_arrow, shared_folder, slices, strings, texts, to_batch
 
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4s3Q")
@@ -47,10 +48,12 @@ PERCENTILE = 95
 # A file ends with the document that takes it over so many ids.
 FILE_IDS = 2 << 20
 END_ID = 2
-# Words and parts up to this length are remembered, so many in each generation.
+# Parts up to this length are remembered, so many in each generation.
 CACHED_LENGTH = 48
-CACHED_WORDS = 400_000
-CACHED_PARTS = 600_000
+CACHED_PARTS = 800_000
+# Bytes of the texts that are encoded together, and parts that one call encodes.
+GATHERED_BYTES = 12 << 20
+BATCH = 4096
 
 MANIFEST = "partition int, sequence int, file string, n_docs long, n_ids long"
 DOCUMENTS = "file string, position long, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -151,44 +154,123 @@ class TokenFile:
 
 
 class Encoder:
-    """Ids of whole texts by the library, which sees every different word once.
+    """Ids of whole texts by the library, which sees every different part of a slice once.
 
     The byte-level pre-tokenizer never joins a word to the space before the next, letters
     to what is not a letter, or a line end to what is not white space. So the parts of a
-    text cut there give the same ids apart as together.
+    text cut there give the same ids apart as together. Arrow cuts the texts and finds
+    the different parts; what the cache does not know of them is encoded as the lines of
+    one text, whose line ends tell the parts' ids apart.
     """
 
-    LETTERS = regex.compile(r"( ?\p{L}+)([^\s\p{L}].*)", regex.DOTALL)
-    LINES = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+    # Marks a word that no space stands before; texts that hold it are encoded whole.
+    MARK = "\x00"
+    LINE = re.compile(r"(?<=\S)\n(?=\S)")
+    PLAIN = re.compile(r" ?\S+")
+    LETTERS = r"(?s)^(?P<letters> ?\p{L}+)(?P<rest>[^\s\p{L}].*)$"
 
     def __init__(self, tokenizer_file: str) -> None:
+        # Tasks share the cores already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = tokenizers.Tokenizer.from_file(tokenizer_file)
-        # Words by themselves, and words with the space that stands before them.
-        self.parts = Remembered(self.encode_part, CACHED_PARTS, CACHED_LENGTH)
-        self.words = Remembered(lambda w: self.encode_word(" " + w), CACHED_WORDS, CACHED_LENGTH)
-
-    def encode(self, text: str) -> bytes:
-        """The ids as u32. Runs of white space are left to the library whole."""
-        if SPACE_RUN.search(text):
-            return self.encode_part(text)
-        first, *rest = text.split(" ")
-        return self.encode_word(first) + b"".join(map(self.words.__getitem__, rest))
-
-    def encode_word(self, word: str) -> bytes:
-        if "\n" in word:
-            return b"".join(map(self.encode_line, self.LINES.split(word)))
-        return self.encode_line(word)
-
-    def encode_line(self, word: str) -> bytes:
-        found = self.LETTERS.fullmatch(word)
-        if found is None:
-            return self.parts[word]
-        letters, rest = found.groups()
-        return self.parts[letters] + self.parts[rest]
-
-    def encode_part(self, part: str) -> bytes:
-        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return array.array("I", ids).tobytes()
+        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        # Ids of parts, in two generations: a full young one becomes the old one.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with ``end_id`` behind it, and the number of each."""
+        mark, line = self.MARK, f" \n {self.MARK}"
+        whole = strings(texts)
+        # Texts with runs of white space that begin with a space are left whole.
+        odd = [bool(SPACE_RUN.search(text)) or mark in text for text in whole]
+        plain = [mark if o else mark + self.LINE.sub(line, t) for o, t in zip(odd, whole)]
+        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        n, at = len(whole), np.asarray(lists.offsets)
+        words = lists.flatten().dictionary_encode()
+        known = self._words(
+            [
+                w[1:] if w[:1] == mark else w if w == "\n" else " " + w
+                for w in words.dictionary.to_pylist()
+            ]
+        )
+        left = [self._ids(t) if o else np.empty(0, np.uint32) for o, t in zip(odd, whole)]
+        ends = np.full(1, end_id, np.uint32)
+        table = _lists([np.asarray(known.flatten()), *left, ends],
+                       [np.diff(np.asarray(known.offsets)), [len(x) for x in left], [1]])
+
+        index = np.full(at[-1] + n, len(table) - 1)
+        docs = np.repeat(np.arange(n), np.diff(at))
+        index[np.arange(at[-1]) + docs] = np.asarray(words.indices)
+        own = np.flatnonzero(odd)
+        index[at[own] + own] = len(known) + own
+        sizes = np.diff(np.asarray(table.offsets))[index]
+        ids = table.take(pa.array(index)).flatten()
+        return np.asarray(ids), np.add.reduceat(sizes, at[:-1] + np.arange(n))
+
+    def _words(self, words: list[str]) -> pa.LargeListArray:
+        """Ids of each word, put together from those of its parts."""
+        column = pa.array(words, pa.large_string())
+        cut = pc.extract_regex(column, self.LETTERS)
+        alone = pc.is_null(cut)
+        first = pc.if_else(alone, column, pc.struct_field(cut, "letters"))
+        second = pc.if_else(alone, "", pc.struct_field(cut, "rest"))
+        both = pa.concat_arrays([first.cast(pa.large_string()), second.cast(pa.large_string())])
+        parts = both.dictionary_encode()
+        ids = self._parts(parts.dictionary.to_pylist())
+        known = _lists([np.frombuffer(b"".join(ids), "<u4")], [[len(i) // 4 for i in ids]])
+        # The parts of a word follow each other.
+        order = np.asarray(parts.indices).reshape(2, len(words)).T.ravel()
+        values = known.take(pa.array(order)).flatten()
+        sizes = np.diff(np.asarray(known.offsets))[order].reshape(-1, 2).sum(axis=1)
+        return _lists([np.asarray(values)], [sizes])
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, parts))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        fresh = []
+        for i in missing:
+            found[i] = self.old.get(parts[i])
+            if found[i] is None:
+                fresh.append(i)
+        # Parts without white space inside or behind go to the library as lines of a text.
+        lines = [i for i in fresh if self.PLAIN.fullmatch(parts[i])]
+        for begin in range(0, len(lines), BATCH):
+            rows = lines[begin : begin + BATCH]
+            ids = self._ids("\n".join([parts[i] for i in rows]))
+            data = ids.tobytes()
+            ends = np.flatnonzero(ids == self.newline) * 4
+            cuts = [-4, *ends.tolist(), len(data)]
+            for i, a, b in zip(rows, cuts, cuts[1:], strict=False):
+                found[i] = data[a + 4 : b]
+        for i in fresh:
+            if found[i] is None:
+                found[i] = self._ids(parts[i]).tobytes()
+        if len(self.young) + len(missing) > CACHED_PARTS:
+            self.young, self.old = {}, self.young
+        self.young.update((parts[i], found[i]) for i in missing if len(parts[i]) <= CACHED_LENGTH)
+        return found
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def _lists(values: list[np.ndarray], sizes: list) -> pa.LargeListArray:
+    ends = np.cumsum(np.concatenate([np.asarray(s, np.int64) for s in sizes]))
+    flat = pa.array(np.concatenate(values).astype(np.uint32, copy=False))
+    return pa.LargeListArray.from_arrays(np.append(0, ends), flat)
+
+
+def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put small parts together: more of their words are the same."""
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        held.append(part)
+        if sum(p.nbytes for p in held) >= GATHERED_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 @functools.lru_cache(maxsize=2)
@@ -211,21 +293,19 @@ def write_token_files(
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Ids alone decide the ranges; a text takes part in the order of its id's rows only.
     ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_file)
         files, path = pa.fs.FileSystem.from_uri(f"{folder}/data")
         task, sequence = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
-        encoded: list[bytes] = []
+        encoded: list[np.ndarray] = []
+        counts: list[int] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             name = f"{task:08d}-{sequence:08d}-{uuid.uuid4().hex}.pfr"
-            content = file_bytes(
-                doc_ids, [len(e) // 4 for e in encoded], np.frombuffer(b"".join(encoded), "<u4")
-            )
+            content = file_bytes(doc_ids, counts, np.concatenate(encoded))
             with files.open_output_stream(f"{path}/{name}") as out:
                 out.write(content)
             row = (task, sequence, name, len(doc_ids), size)
@@ -234,19 +314,26 @@ def write_token_files(
             return to_batch({n: pa.array([v], k) for n, v, k in zip(names, row, kinds)})
 
         files.create_dir(path, recursive=True)
-        for part in slices(batches):
-            for doc_id, text in zip(part["doc_id"].to_pylist(), strings(part["text"])):
-                ids = encoder.encode(text) + end
-                doc_ids.append(doc_id)
-                encoded.append(ids)
-                size += len(ids) // 4
+        for part in gathered(slices(batches)):
+            ids, sizes = encoder.encode(part["text"], end_id)
+            starts = np.append(0, np.cumsum(sizes))
+            listed, begin = part["doc_id"].to_pylist(), 0
+            while begin < len(listed):
+                # A file ends with the document that takes it over its size.
+                stop = int(np.searchsorted(starts, starts[begin] + FILE_IDS - size)) or 1
+                stop = min(max(stop, begin + 1), len(listed))
+                doc_ids += listed[begin:stop]
+                counts += sizes[begin:stop].tolist()
+                encoded.append(ids[starts[begin] : starts[stop]])
+                size += int(starts[stop] - starts[begin])
+                begin = stop
                 if size >= FILE_IDS:
                     yield flush()
-                    doc_ids, encoded, size, sequence = [], [], 0, sequence + 1
+                    doc_ids, encoded, counts, size, sequence = [], [], [], 0, sequence + 1
         if doc_ids:
             yield flush()
 
-    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    in_arrow(ordered, write, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -263,13 +350,13 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     if manifest.isEmpty():
         found = spark.createDataFrame([], DOCUMENTS)
     else:
-        found = (
+        files = (
             spark.read.format("binaryFile")
             .option("pathGlobFilter", "*.pfr")
             .load(f"{folder}/data")
             .select("path", "content")
-            .mapInArrow(_documents, DOCUMENTS)
         )
+        found = in_arrow(files, _documents, DOCUMENTS)
     return found.join(offsets, "file").select(
         "doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )
