@@ -15,12 +15,13 @@ like one, and looked for in the at most 30 characters that can follow.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankdraft.functions.arrays import let, scan
-from rankdraft.llm.common import texts
+from rankdraft.llm.common import free_name, texts
 
 LOCAL = "A-Za-z0-9._%+-"
 LABEL = "[A-Za-z0-9-]++"
@@ -108,8 +109,21 @@ IBAN_LENGTHS = {
     }.items()
     for country in countries.split()
 }
+# The value behind a key word and = or :, without quotes. What it must look like is
+# asked first, so that few places are searched for the word before them.
+SECRET = Kind(
+    "secret",
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})"
+    r"(?<=(?i:token|secret|passw(?:or)?d|key)[\x22']?\x20{0,2}[:=]\x20{0,2}[\x22']?)"
+    r"[A-Za-z0-9+/_-]++",
+    "",
+    0.9,
+    ("token", "secret", "password", "key"),
+)
+# A secret has at least so many different characters, digits and letters among them.
+DIFFERENT = 10
 BASE = (EMAIL, IP, CARD, PHONE)
-KINDS = (*BASE, IBAN)
+KINDS = (*BASE, IBAN, SECRET)
 
 
 def digits(c: Column) -> Column:
@@ -132,6 +146,11 @@ def _phone_digits(c: Column) -> Column:
     return F.length(digits(c)).between(10, 15)
 
 
+def _random(c: Column) -> Column:
+    different = F.size(F.array_distinct(F.split(c, ""))) >= DIFFERENT
+    return different & c.rlike("[0-9]") & c.rlike("[A-Za-z]")
+
+
 def _mod97(plain: Column) -> Column:
     """Modulo 97 of country and check digits moved to the end, A as 10 up to Z as 35."""
     turned = F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))
@@ -171,11 +190,10 @@ CHECKS = {
     "ip": _octets,
     "card": _luhn,
     "phone": _phone_digits,
+    "secret": _random,
 }
 
 
-# Column for the spans while texts are masked.
-SPANS = "_personal_data_spans"
 SPAN = "struct<start:int,kind:int,end:int,score:double>"
 
 
@@ -215,7 +233,11 @@ def spans_of(text: Column, kind: Kind) -> Column:
         )
 
     none = F.array().cast(f"array<{SPAN}>")
-    possible = text.contains(kind.needs) if kind.needs else text.rlike("[0-9]")
+    if kind is SECRET:
+        words = [w for word in kind.context for w in (word, word.upper(), word.title())]
+        possible = reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+    else:
+        possible = text.contains(kind.needs) if kind.needs else text.rlike("[0-9]")
     return F.when(possible, let(parts, located)).otherwise(none)
 
 
@@ -283,8 +305,8 @@ def _score(kind: Kind, before: Column, after: Column) -> Column:
 def with_spans(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
     """Add all spans by start, then kind; a null text has none."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    base = (spans_of(whole, kind) for kind in BASE)
-    found = F.array_sort(F.concat(*base, accounts_of(whole)))
+    plain = (spans_of(whole, kind) for kind in (*BASE, SECRET))
+    found = F.array_sort(F.concat(*plain, accounts_of(whole)))
     return docs.withColumn(into, found)
 
 
@@ -328,9 +350,10 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     Overlapping spans become one, named by the first. ``n_chars`` follows the text, if
     there is one. A null text stays null.
     """
-    rows = with_spans(docs, "text", into=SPANS)
-    changed = F.size(SPANS) > 0
-    masked = _masked(F.col("text"), F.col(SPANS))
+    spans = free_name(docs, "_spans")
+    rows = with_spans(docs, "text", into=spans)
+    changed = F.size(spans) > 0
+    masked = _masked(F.col("text"), F.col(spans))
     rows = rows.withColumn("text", F.when(changed, masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
