@@ -36,6 +36,14 @@ def texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as an empty text."""
     as_text = F.coalesce(doc_id.cast("string"), F.lit(""))

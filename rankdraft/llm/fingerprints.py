@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankdraft.llm.common import slices, texts, to_batch
+from rankdraft.llm.common import in_arrow, slices, texts, to_batch
 from rankdraft.llm.words import FOLDED, counted, mix, split_words
 
 IDF_MIN, IDF_MAX = 1.2, 6.2
@@ -55,7 +55,7 @@ def lexicon(docs: DataFrame) -> np.ndarray:
     spark, rows = docs.sparkSession, texts(docs)
     total = rows.count()
     least, most = total * math.exp(-IDF_MAX), total * math.exp(-IDF_MIN)
-    candidates = rows.mapInArrow(_frequent_here, "term long").distinct()
+    candidates = in_arrow(rows, _frequent_here, "term long").distinct()
     # One row more tells that there are too many.
     named = [r["term"] for r in candidates.limit(MAX_CANDIDATES + 1).toLocalIterator()]
     known = np.sort(np.array(named, np.int64).view(np.uint64))
@@ -65,7 +65,7 @@ def lexicon(docs: DataFrame) -> np.ndarray:
         terms, n, _ = _document_counts(batches, only.value)
         yield to_batch({"term": pa.array(terms.view(np.int64)), "n": pa.array(n)})
 
-    counts = rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = in_arrow(rows, count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     band = counts.filter((F.col("n") >= least) & (F.col("n") <= most)).select("term").toArrow()
     return np.sort(band["term"].to_numpy().view(np.uint64))
 
@@ -205,7 +205,7 @@ def _placed(docs: DataFrame) -> DataFrame:
         for part in slices(batches):
             yield to_batch(place(part))
 
-    return rows.mapInArrow(run, PLACED)
+    return in_arrow(rows, run, PLACED)
 
 
 def edited(text: str, following: str) -> str:
@@ -233,7 +233,7 @@ def fingerprint_documents(docs: DataFrame, terms: np.ndarray | None = None) -> D
         for rows in _with_next(batches):
             yield _described(rows, shared.value)
 
-    return ordered.mapInArrow(run, SCHEMA)
+    return in_arrow(ordered, run, SCHEMA)
 
 
 Row = tuple[int | None, str, str]

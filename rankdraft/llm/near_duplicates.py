@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankdraft.llm.common import map_slices, stored, texts
+from rankdraft.llm.common import free_name, map_slices, stored, texts
 from rankdraft.llm.components import components
 from rankdraft.llm.words import FOLDED, counted, mix, shingles, split_words
 from rankdraft.session import fits_broadcast
@@ -283,7 +283,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without an id are kept. Of repeated rows with that id all stay.
     """
     classes = near_duplicate_classes(docs).filter("doc_id <> class_id")
-    dropped = stored(classes.select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    gone = free_name(docs, "_dropped")
+    dropped = stored(classes.select(F.col("doc_id").alias(gone)).distinct(), "dropped")
     if fits_broadcast(dropped):
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, docs["doc_id"] == F.col(gone), "left_anti")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankdraft.llm.common import map_slices, slices, texts, to_batch
+from rankdraft.llm.common import in_arrow, map_slices, slices, texts, to_batch
 from rankdraft.llm.words import FOLDED, Words, beginnings, split_words
 
 # Bounds of the training sample: expected rows, chosen by a hash of the id.
@@ -174,7 +174,7 @@ def select_features(sample: DataFrame) -> np.ndarray:
         return F.sum(F.when(condition, c).otherwise(0.0)) / n
 
     sums = (
-        sample.mapInArrow(_values, SAMPLED)
+        in_arrow(sample, _values, SAMPLED)
         .groupBy("feature")
         .agg(
             mean(positive, x, n_p).alias("p1"),

@@ -7,7 +7,7 @@ import time
 
 import pytest
 
-from rankdraft.llm import decontamination, pii
+from rankdraft.llm import decontamination, near_duplicates, pii
 
 # ---------------------------------------------------------------- personal data
 
@@ -248,3 +248,56 @@ def test_no_python_runs_in_the_plans(spark):
     ):
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_columns_that_clash_with_working_names_stay(spark):
+    columns = ["_id", "_digest", "_dropped", "_spans", "_personal_data_spans", "spans", "words"]
+    schema = "doc_id long, text string, " + ", ".join(f"{c} string" for c in columns)
+    text = "one two three four five six seven eight nine ten write to a@b.cc"
+    rows = [(i, text if i < 2 else f"{i}", *columns) for i in range(4)]
+    docs = spark.createDataFrame(rows, schema)
+    bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+    for kept, ids in (
+        (decontamination.keep_clean(docs, bench), {2, 3}),
+        (near_duplicates.keep_one(docs), {0, 2, 3}),
+        (pii.mask_personal_data(docs), {0, 1, 2, 3}),
+    ):
+        found = kept.collect()
+        assert kept.columns == docs.columns and {r.doc_id for r in found} == ids
+        assert all(r[c] == c for r in found for c in columns)
+
+
+def test_hits_without_a_broadcast_are_the_same(spark, monkeypatch):
+    long = "a b c d e f g h i j k l m"
+    rows = [(1, f"x {long} y", ), (1, "e f"), (2, "a a a a a a a a a a a a"), (None, "e f z"), (3, None)]
+    docs = spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id long, text string")
+    items = [(1, long), (2, "a " * 11), (3, "E-f"), (4, ""), (None, "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = decontamination.find_contamination(docs, bench).collect()
+    monkeypatch.setattr(decontamination, "fits_broadcast", lambda *_: False)
+    found = decontamination.find_contamination(docs, bench).collect()
+    assert sorted(map(str, found)) == sorted(map(str, expected)) and len(found) == 10
+    assert sorted((r.n_hit, r.n_items) for r in found) == sorted(
+        [(13, 2), (2, 1), (12, 1), (2, 1), (0, 0)] * 2
+    )
+
+
+def test_winnowing_keeps_few_grams_and_one_of_every_window(spark):
+    draw = random.Random(3)
+    text = " ".join(f"w{draw.randrange(900)}" for _ in range(4000))
+    docs = spark.createDataFrame([(text,)], "text string")
+    d = decontamination
+    row = d.kept_grams(d.with_grams(d.with_words(docs))).first()
+    kept = [h is not None for h in row.kept]
+    assert all(any(kept[i : i + d.GRAMS]) for i in range(len(row.least)))
+    assert sum(kept) / len(kept) < 2.3 / (d.GRAMS + 1)
+
+
+def test_secrets_behind_key_words(spark):
+    value = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"
+    texts = [f'token = "{value}" x', f"API_KEY={value}", f"key {value}", 'token = "aaaaaaaaaaaaaaaaaaaa1"',
+             f"Secret: '{value}'", "token = short1", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    assert [found[i].n_secret for i in range(len(texts))] == [1, 1, 0, 0, 1, 0, 0]
+    assert found[0].spans == "secret:9:49" and found[0].n_confident == 1
