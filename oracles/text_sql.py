@@ -57,15 +57,21 @@ def find_between(x: str, start: str, end: str) -> str:
     return strip(part)
 
 
+def tokens(x: str, marks: str) -> str:
+    """The marks of a text and what stands between them, in order."""
+    return f"regexp_extract_all({x}, {q('[' + marks + ']|[^' + marks + ']+')})"
+
+
 def fold_mask(x: str, op: str, cl: str) -> str:
     """Every bracketed character as a backtick; null when unbalanced."""
     step = (
         "{'d': a.d + CASE WHEN t = " + q(op) + " THEN 1 WHEN t = " + q(cl) + " THEN -1 ELSE 0 END, "
         "'ok': a.ok AND NOT (t = " + q(cl) + " AND a.d = 0), "
-        f"'o': a.o || CASE WHEN t = {q(op)} OR t = {q(cl)} OR a.d > 0 THEN {TICK} ELSE t END}}"
+        f"'o': a.o || CASE WHEN t = {q(op)} OR t = {q(cl)} OR a.d > 0 "
+        f"THEN repeat({TICK}, CAST(length(t) AS BIGINT)) ELSE t END}}"
     )
     fold = (
-        f"list_reduce(string_split({x}, ''), lambda a, t: {step}, "
+        f"list_reduce({tokens(x, op + cl)}, lambda a, t: {step}, "
         "{'d': 0, 'ok': true, 'o': ''})"
     )
     return (
@@ -88,7 +94,8 @@ def fold_images(x: str) -> str:
         f"WHEN t = ']' AND len(a.s) > 1 THEN list_append(a.s[1:len(a.s) - 2], {below} || {span}) "
         f"ELSE list_append(a.s[1:len(a.s) - 1], {top} || t) END}}"
     )
-    fold = f"list_reduce(string_split({x}, ''), lambda a, t: {step}, {{'ok': true, 's': ['']}})"
+    marks = tokens(x, "\\[\\]")
+    fold = f"list_reduce({marks}, lambda a, t: {step}, {{'ok': true, 's': ['']}})"
     return (
         f"CASE WHEN {x} = '' THEN '' ELSE (SELECT CASE WHEN f.ok AND len(f.s) = 1 THEN "
         f"CASE WHEN contains({x}, '[]File:') THEN replace(f.s[1], '[]', repeat({TICK}, 2)) "

@@ -123,8 +123,23 @@ BOTS = _case(
         5: "'{{bots|deny=OtherBot}}'",
     },
 )
+# Pages without a heading, whose lead is the document itself, with templates, references,
+# images and links spread through it, and the categories behind it.
+_LINE_END = (
+    "'{{cite|a={{b|c}} d}}<ref name=\"s\">Source [[x|y]]</ref> "
+    "[[File:m.jpg|thumb|A [[c]] caption]] <ref name=\"t\" />'"
+)
+REAL_TEXT = (
+    f"replace(replace(replace(text, {NL}, {_LINE_END} || {NL}), ' with ', ' [[Alga|with]] '), "
+    "' que ', ' [[que]] {{lang|es|que}} ')"
+)
+REAL_PAGE = (
+    f"{SD} || {BOX} || {NL} || {PREFIX} || {LEAD} || ' ' || {REAL_TEXT} || {NL} || {NL} || "
+    f"'[[Category:Algae]]' || {NL} || '[[ category : Genera|x]] '"
+)
 PAGE_TEXT = (
-    "CASE WHEN k % 41 = 1 THEN '' WHEN k % 29 = 3 THEN '#redirect [[X]]' ELSE "
+    "CASE WHEN k % 41 = 1 THEN '' WHEN k % 29 = 3 THEN '#redirect [[X]]' "
+    f"WHEN k % 11 = 10 OR k % 23 = 6 THEN {REAL_PAGE} ELSE "
     f"{SD} || {BOX} || {NL} || {PREFIX} || {LEAD} || {SUFFIX} || {NL} || {NL} || "
     f"'== Description ==' || {NL} || text || {NL} || {BOTS} || "
     "CASE WHEN k % 17 = 10 THEN '[[Category:Monotypic algae genera]]' ELSE '' END END"
