@@ -22,6 +22,24 @@ def in_order(df: DataFrame, key: str = "seq") -> DataFrame:
     return durable(df.orderBy(key))
 
 
+def ranged(targets: DataFrame) -> DataFrame:
+    """Durable copy of a narrow list in order of ``seq``, with the number of its range."""
+    ranges = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = targets.repartitionByRange(ranges, "seq").sortWithinPartitions("seq")
+    return durable(ordered).withColumn("_range", F.spark_partition_id())
+
+
+def in_ranges(df: DataFrame) -> DataFrame:
+    """Durable copy, in order of ``seq``, of what was made of rows of a ``ranged`` list.
+
+    The rows go where their list's ranges say, so that no bounds are sampled from them:
+    the plan that made them runs once.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionById(ranges, F.col("_range")).sortWithinPartitions("seq")
+    return durable(placed.drop("_range"))
+
+
 def number_rows(ordered: DataFrame, wanted: Column, name: str) -> DataFrame:
     """The wanted rows of an ``in_order`` frame, numbered from 1 in column ``name``."""
     rows = ordered.where(wanted).withColumn("_id", F.monotonically_increasing_id())

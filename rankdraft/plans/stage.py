@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +17,10 @@ from rankdraft.functions.pytext import first_reason
 from rankdraft.operators import lookups as L
 from rankdraft.operators import ordered as O
 
-# Targets that are tried first when a limit is set. What a run returns ends where the
-# limit is met, so it does not depend on this number.
-MIN_STRETCH = 10_000
+# Targets in the first stretch when a limit is set, at least; each further stretch is
+# twice as long. What a run returns ends where the limit is met, so it does not depend
+# on this number.
+MIN_STRETCH = 1_000
 
 
 @dataclass(frozen=True)
@@ -198,27 +200,57 @@ def run(
     prune_titles: int = L.PRUNE_TITLES,
 ) -> Staging:
     """Judge all given targets (seq, title) and cut the result at the first limit."""
-    verdicts = O.in_order(judge_targets(targets, tables, cfg, hot_rows, prune_titles))
-    recorded = F.col("skip_reason").isNull()
-    articles = O.number_rows(verdicts, recorded, "n")
+    judged = judge_targets(O.ranged(targets), tables, cfg, hot_rows, prune_titles)
+    return numbered(O.in_ranges(judged), cfg)
+
+
+def numbered(
+    verdicts: DataFrame, cfg: JobConfig, n_before: int = 0, successes_before: int = 0
+) -> Staging:
+    """Number the rows of a finished table, after those of earlier ones, and cut it."""
+    articles = O.number_rows(verdicts, F.col("skip_reason").isNull(), "n")
+    articles = articles.withColumn("n", F.col("n") + n_before)
     successes = O.number_rows(verdicts, F.col("ok"), "success_no")
+    successes = successes.withColumn("success_no", F.col("success_no") + successes_before)
     stop = O.stop_after(articles, successes, cfg)
     return Staging(*(O.upto(rows, stop) for rows in (verdicts, articles, successes)), stop)
 
 
+def run_in_stretches(
+    targets: DataFrame,
+    tables: WikiTables,
+    cfg: JobConfig,
+    hot_rows: int = L.HOT_ROWS,
+    prune_titles: int = L.PRUNE_TITLES,
+) -> Staging:
+    """As ``run``, for limits that are met early: stretches of the list, each twice as
+    long as the one before, are judged once each, until one meets a limit."""
+    ordered = O.ranged(targets)
+    placed = O.number_rows(ordered, F.lit(True), "_no")
+    total, done = ordered.count(), 0
+    size = max(MIN_STRETCH, 4 * max(cfg.max_arts, cfg.max_stage))
+    parts: list[Staging] = []
+    n = successes = 0
+    while True:
+        stretch = placed.where(F.col("_no").between(done + 1, done + size)).drop("_no")
+        judged = judge_targets(stretch, tables, cfg, hot_rows, prune_titles)
+        parts.append(numbered(O.in_ranges(judged), cfg, n, successes))
+        done, size = done + size, 2 * size
+        if parts[-1].stop is not None or done >= total:
+            break
+        n += parts[-1].articles.count()
+        successes += parts[-1].successes.count()
+    tables_of = ((p.verdicts, p.articles, p.successes) for p in parts)
+    return Staging(*(reduce(DataFrame.unionByName, t) for t in zip(*tables_of)), parts[-1].stop)
+
+
 def stage(targets: DataFrame, tables: WikiTables, cfg: JobConfig, **sizes) -> Staging:
     """Run the stage phase over a target list (seq, raw_title); ``seq`` is unique.
 
-    With limits set, a short first stretch of the list usually meets them and
-    spares the rest; if it does not, the whole list is run.
+    With limits set, the list is judged in stretches that end where a limit is met.
     """
     keyed = targets.select("seq", W.normalize_title(F.col("raw_title")).alias("title"))
     if cfg.partial:
         keyed = O.from_startpoint(keyed, W.clean_title(F.col("title")), cfg.startpoint)
-    limit = max(cfg.max_arts, cfg.max_stage)
-    if limit:
-        stretch = keyed.orderBy("seq").limit(max(MIN_STRETCH, 20 * limit))
-        staging = run(stretch, tables, cfg, **sizes)
-        if staging.stop is not None:
-            return staging
-    return run(keyed, tables, cfg, **sizes)
+    limited = cfg.max_arts or cfg.max_stage
+    return (run_in_stretches if limited else run)(keyed, tables, cfg, **sizes)

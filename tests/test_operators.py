@@ -162,3 +162,15 @@ def test_broadcast_size_counts_strings(spark):
     assert table_bytes(table) == 4 + 2 * ROW_BYTES
     assert fits_broadcast(table) and not fits_broadcast(table, 100)
     assert table_bytes(table.where("b > 5")) == 0
+
+
+def test_ranges_of_a_list_hold_what_is_made_of_its_rows(spark):
+    rows = spark.createDataFrame([(i * 7 % 500, i) for i in range(500)], "seq long, x int")
+    listed = O.ranged(rows.select("seq"))
+    made = listed.join(rows.repartition(5), "seq").withColumn("y", F.col("x") + 1)
+    ordered = O.in_ranges(made)
+    parts = ordered.withColumn("part", F.spark_partition_id()).collect()
+    assert [r.seq for r in parts] == list(range(500))
+    assert [r.part for r in parts] == sorted(r.part for r in parts) and parts[-1].part > 0
+    numbers = O.number_rows(ordered, F.col("seq") % 2 == 0, "n").collect()
+    assert {r.seq: r.n for r in numbers} == {2 * i: i + 1 for i in range(250)}

@@ -74,8 +74,8 @@ def test_limits_beyond_the_first_stretch(corpus, default_run, monkeypatch):
     monkeypatch.setattr(S, "MIN_STRETCH", 3)
     run = S.stage(corpus.targets, corpus.tables, JobConfig(max_arts=1, max_stage=0))
     assert run.staged().count() == 1
-    late = S.stage(corpus.targets, corpus.tables, JobConfig(max_stage=43))
-    assert late.successes.count() == 43
+    late = S.stage(corpus.targets, corpus.tables, JobConfig(max_stage=45))
+    assert late.successes.count() == 45
 
 
 def test_unknown_startpoint_gives_nothing(corpus):
@@ -99,7 +99,7 @@ def test_missing_and_repeated_targets(spark, corpus):
 
 def test_staging_file(spark, tmp_path, default_run):
     path = K.write_staging(default_run.staged(), str(tmp_path), P.DEFAULT, NOW)
-    assert path.endswith("staged algae (43 of 77) 2026-01-02 (03 04).tsv")
+    assert path.endswith("staged algae (45 of 77) 2026-01-02 (03 04).tsv")
     lines = []
     for part in sorted(glob.glob(glob.escape(path) + "/part-*")):
         lines += open(part, encoding="utf-8").read().splitlines()
@@ -137,3 +137,22 @@ def test_page_text_is_not_shuffled(spark, corpus, tmp_path):
         assert "Exchange SinglePartition" not in plan
         for line in plan.splitlines():
             assert not ("Exchange" in line and "text#" in line)
+
+
+def test_no_ranges_are_sampled_from_judged_rows(corpus, monkeypatch):
+    plans, durable = [], S.O.durable
+    monkeypatch.setattr(S.O, "durable", lambda df: plans.append(plan_text(df)) or durable(df))
+    S.stage(corpus.targets, corpus.tables, P.DEFAULT)
+    joined = [plan for plan in plans if "Join" in plan]
+    assert joined and not any("rangepartitioning" in plan for plan in joined)
+
+
+def test_a_limit_judges_no_row_twice(corpus, monkeypatch):
+    monkeypatch.setattr(S, "MIN_STRETCH", 10)
+    judged, judge = [], S.judge_targets
+    monkeypatch.setattr(
+        S, "judge_targets", lambda t, *a: judged.extend(r.seq for r in t.collect()) or judge(t, *a)
+    )
+    run = S.stage(corpus.targets, corpus.tables, JobConfig(max_stage=4))
+    assert run.successes.count() == 4
+    assert len(judged) == len(set(judged)) < corpus.targets.count()
