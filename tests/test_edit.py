@@ -149,7 +149,7 @@ def test_runs_from_file_to_file(spark, tmp_path):
     cfg = JobConfig(base_file=base, write_examples=True, max_examples=2, mode_flag="stage")
     assert runner(cfg) is run_stage and runner(JobConfig()) is run_edit
     staged = run_stage(spark, cfg, corpus.tables, str(tmp_path), now)
-    assert staged.summary.first()["success"] == 43
+    assert staged.summary.first()["success"] == 45
     assert staged.examples.count() == 1
     edited = run_edit(spark, cfg, corpus.pages, corpus.page_props, str(tmp_path), now, staged.files[0])
     row = edited.summary.first()
