@@ -1,10 +1,12 @@
 """Document fingerprints by I-Match with randomised lexicons.
 
 The lexicon holds the terms whose inverse document frequency, ln(N / df) over all
-documents, lies in a band. A fingerprint has one hash for the whole lexicon and one for
-each of several random subsets of it, from half of the terms down to one in 256: the
-hash of the text's distinct terms in that subset, in sorted order. Texts alike in most
-terms agree in some subsets, and the share of those is their likeness.
+documents, lies in a band. A fingerprint has a hash of 64 bits for the whole lexicon and
+one of 8 bits for each of many random subsets of it, from a quarter of the terms down to
+one in 2,048: the hash of the text's distinct terms in that subset, in sorted order.
+Texts alike in most terms agree in some subsets, and the share of those is their
+likeness. Only subsets that hold about one term of a text tell much, one or two scales
+whatever the text's length; there are many draws, so that those few are enough.
 
 The lexicon is small whatever the size of the corpus: document frequencies sum up to the
 number of distinct terms of all texts, so at most m * exp(IDF_MAX) terms reach the band,
@@ -30,10 +32,12 @@ from rankdraft.llm.words import FOLDED, counted, mix, split_words
 
 IDF_MIN, IDF_MAX = 1.2, 6.2
 # Subsets hold about one term in 2^scale, and each scale has several of them.
-SCALES, DRAWS = range(2, 12), 8
+SCALES, DRAWS = range(2, 12), 32
 # Weight of a scale none of whose subsets is empty; one of empty subsets only has 1 more.
 DENSE_WEIGHT = 0.05
-HASHES = 1 + len(SCALES) * DRAWS
+# Bytes of a fingerprint: the hash of the whole lexicon, and one for each subset.
+WHOLE = 8
+BYTES = WHOLE + len(SCALES) * DRAWS
 STEP = np.uint64(0x9E3779B97F4A7C15)
 # Candidate terms that may be sent to every task; beyond, all terms are counted.
 MAX_CANDIDATES = 4_000_000
@@ -57,8 +61,8 @@ def lexicon(docs: DataFrame) -> np.ndarray:
     least, most = total * math.exp(-IDF_MAX), total * math.exp(-IDF_MIN)
     candidates = in_arrow(rows, _frequent_here, "term long").distinct()
     # One row more tells that there are too many.
-    named = [r["term"] for r in candidates.limit(MAX_CANDIDATES + 1).toLocalIterator()]
-    known = np.sort(np.array(named, np.int64).view(np.uint64))
+    named = candidates.limit(MAX_CANDIDATES + 1).toArrow()
+    known = np.sort(named["term"].to_numpy().view(np.uint64))
     only = spark.sparkContext.broadcast(known if len(known) <= MAX_CANDIDATES else None)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +109,7 @@ def contains(ascending: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(column: pa.Array, terms: np.ndarray) -> np.ndarray:
-    """A row of 16-bit hashes for each text; 0 where the subset has none of its terms.
+    """A row of bytes for each text; those of a subset that has none of its terms are 0.
 
     A text without any term of the lexicon is represented by all its terms; one without
     terms has zeros only.
@@ -117,26 +121,29 @@ def fingerprints(column: pa.Array, terms: np.ndarray) -> np.ndarray:
     found = np.bincount(text[known], minlength=n) > 0
     kept = known | ~found[text]
     hashes, text, _ = counted(hashes[kept], text[kept])
-    cuts = np.searchsorted(text, np.arange(n + 1))
     values = mix(hashes + STEP)
-    out = np.zeros((n, HASHES), np.uint16)
-    out[:, 0] = _summed(values, cuts)
-    seeds = mix(np.arange(1, DRAWS + 1, dtype=np.uint64) * STEP)
-    column = 1
-    for seed in seeds:
-        random = mix(hashes ^ seed)
+    out = np.zeros((n, BYTES), np.uint8)
+    out[:, :WHOLE] = _summed(values, text, n).astype(">u8").view(np.uint8).reshape(n, WHOLE)
+    column = WHOLE
+    for seed in mix(np.arange(1, DRAWS + 1, dtype=np.uint64) * STEP):
+        random, chosen, own = mix(hashes ^ seed), values, text
         for scale in SCALES:
-            chosen = random < np.uint64(1 << (64 - scale))
-            out[:, column] = _summed(np.where(chosen, values, np.uint64(0)), cuts)
+            # The subsets of a draw lie inside each other.
+            inside = random < np.uint64(1 << (64 - scale))
+            random, chosen, own = random[inside], chosen[inside], own[inside]
+            total = _summed(chosen, own, n)
+            short = np.maximum(total >> np.uint64(56), np.uint64(1))
+            out[:, column] = np.where(total == 0, np.uint64(0), short)
             column += 1
     return out
 
 
-def _summed(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """A 16-bit hash of each text's values, which come in sorted order; 0 if all are 0."""
+def _summed(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each text's values, which come in sorted order; 0 if it has none."""
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
-    total = sums[cuts[1:]] - sums[cuts[:-1]]
-    return np.where(total == 0, 0, np.maximum(mix(total) >> np.uint64(48), 1)).astype(np.uint16)
+    cuts = np.searchsorted(text, np.arange(n + 1))
+    total = mix(sums[cuts[1:]] - sums[cuts[:-1]])
+    return np.where(cuts[1:] > cuts[:-1], np.maximum(total, np.uint64(1)), np.uint64(0))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,20 +153,22 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     A subset of many terms is rarely equal, one of about a single term as often as the
     texts share terms. So a scale weighs more, the more of its subsets are empty.
     """
+    same = (a[:, :WHOLE] == b[:, :WHOLE]).all(axis=1)
+    some = a[:, :WHOLE].any(axis=1) | b[:, :WHOLE].any(axis=1)
+    shape = (len(a), DRAWS, len(SCALES))
+    a, b = a[:, WHOLE:].reshape(shape), b[:, WHOLE:].reshape(shape)
     held = (a != 0) | (b != 0)
     equal = (a == b) & held
-    weights = np.full(held.shape, DENSE_WEIGHT)
-    by_scale = held[:, 1:].reshape(len(held), DRAWS, len(SCALES))
-    empty = 1 - by_scale.mean(axis=1, keepdims=True)
-    weights[:, 1:] += np.broadcast_to(empty, by_scale.shape).reshape(len(held), -1)
-    total = (weights * held).sum(axis=1)
-    shared = (weights * equal).sum(axis=1)
-    return np.where(total > 0, shared / np.maximum(total, 1e-12), 1.0)
+    weights = DENSE_WEIGHT + 1 - held.mean(axis=1)
+    total = DENSE_WEIGHT * some + (weights * held.sum(axis=1)).sum(axis=1)
+    shared = DENSE_WEIGHT * (some & same) + (weights * equal.sum(axis=1)).sum(axis=1)
+    # Equal texts are exactly 1, whatever the sums are rounded to.
+    return np.where(some & ~same, shared / np.maximum(total, 1e-12), 1.0)
 
 
 def written(rows: np.ndarray) -> list[str]:
-    raw = rows.astype(">u2").tobytes().hex()
-    size = 4 * HASHES
+    raw = rows.tobytes().hex()
+    size = 2 * BYTES
     return [raw[i : i + size] for i in range(0, len(raw), size)]
 
 
