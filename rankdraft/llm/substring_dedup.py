@@ -2,8 +2,8 @@
 
 Passages are found by recompression: each window of 50 words is represented by a high
 interior symbol, and equal windows by the same one. Symbols that occur in two different
-texts reveal candidate windows, which are few; those are compared by 128-bit hashes of
-all their words, and the smallest document of each decides.
+texts reveal candidate windows, which are few; those are compared by two independent
+64-bit hashes of all their words, and the smallest document of each decides.
 
 Copies of a text are represented by their smallest document. What has to be looked up
 by document are narrow rows; the texts themselves move only where a passage is shared.
@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 
 from rankdraft.llm.common import map_slices, stored, texts
 from rankdraft.llm.recompression import anchors
-from rankdraft.llm.words import SPACED, Words, split_words, windows
+from rankdraft.llm.words import SPACED, Words, other_table, rehashed, split_words, windows
 from rankdraft.session import fits_broadcast
 
 WINDOW = 50
+SECOND = other_table(SPACED)
+# A key is hot if it has more rows than this and more than one row in HOT_KEYS, so that
+# there are never more than HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 10_000, 50_000
 
 ANCHORS = "doc_id long, digest binary, keys array<long>, at array<int>, n array<int>"
 WHOLE = "doc_id long, digest binary, n_words long, whole_sha256 string"
@@ -93,7 +97,7 @@ def _windows(part: pa.RecordBatch) -> dict[str, object]:
         words.first, [[(s["at"], s["n"]) for s in own if s["later"]] for own in spans], 1
     )
     h1, at = windows(words, WINDOW, 1)
-    h2, _ = windows(words, WINDOW, 2)
+    h2, _ = windows(words, WINDOW, 2, rehashed(words, SECOND))
     chosen = wanted[at]
     at = at[chosen]
     text = words.text[at] if len(at) else np.empty(0, np.int64)
@@ -136,6 +140,23 @@ def _with_text(rows: DataFrame, found: DataFrame) -> DataFrame:
     return own.join(found, ["node", "tag"])
 
 
+def _join_keys(
+    rows: DataFrame, keyed: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``rows`` joined with ``keyed``, a finished table of one row a key, where ``held``
+    is how many rows have it.
+
+    Hot keys go to the rows, which stay where they are; the rows of the others meet them
+    in a shuffle, in which no task gets more than its share by one key.
+    """
+    total = keyed.agg(F.sum("held")).first()[0] or 0
+    least = max(hot_rows, total // HOT_KEYS)
+    hot = F.broadcast(keyed.filter(F.col("held") > least))
+    cold = rows.join(hot.select(keys), keys, "left_anti")
+    cold = cold.join(keyed.filter(F.col("held") <= least), keys)
+    return cold.unionByName(rows.join(hot, keys)).drop("held")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row.
 
@@ -161,24 +182,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = nodes.select("node", _tag().alias("tag"), F.explode(zipped).alias("a")).select(
         "node", "tag", F.col("a.keys").alias("key"), "a.at", "a.n"
     )
-    shared = (
-        spans.groupBy("key")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .filter("low < high")
-        .select("key", "low")
+    extent = (F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("held"))
+    shared = stored(
+        spans.groupBy("key").agg(*extent).filter("low < high").drop("high"), "shared-symbols"
     )
     # The smallest document of a key may give a window its owner, but loses none by it.
     span = F.struct("at", "n", (F.col("node") > F.col("low")).alias("later"))
     candidates = stored(
-        spans.join(shared, "key").groupBy("node", "tag").agg(F.collect_list(span).alias("spans")),
+        _join_keys(spans, shared, ["key"])
+        .groupBy("node", "tag")
+        .agg(F.collect_list(span).alias("spans")),
         "spans",
     )
     found = stored(map_slices(_with_text(known, candidates), WINDOWS, _windows), "windows")
-    first = found.groupBy("h1", "h2").agg(F.min("node").alias("first"))
+    repeated = stored(
+        found.groupBy("h1", "h2").agg(*extent).filter("low < high").drop("high"), "shared-windows"
+    )
     covered = stored(
-        found.filter("later")
-        .join(first, ["h1", "h2"])
-        .filter("node > first")
+        _join_keys(found.filter("later"), repeated, ["h1", "h2"])
+        .filter("node > low")
         .groupBy("node", "tag")
         .agg(F.collect_set("at").alias("starts")),
         "covered",

@@ -38,6 +38,13 @@ def folded_table() -> np.ndarray:
 SPACED, FOLDED = spaced_table(), folded_table()
 
 
+def other_table(table: np.ndarray) -> np.ndarray:
+    """The same words under other values, for a second hash that tells apart words which
+    agree in the first by chance."""
+    values = mix(table * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    return np.where(table == 0, np.uint64(0), values)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))
@@ -114,6 +121,11 @@ def beginnings(words: Words, size: int, table: np.ndarray) -> tuple[np.ndarray,
     return ~_hashes(words.data, starts, starts + size, table), longer
 
 
+def rehashed(words: Words, table: np.ndarray) -> np.ndarray:
+    """Hashes of the words by another table."""
+    return _hashes(words.data, words.starts, words.ends, table)
+
+
 def _hashes(data, starts, ends, table) -> np.ndarray:
     out = np.empty(len(starts), dtype=np.uint64)
     at = 0
@@ -130,14 +142,20 @@ def _hashes(data, starts, ends, table) -> np.ndarray:
     return mix(out)
 
 
-def windows(words: Words, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``size`` words within a text, and each run's first word."""
-    n = len(words.hashes)
+def windows(
+    words: Words, size: int, seed: int = 0, hashes: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` words within a text, and each run's first word.
+
+    ``hashes`` are those of the words, unless the words' own are meant.
+    """
+    hashes = words.hashes if hashes is None else hashes
+    n = len(hashes)
     if n < size:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     up, down = _POWERS.of(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(mix(words.hashes + np.uint64(seed)) * up[:n], out=sums[1:])
+    np.cumsum(mix(hashes + np.uint64(seed)) * up[:n], out=sums[1:])
     text = words.text
     at = np.flatnonzero(text[size - 1 :] == text[: n - size + 1])
     return mix((sums[at + size] - sums[at]) * down[at]), at

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rankdraft.llm import (
     components,
@@ -16,7 +17,16 @@ from rankdraft.llm import (
     recompression,
     substring_dedup,
 )
-from rankdraft.llm.words import FOLDED, SPACED, counted, shingles, split_words
+from rankdraft.llm.words import (
+    FOLDED,
+    SPACED,
+    counted,
+    mix,
+    other_table,
+    rehashed,
+    shingles,
+    split_words,
+)
 
 SCHEMA = "doc_id long, text string, key string, node int"
 
@@ -271,3 +281,87 @@ def test_fingerprints_of_one_or_no_document(spark):
     (only,) = fingerprints.fingerprint_documents(frame(spark, [(1, "alone here")])).collect()
     assert only.near_next == 1
     assert fingerprints.fingerprint_documents(frame(spark, [])).count() == 0
+
+
+def test_fingerprint_bytes_and_likeness_follow_the_terms_of_each_subset():
+    """Brute force: which terms a subset holds decides on its byte, and the likeness is
+    the weighted share of equal ones."""
+    rnd = random.Random(5)
+    vocabulary = [f"t{i}" for i in range(400)]
+    texts = [" ".join(rnd.choices(vocabulary, k=rnd.choice([0, 1, 5, 40, 300]))) for _ in range(30)]
+    texts += [texts[7], "", " ".join(sorted(texts[9].split()) * 2)]
+    column = pa.array(texts)
+    known = split_words(pa.array([" ".join(vocabulary[::2])]), FOLDED)
+    rows = fingerprints.fingerprints(column, np.sort(known.hashes))
+    sets = []
+    for text in texts:
+        terms = split_words(pa.array([text]), FOLDED).hashes
+        inside = np.isin(terms, known.hashes)
+        sets.append(sorted({int(h) for h in (terms[inside] if inside.any() else terms)}))
+    seeds = mix(np.arange(1, fingerprints.DRAWS + 1, dtype=np.uint64) * fingerprints.STEP)
+    for draw in (0, fingerprints.DRAWS - 1):
+        for place, scale in enumerate(fingerprints.SCALES):
+            at = fingerprints.WHOLE + draw * len(fingerprints.SCALES) + place
+            byte_of = {}
+            for own, row in zip(sets, rows):
+                values = mix(np.array(own, np.uint64) ^ seeds[draw])
+                chosen = tuple(t for t, v in zip(own, values) if int(v) < 1 << (64 - scale))
+                assert (row[at] == 0) == (not chosen)
+                assert byte_of.setdefault(chosen, row[at]) == row[at]
+    for i, j in [(0, 1), (7, 30), (9, 32), (31, 31), (3, 31), (4, 9), (12, 20)]:
+        a, b = rows[i], rows[j]
+        some = a[: fingerprints.WHOLE].any() or b[: fingerprints.WHOLE].any()
+        total = shared = fingerprints.DENSE_WEIGHT * some
+        if not (a[: fingerprints.WHOLE] == b[: fingerprints.WHOLE]).all():
+            shared = 0.0
+        n = len(fingerprints.SCALES)
+        for place in range(n):
+            x, y = a[fingerprints.WHOLE + place :: n], b[fingerprints.WHOLE + place :: n]
+            held = (x != 0) | (y != 0)
+            weight = fingerprints.DENSE_WEIGHT + 1 - held.mean()
+            total += weight * held.sum()
+            shared += weight * (held & (x == y)).sum()
+        expected = shared / total if total else 1.0
+        (found,) = fingerprints.likeness(rows[i : i + 1], rows[j : j + 1])
+        assert found == pytest.approx(expected)
+    assert fingerprints.likeness(rows[7:8], rows[30:31])[0] == 1
+    assert fingerprints.likeness(rows[9:10], rows[32:33])[0] == 1
+
+
+def test_edited_texts_stand_apart_from_next_documents(spark):
+    rnd = random.Random(8)
+    weights = [1 / (i + 1) for i in range(3000)]
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rnd.choices(words, weights, k=rnd.randint(30, 400)))) for i in range(400)]
+    found = fingerprints.fingerprint_documents(frame(spark, rows, 4)).toPandas()
+    apart = found.near_edited > found.near_next.quantile(0.95)
+    assert apart.mean() >= 0.95
+    assert (found.near_edited > found.near_next).mean() >= 0.98
+
+
+def test_hot_keys_join_like_all_others(spark):
+    rows = spark.range(4000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7L WHEN id % 3 = 1 THEN 8L ELSE id END AS h1", "id AS node"
+    )
+    held = "count(*) AS held"
+    keyed = rows.filter("h1 < 900").groupBy("h1").agg(F.min("node").alias("low"), F.expr(held))
+    expected = sorted(map(tuple, rows.join(keyed, "h1").select("h1", "node", "low").collect()))
+    for hot_rows in (0, 100, 10_000):
+        found = substring_dedup._join_keys(rows, keyed, ["h1"], hot_rows)
+        assert found.columns == ["h1", "node", "low"]
+        assert sorted(map(tuple, found.collect())) == expected
+    # Most rows of hot keys never reach the shuffle.
+    plan = substring_dedup._join_keys(rows, keyed, ["h1"], 100)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 2
+
+
+def test_words_that_agree_in_one_hash_differ_in_the_other():
+    """The second hash shares neither values nor steps with the first."""
+    first = split_words(pa.array(["aa ab ba bb aa"]), SPACED)
+    second = rehashed(first, other_table(SPACED))
+    assert len(set(second.tolist())) == 4 and second[0] == second[4]
+    assert not set(first.hashes.tolist()) & set(second.tolist())
+    # A byte's value enters the first hash as itself; the other table has no such steps.
+    table = other_table(SPACED)
+    kept = SPACED != 0
+    assert (table[~kept] == 0).all() and len(set(table[kept].tolist())) == kept.sum()
