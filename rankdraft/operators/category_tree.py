@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankdraft.operators.lookups import salted_semi_join
 from rankdraft.session import BROADCAST_BYTES, durable, fits_broadcast
 
 ARTICLE, CATEGORY = 0, 14
+# Finished tables of equally many levels that are merged into one.
+MERGED = 8
 
 
 def children_of(
@@ -31,20 +35,33 @@ def category_closure(
     """Distinct categories reachable from a root; cycles are harmless.
 
     One round per level of the tree. Each level is checkpointed, so a round reads
-    finished tables only.
+    finished tables only. They are merged as they get many: n levels are some log n
+    tables, so a round's plan does not grow with the depth, and each category is
+    written again about log n times.
     """
     spark = links.sparkSession
-    seen = frontier = durable(spark.createDataFrame([(root,)], "category string"))
+    frontier = durable(spark.createDataFrame([(root,)], "category string"))
+    seen = [(1, frontier)]
     edges = links.where(F.col("child_ns") == CATEGORY).select("parent", "child")
     while recurse:
         children = children_of(edges, frontier, broadcast_bytes)
         fresh = children.select(F.col("child").alias("category")).distinct()
-        frontier = durable(fresh.join(seen, "category", "left_anti"))
+        frontier = durable(fresh.join(_union(seen), "category", "left_anti"))
         if frontier.isEmpty():
             break
-        # The union lists finished tables, one per level.
-        seen = seen.unionByName(frontier)
-    return seen
+        seen.append((1, frontier))
+        while len(seen) >= MERGED and len({levels for levels, _ in seen[-MERGED:]}) == 1:
+            levels = seen[-1][0] * MERGED
+            seen[-MERGED:] = [(levels, durable(_union(seen[-MERGED:]).coalesce(_tasks(spark))))]
+    return _union(seen)
+
+
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _union(tables: list[tuple[int, DataFrame]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (table for _, table in tables))
 
 
 def category_members(

@@ -20,6 +20,8 @@ from rankdraft.sinks.staging import summary
 POLICY_LINK = "[[Wikipedia:Short description|short description]]"
 BAD_LINE = "ERROR: line without a title and a description"
 NO_TEMPLATE = "ERROR: Cannot locate SD template, though it should exist"
+# The rows of a page that has more than this are spread over tasks.
+HOT_ROWS = 10_000
 
 
 def edit_summary_text(action: Column, description: Column, existing: Column, cfg: JobConfig) -> Column:
@@ -61,6 +63,7 @@ def decide(
     page_props: DataFrame,
     cfg: JobConfig,
     prune_titles: int = L.PRUNE_TITLES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Staged rows (seq, title, description) with ``reason``, null where an edit may go on.
 
@@ -84,8 +87,12 @@ def decide(
         .fillna({"blank": True})
         .withColumn("n_rows", F.col("n_targets"))
     )
-    repeated = keyed.groupBy("title").count().where("count > 1").select("title")
-    stuck = _without_template(repeated, pages, page_props, prune_titles)
+    repeated = keyed.groupBy("title").count().where("count > 1")
+    n_repeated, most = repeated.agg(F.count("*"), F.max("count")).first()
+    stuck = None
+    if n_repeated:
+        several = repeated.select("title")
+        stuck = _without_template(several, pages, page_props, n_repeated <= prune_titles)
     if stuck is None:
         facts = facts.withColumn("stuck", F.lit(False))
     else:
@@ -93,7 +100,7 @@ def decide(
     known = L.join_back(keyed, facts)
     desc, kind = W.existing_shortdesc(F.col("shortdesc"), F.col("has_template"))
     known = known.withColumn("page_desc", desc).withColumn("page_type", kind)
-    state = _in_file_order(known, cfg)
+    state = _in_file_order(known, cfg, split=(most or 0) > hot_rows)
     return state.select(
         "seq",
         F.col("staged_title").alias("title"),
@@ -107,17 +114,14 @@ def decide(
 
 
 def _without_template(
-    titles: DataFrame, pages: DataFrame, page_props: DataFrame, prune_titles: int
-) -> DataFrame | None:
+    titles: DataFrame, pages: DataFrame, page_props: DataFrame, few: bool
+) -> DataFrame:
     """Those titles whose text does not hold the template of their description.
 
-    A manual description there cannot be replaced. None if there are no titles.
+    A manual description there cannot be replaced.
     """
-    n = titles.count()
-    if not n:
-        return None
     texts = pages.select("title", "text")
-    texts = (L.only_titles if n <= prune_titles else L.maybe_titles)(texts, titles)
+    texts = (L.only_titles if few else L.maybe_titles)(texts, titles)
     given = titles.join(page_props.select("title", "shortdesc"), "title")
     desc = W.existing_shortdesc(F.col("shortdesc"), F.lit(True))[0]
     held = W.without_shortdesc(F.col("text"), desc)
@@ -138,7 +142,7 @@ def _page() -> dict[str, Column]:
     }
 
 
-def _in_file_order(rows: DataFrame, cfg: JobConfig) -> DataFrame:
+def _in_file_order(rows: DataFrame, cfg: JobConfig, split: bool = False) -> DataFrame:
     """Add ``existing_desc`` and ``existing_type`` as each row finds them.
 
     A row that may edit its page leaves its own description there, as a manual one, for
@@ -146,6 +150,12 @@ def _in_file_order(rows: DataFrame, cfg: JobConfig) -> DataFrame:
     as it is. So a row finds the description of the last row before it that may edit,
     up to the first description that the policy does not let anyone change. Only titles
     of several rows need an order, and only narrow rows are sorted for it.
+
+    That is a scan whose state has three parts: the first row that changes the given
+    description, the last description left, and the first one left that stays. Each
+    combines by a minimum or maximum over rows. With ``split``, the rows are sorted by
+    title and seq into ranges, which cut long runs of one title; the parts are found for
+    each title and range first, then carried from range to range, then put beside the rows.
     """
     single = rows.where("n_rows = 1").select(
         "*", F.col("page_desc").alias("existing_desc"), F.col("page_type").alias("existing_type")
@@ -154,23 +164,49 @@ def _in_file_order(rows: DataFrame, cfg: JobConfig) -> DataFrame:
     fails = F.col("stuck") & F.coalesce(F.col("page_type") == "manual", F.lit(False))
     may_edit = first_reason(*C.page_state_checks(_page())).isNull() & ~fails
     fixed = lambda desc, kind: first_reason(*C.replacing_checks(desc, kind, cfg)).isNotNull()
-    order = Window.partitionBy("title").orderBy("seq")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.when(F.col("_edits") & F.col("_changed"), F.col("description"))
     several = (
         rows.where("n_rows > 1")
         .withColumn("_edits", may_edit)
         # From the first row on that changes the given description, there is another.
         .withColumn("_changes", may_edit & (F.col("description") != F.col("page_desc")))
-        .withColumn("_changed", F.max("_changes").over(so_far))
-        .withColumn("_left", left)
-        .withColumn("_stays", F.when(fixed(left, F.lit("manual")), left))
-        .withColumn("_last", F.last("_left", ignorenulls=True).over(earlier))
-        .withColumn("_end", F.first("_stays", ignorenulls=True).over(earlier))
         .withColumn("_fixed", fixed(F.col("page_desc"), F.col("page_type")))
     )
-    found = F.when(~F.col("_fixed"), F.coalesce("_end", "_last"))
+    run = ["title"]
+    if split:
+        several = durable(several.orderBy("title", "seq"))
+        several = several.withColumn("_range", F.spark_partition_id())
+        run = ["title", "_range"]
+    order = Window.partitionBy(*run).orderBy("seq")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    first_change = F.min(F.when(F.col("_changes"), F.col("seq")))
+
+    if split:
+        of_range = several.groupBy(*run).agg(first_change.alias("_first"))
+        of_title = Window.partitionBy("title")
+        of_range = of_range.withColumn("_first", F.min("_first").over(of_title))
+        several = several.join(of_range, run)
+    else:
+        several = several.withColumn("_first", first_change.over(Window.partitionBy("title")))
+    left = F.when(F.col("_edits") & (F.col("seq") >= F.col("_first")), F.col("description"))
+    several = several.withColumn("_left", left).withColumn(
+        "_stays", F.when(fixed(left, F.lit("manual")), F.struct("seq", left.alias("left")))
+    )
+    several = several.withColumn("_last", F.last("_left", ignorenulls=True).over(earlier))
+    if split:
+        before = Window.partitionBy("title").orderBy("_range")
+        before = before.rowsBetween(Window.unboundedPreceding, -1)
+        left_at = F.when(F.col("_left").isNotNull(), F.struct("seq", F.col("_left").alias("left")))
+        of_range = (
+            several.groupBy(*run)
+            .agg(F.max(left_at).alias("_before"), F.min("_stays").alias("_end"))
+            .withColumn("_before", F.max("_before").over(before)["left"])
+            .withColumn("_end", F.min("_end").over(Window.partitionBy("title")))
+        )
+        several = several.join(of_range, run).withColumn("_last", F.coalesce("_last", "_before"))
+    else:
+        several = several.withColumn("_end", F.min("_stays").over(Window.partitionBy("title")))
+    end = F.when(F.col("_end.seq") < F.col("seq"), F.col("_end.left"))
+    found = F.when(~F.col("_fixed"), F.coalesce(end, "_last"))
     several = several.withColumn("existing_desc", F.coalesce(found, "page_desc")).withColumn(
         "existing_type", F.when(found.isNotNull(), "manual").otherwise(F.col("page_type"))
     )
@@ -285,6 +321,30 @@ def _replay(body: Column, cuts: Column, lines: Callable[[Column], Column]) -> Co
     return F.aggregate(cuts, start, step, end)
 
 
+def _with_texts(edits: DataFrame, texts: DataFrame, small: bool, hot_rows: int) -> DataFrame:
+    """Edits joined with the texts of their pages, those of hot pages spread over tasks.
+
+    Fewer than ``rows / hot_rows`` titles are hot, so that their list is short.
+    """
+    sent = F.broadcast if small else lambda df: df
+    counts = edits.groupBy("title").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
+    salts = F.ceil(F.col("n") / hot_rows).cast("int")
+    hot = durable(counts.select("title", salts.alias("_salts")))
+    if hot.isEmpty():
+        return texts.join(sent(edits), "title")
+    names = F.broadcast(hot.select("title"))
+    rest = texts.join(names, "title", "left_anti").join(
+        sent(edits.join(names, "title", "left_anti")), "title"
+    )
+    salt = F.pmod(F.xxhash64("seq"), F.col("_salts")).cast("int")
+    spread = edits.join(F.broadcast(hot), "title").withColumn("_salt", salt)
+    copies = texts.join(F.broadcast(hot), "title").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+    )
+    many = copies.hint("shuffle_hash").join(spread.drop("_salts"), ["title", "_salt"])
+    return rest.unionByName(many.drop("_salt", "_salts"))
+
+
 def plan_edits(
     staged: DataFrame,
     pages: DataFrame,
@@ -292,14 +352,16 @@ def plan_edits(
     cfg: JobConfig,
     broadcast_bytes: int = BROADCAST_BYTES,
     prune_titles: int = L.PRUNE_TITLES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The edit plan: every staged row with its status and, for edits, the new text.
 
     Rows of one page edit it one after the other, in the order of the file. Decisions
     are taken on narrow rows first. Only pages that will be edited are read in full, and
-    only their text, or none, is shuffled.
+    only their text, or none, is shuffled. The rewrites of a page with more than
+    ``hot_rows`` of them are made in many tasks, with a copy of the page for that many rows.
     """
-    decisions = durable(decide(staged, pages, page_props, cfg, prune_titles))
+    decisions = durable(decide(staged, pages, page_props, cfg, prune_titles, hot_rows))
     if cfg.on_mismatch == "fail" and not decisions.where(F.col("reason") == C.MISMATCH).isEmpty():
         raise ValueError("a staged title is not the title of its page")
     skipped = decisions.where(F.col("reason").isNotNull()).drop("page_desc", "page_type")
@@ -314,9 +376,8 @@ def plan_edits(
         L.only_titles if titles.count() <= prune_titles else L.maybe_titles
     )(texts, titles)
     cuts = earlier_cuts(open_rows, pruned)
-    if fits_broadcast(open_rows, broadcast_bytes):
-        edits = F.broadcast(edits)
-    else:
+    small = fits_broadcast(open_rows, broadcast_bytes)
+    if not small:
         texts = pruned(open_rows)
     if cuts is None:
         body = _given()
@@ -328,7 +389,7 @@ def plan_edits(
         before = F.filter("_cuts", lambda c: c["seq"] < F.col("seq"))
         body = F.when(F.col("_cuts").isNull(), _given()).otherwise(_without(_given(), before))
     rewritten = (
-        texts.join(edits, "title")
+        _with_texts(edits, texts, small, hot_rows)
         .withColumn("new_text", W.rewrite_add(body, F.col("description")))
         .drop("text", "_cuts", "page_desc", "page_type")
     )

@@ -223,10 +223,12 @@ def test_rows_of_one_page_follow_each_other(spark, policy):
         spark.createDataFrame(list(texts.items()), "title string, text string"),
         spark.createDataFrame(list(props.items()), "title string, shortdesc string"),
     )
+    # With a bound of 3 rows nearly all pages are hot.
     plan = E.plan_edits(*frames, cfg).collect()
-    assert sorted(r["seq"] for r in plan) == list(range(400))
+    split = E.plan_edits(*frames, cfg, hot_rows=3).collect()
+    assert sorted(r["seq"] for r in plan) == sorted(r["seq"] for r in split) == list(range(400))
     expected = loop(staged, dict(texts), dict(props), cfg)
-    for row in plan:
+    for row in plan + split:
         want = expected[row["seq"]]
         if row["status"] == "success":
             assert (row["action"], row["new_text"]) == want
@@ -284,3 +286,38 @@ def test_lines_that_cannot_be_used_are_failed_rows(spark, tmp_path):
     done = run_edit(spark, JobConfig(), pages, props, str(tmp_path / "out"), now, path)
     row = done.summary.first()
     assert (row["success"], row["failure"], row["skipped"], done.rejected) == (1, 2, 0, 2)
+
+
+def test_rows_of_a_hot_page_are_spread_over_tasks(spark, monkeypatch):
+    """A third of all rows edit one page: no task gets most of them."""
+    # These rows are so few that Spark would give all shuffled ones to one task.
+    coalescing = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalescing, "false")
+    try:
+        _check_hot_page(spark, monkeypatch)
+    finally:
+        spark.conf.unset(coalescing)
+
+
+def _check_hot_page(spark, monkeypatch):
+    n, cfg = 6000, JobConfig(override_manual=True, override_embedded=True)
+    staged = spark.range(n).selectExpr(
+        "id AS seq",
+        "CASE WHEN id % 3 = 0 THEN 'Hot' ELSE concat('P', id) END AS title",
+        "concat('D', id % 7) AS description",
+    )
+    pages = staged.select("title").distinct().selectExpr("title", "concat('Text ', title) AS text")
+    props = spark.createDataFrame([("Hot", "Given")], "title string, shortdesc string")
+    sorted_rows, durable = [], E.durable
+    monkeypatch.setattr(E, "durable", lambda df: sorted_rows.append(durable(df)) or sorted_rows[-1])
+    plan = E.plan_edits(staged, pages, props, cfg, hot_rows=20)
+    monkeypatch.undo()
+    # The first finished table is that of the rows in order, a range of which is a run.
+    runs = sorted_rows[0].groupBy("title", F.spark_partition_id()).count().agg(F.max("count"))
+    assert runs.first()[0] < n / 4
+    at = plan.where("title = 'Hot'").groupBy(F.spark_partition_id().alias("task")).count()
+    shares = [r["count"] for r in at.collect()]
+    assert sum(shares) == n / 3 and len(shares) >= 6 and max(shares) < n / 9
+    columns = ["seq", "status", "reason", "existing_desc", "new_text", "edit_summary"]
+    whole = E.plan_edits(staged, pages, props, cfg).select(*columns)
+    assert sorted(map(str, plan.select(*columns).collect())) == sorted(map(str, whole.collect()))

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -174,3 +176,35 @@ def test_ranges_of_a_list_hold_what_is_made_of_its_rows(spark):
     assert [r.part for r in parts] == sorted(r.part for r in parts) and parts[-1].part > 0
     numbers = O.number_rows(ordered, F.col("seq") % 2 == 0, "n").collect()
     assert {r.seq: r.n for r in numbers} == {2 * i: i + 1 for i in range(250)}
+
+
+def test_long_chains_and_cycles_of_categories(spark):
+    draw = random.Random(4)
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(20)]
+    edges += [(f"c{draw.randrange(21)}", f"c{draw.randrange(21)}") for _ in range(10)]
+    edges += [("c0", "d0"), ("d0", "c0"), ("x0", "x1"), ("c20", None)]
+    children = {}
+    for parent, child in edges:
+        children.setdefault(parent, set()).add(child)
+    expected, open_ones = set(), {"c3"}
+    while open_ones:
+        expected |= open_ones
+        open_ones = set().union(*(children.get(c, ()) for c in open_ones)) - expected
+    links = spark.createDataFrame(
+        [(*e, category_tree.CATEGORY) for e in edges], "parent string, child string, child_ns int"
+    )
+    found = [r[0] for r in category_tree.category_closure(links, "c3").collect()]
+    assert len(found) == len(set(found)) and set(found) - {None} == expected - {None}
+
+
+def test_levels_are_merged(spark):
+    n = 20
+    links = spark.createDataFrame(
+        [(f"c{i}", f"c{i + 1}", category_tree.CATEGORY) for i in range(n)],
+        "parent string, child string, child_ns int",
+    )
+    found = category_tree.category_closure(links, "c0")
+    assert found.count() == n + 1
+    # 21 levels are two tables of 8 levels and five of one.
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 7
