@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from rankdraft.functions.arrays import scan
 from rankdraft.functions import pytext as T
 
 SPACES = [" ", "\t", "\n", "\x1c", "\x85", "\xa0", "\u2003", "\u3000"]
@@ -63,3 +64,16 @@ def test_percent_rounds_like_python(spark):
     assert all(r["p"] == round(100 * r["s"] / r["t"], 2) for r in got)
     empty = spark.createDataFrame([(0, 0)], "s bigint, t bigint")
     assert empty.select(T.percent(F.col("s"), F.col("t"))).first()[0] is None
+
+
+def test_scan_equals_a_loop_over_one_block_many_and_many_groups(spark):
+    for n in (0, 1, 31, 32, 33, 1023, 1024, 1025, 5000):
+        row = spark.range(1).withColumn("s", F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: i * 7 % 11))
+        items = F.slice("s", F.lit(1), F.lit(n))
+        # Not commutative, so that an item out of order shows.
+        found = row.select(scan(items, F.lit(1), lambda acc, x: (acc * 3 + x) % 9973)).first()[0]
+        acc, expected = 1, [1]
+        for i in range(n):
+            acc = (acc * 3 + i * 7 % 11) % 9973
+            expected.append(acc)
+        assert found == expected, n
