@@ -1,19 +1,117 @@
 """SQL fragments for the five rank sources and the rules over them.
 
-Only the word lists are shared with the Spark code.
+The word lists are written out here, so that a wrong entry on either side shows.
 """
 
 from __future__ import annotations
 
 from oracles.text_sql import WS, compress, contains_any, find_between, first_case, q
-from rankdraft.functions import describe, ranks
 
 Q5, Q2 = "'" * 5, "'" * 2
 LOW = "('Species', 'Subspecies', 'Variety')"
 
-CATEGORY = list(ranks.CATEGORY_RANKS.items())
-STEMS = [(stem, rank) for rank, stem in ranks.LEAD_STEMS.items()]
-TAXOBOX = list(ranks.TAXOBOX_RANKS.items())
+# Fragments of category names, first hit wins.
+CATEGORY = [
+    ("subspecies", "Subspecies"),
+    ("subgenera", "Subgenus"),
+    ("genera", "Genus"),
+    ("subfamilies", "Subfamily"),
+    ("families", "Family"),
+    ("superfamilies", "Superfamily"),
+    ("orders", "Order"),
+    ("suborders", "Suborder"),
+    ("phyla", "Phylum"),
+]
+# Stems in the lead, first hit wins.
+STEMS = [
+    ("subgenu", "Subgenus"),
+    ("genus", "Genus"),
+    ("superfami", "Superfamily"),
+    ("famil", "Family"),
+    ("subfami", "Subfamily"),
+    ("tribe", "Tribe"),
+    ("subtrib", "Subtribe"),
+    ("class", "Class"),
+    ("subclas", "Subclass"),
+    ("order", "Order"),
+    ("suborde", "Suborder"),
+    ("infraorde", "Infraorder"),
+    ("clade", "Clade"),
+    ("variet", "Variety"),
+    ("species", "Species"),
+    ("informal group", "Informal group"),
+    ("phylum", "Phylum"),
+    ("subphylu", "Subphylum"),
+]
+# Ranks whose stem follows the verb directly in both searches.
+DIRECT = ["Infraorder", "Phylum", "Subphylum"]
+# Taxobox parameters, in this order.
+TAXOBOX = [
+    ("genus", "Genus"),
+    ("varietas", "Variety"),
+    ("variety", "Variety"),
+    ("tribus", "Tribe"),
+    ("superfamilia", "Superfamily"),
+    ("subtribus", "Subtribe"),
+    ("subspecies", "Subspecies"),
+    ("trinomial", "Subspecies"),
+    ("classis", "Class"),
+    ("subfamilia", "Subfamily"),
+    ("species", "Species"),
+    ("subordo", "Suborder"),
+    ("subgenus", "Subgenus"),
+    ("ordo", "Order"),
+    ("subclassis", "Subclass"),
+    ("familia", "Family"),
+    ("informalgroup", "Informal group"),
+    ("stemgroup", "Group"),
+    ("localgroup", "Group"),
+    ("clade", "Clade"),
+    ("cladus", "Clade"),
+    ("phylum", "Phylum"),
+    ("subphylum", "Subphylum"),
+]
+# Rank, parameter behind a stray quote, better rank.
+REFINED = [
+    ("Genus", "subgenus", "Subgenus"),
+    ("Family", "subfamilia", "Subfamily"),
+    ("Family", "superfamilia", "Superfamily"),
+    ("Tribe", "subtribus", "Subtribe"),
+    ("Class", "subclassis", "Subclass"),
+    ("Order", "subordo", "Suborder"),
+]
+# Markers in titles, first hit wins.
+MARKERS = [
+    ("var.", "Variety"),
+    ("subsp.", "Subspecies"),
+    ("sect.", "Group"),
+    ("subg.", "Subgenus"),
+    (" sp.", "Species"),
+]
+# Leads of genera with one species.
+MONOTYPIC = [
+    "monotypic",
+    "monospecific",
+    " a single species",
+    " the single species",
+    " single-species",
+    " only one species",
+    " only the one species",
+    " the only species",
+    " its only species",
+]
+# Leads and category names of extinct taxa.
+EXTINCT_LEADS = [
+    "is a fossil",
+    "is an extinct",
+    "was a species",
+    "was a genus",
+    "was a family",
+    "was a class",
+    "was an order",
+    "known from fossil",
+]
+EXTINCT_CATEGORIES = ["fossil", "prehistoric", "extinctions"]
 
 START = f"(is{WS}a|is{WS}an|was{WS}a|was{WS}an){WS}"
 LOOSE = rf"(is{WS}a|are{WS}a|was{WS}a|were{WS}a)[^\x01\n]{{0,50}}{WS}"
@@ -40,7 +138,7 @@ def category_rank(names: str) -> str:
 
 
 def category_extinct(names: str) -> str:
-    return f"len(list_filter({names}, lambda c: {contains_any('c', describe.EXTINCT_CATEGORIES)})) > 0"
+    return f"len(list_filter({names}, lambda c: {contains_any('c', EXTINCT_CATEGORIES)})) > 0"
 
 
 def sentence(lead: str) -> str:
@@ -60,7 +158,7 @@ def lead_loose(s: str) -> str:
     cut = f"regexp_replace({s}, {q(f'{WS}in{WS}the')}, chr(1), 'g')"
     found = ", ".join(
         first_case(
-            [(matches(s, START + stem) if rank in ranks.TIGHT_ONLY else matches(cut, LOOSE + stem), q(rank))]
+            [(matches(s, START + stem) if rank in DIRECT else matches(cut, LOOSE + stem), q(rank))]
         )
         for stem, rank in STEMS
     )
@@ -109,7 +207,7 @@ def taxobox(nobra: str, tc: str) -> str:
     ]
     refined = [
         (f"({last}) = {q(base)} AND {has(f'|{chr(39)}{key}={Q5}')}", q(rank))
-        for (base, key), rank in ranks.TAXOBOX_REFINEMENTS.items()
+        for base, key, rank in REFINED
     ]
     genus = has(f"|genus={Q5}")
     species = f"({has(f'|species={Q5}')} OR {has(f'|binomial={Q2}')})"
@@ -144,11 +242,11 @@ TAXONOMY_CTE = (
 
 
 def marker(title: str) -> str:
-    return first_case([(f"contains({title}, {q(m)})", q(r)) for m, r in ranks.TITLE_MARKERS.items()])
+    return first_case([(f"contains({title}, {q(m)})", q(r)) for m, r in MARKERS])
 
 
 def monotypic(tc: str, lead: str) -> str:
-    return f"(contains({tc}, '[[category:monotypic') OR {contains_any(f'lower({lead})', ranks.MONOTYPIC_PHRASES)})"
+    return f"(contains({tc}, '[[category:monotypic') OR {contains_any(f'lower({lead})', MONOTYPIC)})"
 
 
 def noun(rank: str, singular: str, plural: str) -> str:
@@ -160,10 +258,8 @@ def draft(rank: str, singular: str, plural: str) -> str:
 
 
 def adjust(desc: str, lead: str, auto: str, cat: str) -> str:
-    extinct = f"({auto} OR {cat} OR {contains_any(f'lower({lead})', describe.EXTINCT_PHRASES)})"
+    extinct = f"({auto} OR {cat} OR {contains_any(f'lower({lead})', EXTINCT_LEADS)})"
     return (
         f"CASE WHEN length('Extinct ' || {desc}) > 40 THEN {desc} "
         f"WHEN {extinct} THEN 'Extinct ' || lower({desc}) ELSE {desc} END"
     )
-
-

@@ -38,6 +38,8 @@ _MARKER = _case(
 TITLE = _case(
     "k % 16",
     {
+        # A title without letters is the only one that a taxobox can name.
+        5: _num("k"),
         **{i: "b || ' minor'" for i in (6, 7, 8, 9, 15)},
         10: "b || ' (alga)'",
         11: "b || ' minor alba'",
@@ -47,7 +49,50 @@ TITLE = _case(
     },
     "b",
 )
-BOX = _case(
+# Taxobox parameters, pairs of one and another that refines it, and parameters of low ranks.
+BOX_KEYS = (
+    "genus varietas variety tribus superfamilia subtribus subspecies trinomial classis subfamilia "
+    "species subordo subgenus ordo subclassis familia informalgroup stemgroup localgroup clade "
+    "cladus phylum subphylum"
+).split()
+BOX_PAIRS = [
+    ("genus", "subgenus"),
+    ("familia", "subfamilia"),
+    ("familia", "superfamilia"),
+    ("tribus", "subtribus"),
+    ("classis", "subclassis"),
+    ("ordo", "subordo"),
+]
+BOX_LOW = ["varietas", "variety", "subspecies"]
+
+
+def _pick(names: list[str], place: str) -> str:
+    """SQL of one of the names, counted from 1."""
+    return f"split_part('{' '.join(names)}', ' ', CAST({place} AS INT))"
+
+
+def _field(key: str, value: str, quotes: str = Q5) -> str:
+    return f"'| ' || {key} || ' = ' || {quotes} || {value} || {quotes} || ' '"
+
+
+# An empty box, one for each parameter, for each pair and for each low rank, the last two
+# with a stray quote in front.
+_KIND = "CAST(floor(k / 5) AS BIGINT) % 33"
+_FIRST = _pick(["x", *BOX_KEYS, *(base for base, _ in BOX_PAIRS), *["genus"] * 3], f"{_KIND} + 1")
+_SECOND = _pick([*(key for _, key in BOX_PAIRS), *BOX_LOW], f"greatest({_KIND} - 23, 1)")
+_QUOTES = f"CASE WHEN {_KIND} >= 30 THEN {Q2} ELSE {Q5} END"
+_BOX_KIND = (
+    f"'{{{{Taxobox ' || CASE WHEN {_KIND} > 0 THEN {_field(_FIRST, chr(39) + 'Xa' + chr(39))} ELSE '' END || "
+    f"CASE WHEN {_KIND} > 23 THEN {_field('chr(39) || ' + _SECOND, chr(39) + 'xb' + chr(39), _QUOTES)} "
+    "ELSE '' END || '}}'"
+)
+# A box that names the title under one parameter, between two others.
+_BOX_TITLED = (
+    f"'{{{{Taxobox | ordo = ' || {Q5} || 'Xa' || {Q5} || ' ' || "
+    f"{_field(_pick(BOX_KEYS, 'd % 23 + 1'), _num('k'))} || "
+    f"'| clade = ' || {Q5} || 'Xb' || {Q5} || ' }}}}'"
+)
+_BOX_PLAIN = _case(
     "d % 12",
     {
         1: "'{{Speciesbox | genus = Gen | species = minor }}'",
@@ -65,6 +110,9 @@ BOX = _case(
         },
     },
 )
+BOX = (
+    f"CASE WHEN k % 16 = 5 THEN {_BOX_TITLED} WHEN k % 5 = 3 THEN {_BOX_KIND} ELSE {_BOX_PLAIN} END"
+)
 LEAD = _case(
     "k % 11",
     {

@@ -6,6 +6,7 @@ from statistics import multimode
 import pytest
 from pyspark.sql import functions as F
 
+from rankdraft.corpus import Corpus
 from rankdraft.functions import describe as D
 from rankdraft.functions import ranks as R
 from rankdraft.functions import wikitext as W
@@ -62,6 +63,7 @@ def test_lead_searches_equal_one_search_per_stem(apply):
     parts = ["is a ", "was an ", "are a ", " in the ", "nice ", "x\n", " species", " genus", "order ",
              " family", "phylum ", "class", " informal group", "infraorder", "y" * 24, " subspecies"]
     leads = ["".join(rnd.choices(parts, k=rnd.randint(1, 9))) for _ in range(1500)]
+    # The openings of the tight and of the loose search.
     tight_start = r"(is\sa|is\san|was\sa|was\san)\s"
     loose_start = r"(is\sa|are\sa|was\sa|were\sa)(?:(?!\sin\sthe).){0,50}\s"
 
@@ -118,6 +120,25 @@ def test_taxobox(spark):
         assert row["rank"] == row["expected"], row
 
 
+def test_corpus_has_every_taxobox_branch(spark):
+    corpus = Corpus(spark, "/root/testdata/sf0.01")
+    rows = corpus.articles.selectExpr("title", "replace(lower(text), ' ', '') AS tc").collect()
+    boxes = [(r["title"], r["tc"]) for r in rows if "{{taxobox" in r["tc"]]
+
+    def held(part, extra=""):
+        return sum(part in tc and extra in tc for _, tc in boxes)
+
+    for key in R.TAXOBOX_RANKS:
+        assert held(f"|{key}={B}"), key
+        assert any(f"|{key}={B}{title}{B}" in tc for title, tc in boxes), key
+    parameters = {rank: key for key, rank in R.TAXOBOX_RANKS.items()}
+    for base, key in R.TAXOBOX_REFINEMENTS:
+        assert held(f"|'{key}={B}", f"|{parameters[base]}={B}"), key
+    for key in ("varietas", "variety", "subspecies"):
+        assert held(f"|'{key}={I}"), key
+    assert held(f"|binomial={I}") and held(f"|genus={B}", f"|species={B}")
+
+
 def test_autobox(apply):
     values = [
         "{{automatictaxobox|taxon=abc|x",
