@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from rankdraft.llm.common import Remembered, map_slices, strings, texts
+from rankdraft.llm.common import Remembered, kept, map_slices, strings, texts
 
 # A leaf of the bitmap has a bit for each of 2^10 ranks.
 LEAF_BITS = 10
@@ -133,9 +133,8 @@ class ByteBpe:
         return ids
 
 
-@functools.lru_cache(maxsize=2)
 def codec(rank_file: str, pattern: str) -> ByteBpe:
-    return ByteBpe(rank_file, pattern)
+    return kept(("byte_bpe", rank_file, pattern), lambda: ByteBpe(rank_file, pattern))
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -155,7 +154,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame
             "decoded": pa.array((bpe.decode(x).decode() for x in ids), pa.string()),
         }
 
-    return map_slices(texts(docs), TOKENS, encode)
+    return map_slices(texts(docs), TOKENS, encode, keeps=True)
 
 
 def encode_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -178,7 +177,7 @@ def encode_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             "decoded_sha256": pa.array(text_digests, pa.string()),
         }
 
-    return map_slices(texts(docs), DIGESTS, encode)
+    return map_slices(texts(docs), DIGESTS, encode, keeps=True)
 
 
 @functools.lru_cache(maxsize=2)

@@ -79,21 +79,51 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = stop
 
 
+# What a Python worker keeps from one task to the next, by name; one thing at a time.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(name: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a Python worker as long as it runs such passes."""
+    if name not in _KEPT:
+        release_kept()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def release_kept() -> None:
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def in_arrow(
     df: DataFrame,
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str | StructType,
+    keeps: bool = False,
 ) -> DataFrame:
-    """``mapInArrow`` over batches of bounded size."""
+    """``mapInArrow`` over batches of bounded size.
+
+    Spark's Python workers go on from pass to pass. Only passes that say so find there
+    what ``kept`` made; others let go of it, which may be some hundred MB.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_kept()
+        yield from fn(batches)
+
     conf = df.sparkSession.conf
     for key, value in ARROW_BATCHES.items():
         if conf.get(key, None) is None:
             conf.set(key, value)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(fn if keeps else run, schema)
 
 
 def map_slices(
-    df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], dict[str, object]]
+    df: DataFrame,
+    schema: str | StructType,
+    fn: Callable[[pa.RecordBatch], dict[str, object]],
+    keeps: bool = False,
 ) -> DataFrame:
     """Apply ``fn`` to slices of the rows; it returns the columns of ``schema`` by name."""
 
@@ -101,7 +131,7 @@ def map_slices(
         for part in slices(batches):
             yield to_batch(fn(part))
 
-    return in_arrow(df, run, schema)
+    return in_arrow(df, run, schema, keeps)
 
 
 def to_batch(columns: dict[str, object]) -> pa.RecordBatch:

@@ -20,7 +20,6 @@ at most files that nobody reads. The readers use Spark's binary file source.
 from __future__ import annotations
 
 import array
-import functools
 import os
 import re
 import struct
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankdraft.llm.byte_bpe import SPACE_RUN
-from rankdraft.llm.common import in_arrow, shared_folder, slices, strings, texts, to_batch
+from rankdraft.llm.common import in_arrow, kept, shared_folder, slices, strings, texts, to_batch
 
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4s3Q")
@@ -273,9 +272,8 @@ def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-@functools.lru_cache(maxsize=2)
 def _encoder(tokenizer_file: str) -> Encoder:
-    return Encoder(tokenizer_file)
+    return kept(("token_files", tokenizer_file), lambda: Encoder(tokenizer_file))
 
 
 # ---------------------------------------------------------------- Spark
@@ -333,7 +331,7 @@ def write_token_files(
         if doc_ids:
             yield flush()
 
-    in_arrow(ordered, write, MANIFEST).write.parquet(f"{folder}/manifest")
+    in_arrow(ordered, write, MANIFEST, keeps=True).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 

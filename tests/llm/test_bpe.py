@@ -5,13 +5,14 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import sentencepiece
 import tiktoken
 import tokenizers
 
-from rankdraft.llm import byte_bpe, token_counts, token_files
+from rankdraft.llm import byte_bpe, common, token_counts, token_files
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 JSON = P.path("byte_bpe_50k.json")
@@ -144,3 +145,14 @@ def test_a_file_ends_with_the_document_that_fills_it(spark, tmp_path):
     assert manifest.selectExpr("sum(n_docs) AS n").first().n == 60
     found = token_files.read_token_files(spark, folder).orderBy("doc_id").collect()
     assert [r.start for r in found] == [i * found[0].n_tokens for i in range(60)]
+
+
+def test_other_passes_let_go_of_what_a_worker_keeps(spark):
+    rows = spark.range(1).selectExpr("id AS doc_id", "'a b' AS text").coalesce(1)
+
+    def held(part):
+        return {"n": pa.array([len(common._KEPT)])}
+
+    for _ in range(2):
+        byte_bpe.encode_digests(rows, RANKS, P.PATTERN).collect()
+        assert common.map_slices(rows, "n long", held, keeps=False).first()["n"] == 0
