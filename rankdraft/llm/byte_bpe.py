@@ -4,6 +4,10 @@ Every merge rank has a bucket of linked-list positions. A bitmap of two levels t
 which buckets hold something, and find-first-set on it gives the next rank. Entries
 whose pair has changed meanwhile are skipped when they come up. A pre-token of n bytes
 takes n queue steps whatever its length, so very long ones cost no more a byte.
+
+One queue takes many pre-tokens side by side: no pair reaches over their borders, and
+for each of them the pairs still come up by rank and then from the left. So a bucket
+that is found is emptied at once, unless a pair of a lower rank comes up meanwhile.
 """
 
 from __future__ import annotations
@@ -11,10 +15,12 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import itertools
 import re
+from collections.abc import Iterator
+from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,14 +30,17 @@ from rankdraft.llm.common import Remembered, kept, map_slices, strings, texts
 # A leaf of the bitmap has a bit for each of 2^10 ranks.
 LEAF_BITS = 10
 LEAF_MASK = (1 << LEAF_BITS) - 1
-# Pre-tokens and words up to this length are remembered, so many in each generation.
+# Pre-tokens up to this length are remembered, so many in each generation.
 CACHED_LENGTH = 48
-CACHED_WORDS = 300_000
-CACHED_PIECES = 700_000
+CACHED_PIECES = 150_000
+# Bytes of the pre-tokens that one queue takes, beyond the last of them.
+QUEUED_BYTES = 1 << 14
 
 # A space before other white space, or at the end.
 SPACE_RUN = re.compile(r" (?:\s|\Z)")
 
+Ids = tuple[int, ...]
+
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TOKENS = "doc_id long, n_tokens long, ids array<int>, decoded string"
 
@@ -48,89 +57,178 @@ class ByteBpe:
             self.tokens[rank] = token
         self.pattern = regex.compile(pattern)
         # No match of the pattern goes on from a word into white space, so that words
-        # with the white space before them are encoded, and remembered, apart.
+        # with the white space before them are encoded apart.
         self.word = regex.compile(r"\s*\S+|\s+")
-        self.pieces = Remembered(self.merge, CACHED_PIECES, CACHED_LENGTH)
-        # Words by the space that stands before them.
-        self.words = Remembered(lambda w: self._encode_word(" " + w), CACHED_WORDS, CACHED_LENGTH)
+        self.pieces = Remembered(lambda p: tuple(self.merge(p.encode())), CACHED_PIECES, CACHED_LENGTH)
+        # Rank of each byte and of each pair of bytes, -1 for none.
+        self.bytes = np.full(256, -1, np.int64)
+        self.pairs = np.full(1 << 16, -1, np.int64)
+        for token, rank in self.ranks.items():
+            if len(token) == 1:
+                self.bytes[token[0]] = rank
+            elif len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
 
     def encode(self, text: str) -> list[int]:
-        if SPACE_RUN.search(text):
-            parts = map(self._encode_word, self.word.findall(text))
-        else:
-            # Every space stands right before a word.
-            first, *rest = text.split(" ")
-            parts = itertools.chain([self._encode_word(first)], map(self.words.__getitem__, rest))
-        return list(itertools.chain.from_iterable(parts))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text. Each different word of them is cut once, and all pre-tokens
+        that are not remembered are merged together."""
+        odd = [SPACE_RUN.search(text) is not None for text in texts]
+        # But for the odd ones, every space stands right before a word.
+        split = [self.word.findall(t) if o else t.split(" ") for o, t in zip(odd, texts)]
+        rests = [itertools.islice(x, 1, None) for o, x in zip(odd, split) if not o]
+        alone = set(itertools.chain.from_iterable(x if o else x[:1] for o, x in zip(odd, split)))
+        spaced = self._cut_spaced(list(set().union(*rests)))
+        others = {word: tuple(self.pattern.findall(word)) for word in alone}
+        cuts = itertools.chain(spaced.values(), others.values())
+        found, fresh = self.pieces.known(set(itertools.chain.from_iterable(cuts)))
+        found |= zip(fresh, self.merge_all([piece.encode() for piece in fresh]))
+        self.pieces.keep(found, fresh)
+        ids_of, of_other = _put_together(spaced, found), _put_together(others, found)
+        ids = []
+        for o, parts in zip(odd, split):
+            if o:
+                lists = map(of_other.__getitem__, parts)
+            else:
+                rest = map(ids_of.__getitem__, itertools.islice(parts, 1, None))
+                lists = itertools.chain([of_other[parts[0]]], rest)
+            ids.append(list(itertools.chain.from_iterable(lists)))
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def _encode_word(self, word: str) -> list[int]:
-        pieces = (self.pieces[m.encode()] for m in self.pattern.findall(word))
-        return list(itertools.chain.from_iterable(pieces))
+    def _cut_spaced(self, words: list[str]) -> dict[str, tuple[str, ...]]:
+        """Pre-tokens of each word, with a space before it; no word holds a space."""
+        if not words:
+            return {}
+        # Python's garbage collection passes over tuples of strings and of integers.
+        pieces = tuple(self.pattern.findall(" " + " ".join(words)))
+        # The first of each word, and no other, begins with a space.
+        begins = [i for i, piece in enumerate(pieces) if piece[0] == " "]
+        cuts = itertools.pairwise([*begins, len(pieces)])
+        return {word: pieces[a:b] for word, (a, b) in zip(words, cuts, strict=True)}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        n, get = len(piece), ranks.get
+        return list(self.merge_all([piece])[0])
+
+    def merge_all(self, pieces: list[bytes]) -> list[Ids]:
+        """Ids of each pre-token."""
+        whole = [self.ranks.get(piece) for piece in pieces]
+        queued = self._queued([p for p, rank in zip(pieces, whole) if rank is None])
+        return [next(queued) if rank is None else (rank,) for rank in whole]
+
+    def _queued(self, pieces: list[bytes]) -> Iterator[Ids]:
+        begin = 0
+        while begin < len(pieces):
+            stop, size = begin, 0
+            while stop < len(pieces) and size < QUEUED_BYTES:
+                size += len(pieces[stop])
+                stop += 1
+            yield from self._merged(pieces[begin:stop])
+            begin = stop
+
+    def _merged(self, pieces: list[bytes]) -> list[Ids]:
+        """Ids of pre-tokens, none of them empty, by one queue."""
+        text, get = b"".join(pieces), self.ranks.get
+        n = len(text)
+        borders = np.append(0, np.cumsum([len(p) for p in pieces]))
+        border = bytearray(n + 1)
+        np.frombuffer(border, np.uint8)[borders] = 1
+        data = np.frombuffer(text, np.uint8).astype(np.int64)
+        # The token that starts at a position, and whether one still does.
+        tokens = self.bytes[data].tolist()
+        alive = bytearray(b"\x01") * n
         # ends[i] is where the token that starts at i ends, starts[j] its start by end.
         ends, starts = list(range(1, n + 1)), list(range(-1, n))
         # Rank of the pair that starts at a position, -1 for none; also marks entries of
         # the queue as stale.
-        pair = [get(piece[i : i + 2], -1) for i in range(n)]
-        pair[-1] = -1
-        # The queue: positions by rank, bits of the ranks in use by leaf, leaves in use.
-        buckets: dict[int, list[int]] = {}
+        pairs = np.append(self.pairs[data[:-1] << 8 | data[1:]], -1)
+        pairs[borders[1:] - 1] = -1
+        pair = pairs.tolist()
+        # The queue: positions by rank, those of the start from right to left and those
+        # that came later as a heap; bits of the ranks in use by leaf, leaves in use.
+        buckets: dict[int, tuple[list[int], list[int]]] = {}
         leaves: dict[int, int] = {}
         summary = 0
-        fresh = [i for i in range(n) if pair[i] >= 0]
-        while True:
-            for position in fresh:
-                rank = pair[position]
-                bucket = buckets.get(rank)
-                if bucket:
-                    heapq.heappush(bucket, position)
-                else:
-                    buckets[rank] = [position]
-                    leaf = rank >> LEAF_BITS
-                    leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & LEAF_MASK)
-                    summary |= 1 << leaf
-            if not summary:
-                break
+        order = np.argsort(-pairs, kind="stable")[::-1]
+        order = order[np.searchsorted(pairs, 0, sorter=order) :]
+        ranks, at = np.unique(pairs[order], return_index=True)
+        for rank, bucket in zip(ranks.tolist(), np.split(order, at[1:])):
+            buckets[rank] = bucket.tolist(), []
+            leaf = rank >> LEAF_BITS
+            leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & LEAF_MASK)
+            summary |= 1 << leaf
+        while summary:
             # Find first set: the lowest leaf in use, the lowest rank in it.
             leaf = (summary & -summary).bit_length() - 1
             bits = leaves[leaf]
             lowest = bits & -bits
             rank = leaf << LEAF_BITS | lowest.bit_length() - 1
-            bucket = buckets[rank]
-            left = bucket.pop() if len(bucket) == 1 else heapq.heappop(bucket)
-            if not bucket:
-                leaves[leaf] = bits ^ lowest
-                if bits == lowest:
+            bucket, later = buckets[rank]
+            least = rank
+            while least >= rank:
+                if later and (not bucket or later[0] < bucket[-1]):
+                    left = heappop(later)
+                elif bucket:
+                    left = bucket.pop()
+                else:
+                    break
+                if pair[left] != rank:
+                    continue
+                right = ends[left]
+                end = ends[left] = ends[right]
+                starts[end] = left
+                tokens[left] = rank
+                alive[right] = 0
+                pair[right] = -1
+                fresh = ()
+                if border[end]:
+                    pair[left] = -1
+                else:
+                    new = pair[left] = get(text[left : ends[end]], -1)
+                    if new >= 0:
+                        fresh = ((new, left),)
+                if not border[left]:
+                    before = starts[left]
+                    new = pair[before] = get(text[before:end], -1)
+                    if new >= 0:
+                        fresh = (*fresh, (new, before))
+                for new, position in fresh:
+                    if new in buckets:
+                        heappush(buckets[new][1], position)
+                    else:
+                        buckets[new] = [], [position]
+                        high = new >> LEAF_BITS
+                        leaves[high] = leaves.get(high, 0) | 1 << (new & LEAF_MASK)
+                        summary |= 1 << high
+                    if new < least:
+                        least = new
+            if not bucket and not later:
+                del buckets[rank]
+                leaves[leaf] ^= lowest
+                if not leaves[leaf]:
                     summary ^= 1 << leaf
-            fresh = []
-            if pair[left] != rank:
-                continue
-            right = ends[left]
-            end = ends[left] = ends[right]
-            starts[end] = left
-            pair[right] = -1
-            pair[left] = get(piece[left : ends[end]], -1) if end < n else -1
-            if pair[left] >= 0:
-                fresh.append(left)
-            if left:
-                before = starts[left]
-                pair[before] = get(piece[before:end], -1)
-                if pair[before] >= 0:
-                    fresh.append(before)
-        ids, at = [], 0
-        while at < n:
-            ids.append(ranks[piece[at : ends[at]]])
-            at = ends[at]
-        return ids
+        at = np.flatnonzero(np.frombuffer(alive, np.uint8))
+        ids = np.array(tokens)[at]
+        if ids.min() < 0:
+            raise KeyError("a byte without a rank")
+        cuts = np.searchsorted(at, borders).tolist()
+        ids = tuple(ids.tolist())
+        return [ids[a:b] for a, b in itertools.pairwise(cuts)]
+
+
+def _put_together(cuts: dict[str, tuple[str, ...]], ids: dict[str, Ids]) -> dict[str, Ids]:
+    """Ids of each word from those of its pre-tokens."""
+    return {
+        word: ids[pieces[0]]
+        if len(pieces) == 1
+        else tuple(itertools.chain.from_iterable([ids[piece] for piece in pieces]))
+        for word, pieces in cuts.items()
+    }
 
 
 def codec(rank_file: str, pattern: str) -> ByteBpe:
@@ -146,7 +244,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame
 
     def encode(part: pa.RecordBatch) -> dict[str, object]:
         bpe = codec(rank_file, pattern)
-        ids = [bpe.encode(t) for t in strings(part["text"])]
+        ids = bpe.encode_all(strings(part["text"]))
         return {
             "doc_id": part["doc_id"],
             "n_tokens": pa.array(map(len, ids), pa.int64()),
@@ -164,8 +262,7 @@ def encode_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         bpe = codec(rank_file, pattern)
         decimals = _decimals(len(bpe.tokens))
         counts, id_digests, text_digests = [], [], []
-        for text in strings(part["text"]):
-            ids = bpe.encode(text)
+        for ids in bpe.encode_all(strings(part["text"])):
             joined = " ".join(map(decimals.__getitem__, ids))
             counts.append(len(ids))
             id_digests.append(hashlib.sha256(joined.encode()).hexdigest())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,9 +160,28 @@ class Remembered(dict):
         value = self.old.get(key)
         if value is None:
             value = self.fn(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
+        self.keep({key: value}, [key])
         return value
+
+    def known(self, keys: Iterable) -> tuple[dict, list]:
+        """Results of those of the distinct keys that are remembered, and the other keys."""
+        found, older, other = {}, [], []
+        for key in keys:
+            if key in self:
+                found[key] = self[key]
+            elif key in self.old:
+                found[key] = self.old[key]
+                older.append(key)
+            else:
+                other.append(key)
+        self.keep(found, older)
+        return found, other
+
+    def keep(self, results: dict, keys: Iterable) -> None:
+        """Remember the results of these keys."""
+        for key in keys:
+            if len(key) <= self.longest:
+                if len(self) >= self.size:
+                    self.old = dict(self)
+                    self.clear()
+                self[key] = results[key]

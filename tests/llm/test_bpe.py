@@ -1,5 +1,7 @@
 """Token counts, byte-level BPE and token files against the public libraries."""
 
+import base64
+import itertools
 import random
 import time
 import zlib
@@ -147,6 +149,41 @@ def test_a_file_ends_with_the_document_that_fills_it(spark, tmp_path):
     assert [r.start for r in found] == [i * found[0].n_tokens for i in range(60)]
 
 
+def plain_merge(ranks, piece):
+    """Lowest rank first, then leftmost, by a search of all pairs at each step."""
+    if piece in ranks:
+        return [ranks[piece]]
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        pairs = [(ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+        rank, i = min(pairs, default=(1 << 60, 0))
+        if rank == 1 << 60:
+            return [ranks[p] for p in parts]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_pre_tokens_side_by_side_give_the_ids_of_each(tmp_path):
+    draw = random.Random(5)
+    tokens = [bytes(t) for n in (2, 3, 4) for t in itertools.product(b"abc", repeat=n)]
+    for trial in range(40):
+        # A token may rank below the ones that it is made of.
+        some = draw.sample(tokens, draw.randint(3, 60))
+        single = [bytes([i]) for i in range(256)]
+        order = single + some if trial % 2 else some + single
+        lines = [b"%s %d" % (base64.b64encode(t), i) for i, t in enumerate(order)]
+        (tmp_path / "ranks").write_bytes(b"\n".join(lines))
+        own = byte_bpe.ByteBpe(str(tmp_path / "ranks"), P.PATTERN)
+        pieces = [bytes(draw.choices(b"abc", k=draw.randint(1, 12))) for _ in range(60)]
+        found = [list(ids) for ids in own.merge_all(pieces)]
+        assert found == [plain_merge(own.ranks, piece) for piece in pieces]
+
+
+def test_texts_together_give_the_ids_of_each(bpe):
+    texts = some_texts()
+    assert bpe.encode_all(texts) == [bpe.encode(t) for t in texts]
+    assert bpe.encode_all([]) == []
+
+
 def test_other_passes_let_go_of_what_a_worker_keeps(spark):
     rows = spark.range(1).selectExpr("id AS doc_id", "'a b' AS text").coalesce(1)
 
