@@ -17,6 +17,8 @@ LEAD_LENGTH = 150
 MIN_SENTENCE = 26
 # The clean-up patterns of the lead act on this many matches, not on all.
 MATCH_LIMIT = 8
+# Spans that are nested up to this depth are found by a pattern, deeper ones by a scan.
+PATTERN_DEPTH = 6
 
 HEADING = r"=+[^=\n].*=[ \t]*"
 TRAILING_CATEGORIES = (
@@ -134,6 +136,42 @@ def _masked(token: Column) -> Column:
     return F.repeat(F.lit(MASK), F.length(token))
 
 
+def _other(opening: str, closing: str) -> str:
+    """Pattern of a character that is neither bracket."""
+    return "[^" + "".join("\\" + b for b in (opening, closing)) + "]"
+
+
+def _span(opening: str, closing: str, begin: str = "") -> str:
+    """Pattern of a balanced span with spans up to ``PATTERN_DEPTH`` deep in it.
+
+    Possessive throughout, so that it takes linear time and no stack for long spans.
+    """
+    other = _other(opening, closing)
+    inside = f"{other}*+"
+    for _ in range(PATTERN_DEPTH - 1):
+        inside = rf"(?:{other}++|\{opening}{inside}\{closing})*+"
+    return rf"\{opening}{begin}{inside}\{closing}"
+
+
+def _uneven(c: Column, opening: str, closing: str) -> Column:
+    """Whether there are more brackets of one kind, which never balance."""
+    return F.length(replace(c, opening, "")) != F.length(replace(c, closing, ""))
+
+
+def _shallow(c: Column, opening: str, closing: str) -> Column:
+    """Whether the brackets balance, as spans that the pattern finds."""
+    rest = F.regexp_replace(c, _span(opening, closing), "")
+    return ~rest.contains(opening) & ~rest.contains(closing)
+
+
+def _mask_found(c: Column, span: str, opening: str, closing: str) -> Column:
+    """Overwrite the spans of a pattern; other brackets stay."""
+    either = "".join("\\" + b for b in (opening, closing))
+    parts = F.regexp_extract_all(c, F.lit(f"{span}|{_other(opening, closing)}++|[{either}]"), F.lit(0))
+    spanned = lambda t: t.startswith(opening) & (F.length(t) > 1)
+    return F.array_join(F.transform(parts, lambda t: F.when(spanned(t), _masked(t)).otherwise(t)), "")
+
+
 def mask_balanced(c: Column, opening: str, closing: str) -> Column:
     """Overwrite every bracketed span by as many mask characters.
 
@@ -153,7 +191,15 @@ def mask_balanced(c: Column, opening: str, closing: str) -> Column:
         _tokens(c, opening, closing),
         lambda t: F.struct(t.alias("tokens"), _depths(t, opening, closing).alias("depths")),
     )
-    return F.when(c.contains(opening) | c.contains(closing), let(parts, masked)).otherwise(c)
+    return (
+        F.when(~c.contains(opening) & ~c.contains(closing), c)
+        .when(_uneven(c, opening, closing), F.lit(None))
+        .when(
+            _shallow(c, opening, closing),
+            _mask_found(c, _span(opening, closing), opening, closing),
+        )
+        .otherwise(let(parts, masked))
+    )
 
 
 def bracket_pairs(c: Column, opening: str, closing: str) -> Column:
@@ -271,8 +317,16 @@ def mask_images(c: Column) -> Column:
     masked_text = F.when(
         single.contains("[]File:"), replace(masked_text, "[]", MASK * 2)
     ).otherwise(masked_text)
-    any_bracket = single.contains("[") | single.contains("]")
-    return F.when(any_bracket, F.coalesce(masked_text, single)).otherwise(single)
+    image_span = _span("[", "]", begin=r"(?=[^\[\]]?File:|Image:)")
+    return (
+        F.when(~single.contains("File:") & ~single.contains("Image:"), single)
+        .when(_uneven(single, "[", "]"), single)
+        .when(
+            ~single.contains("[]File:") & _shallow(single, "[", "]"),
+            _mask_found(single, image_span, "[", "]"),
+        )
+        .otherwise(F.coalesce(masked_text, single))
+    )
 
 
 def drop_selfclosing_refs(c: Column) -> Column:
@@ -350,6 +404,13 @@ def cut_shortdesc(text: Column, existing: Column) -> Column:
     return text
 
 
+def after_openings(text: Column, longest: int) -> Column:
+    """Up to ``longest`` characters behind each opening of a manual template."""
+    pattern = rf"(?s)\{{\{{[Ss]hort description\|(?=(.{{0,{longest}}}))"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.when(names_shortdesc(text), found)
+
+
 def shortdesc_lines(text: Column, longest: int) -> Column:
     """Distinct descriptions of up to ``longest`` characters that ``cut_shortdesc`` finds:
     all that stand between an opening and the end of its line."""
@@ -358,6 +419,11 @@ def shortdesc_lines(text: Column, longest: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
 
 
+def names_shortdesc(text: Column) -> Column:
+    """Whether a text may hold an opening of the template, also after other text was cut."""
+    return text.contains("hort description|")
+
+
 def without_shortdesc(text: Column, existing: Column) -> Column:
     """As ``cut_shortdesc``; null when the page does not hold the template."""
     first, second = (shortdesc_template(existing, name) for name in ("Short", "short"))

@@ -118,14 +118,19 @@ def _without_template(
 ) -> DataFrame:
     """Those titles whose text does not hold the template of their description.
 
-    A manual description there cannot be replaced.
+    A manual description there cannot be replaced. Of a text only what follows the
+    openings of the template moves, as long as the longest description.
     """
+    desc = W.existing_shortdesc(F.col("shortdesc"), F.lit(True))[0]
+    given = titles.join(page_props.select("title", "shortdesc"), "title")
+    given = durable(given.select("title", F.concat(desc, F.lit("}}")).alias("_desc")))
+    longest = given.agg(F.max(F.length("_desc"))).first()[0] or 0
     texts = pages.select("title", "text")
     texts = (L.only_titles if few else L.maybe_titles)(texts, titles)
-    given = titles.join(page_props.select("title", "shortdesc"), "title")
-    desc = W.existing_shortdesc(F.col("shortdesc"), F.lit(True))[0]
-    held = W.without_shortdesc(F.col("text"), desc)
-    return texts.join(given, "title").where(held.isNull()).select("title").distinct()
+    texts = texts.select("title", W.after_openings(F.col("text"), longest).alias("_after"))
+    held = F.exists("_after", lambda after: after.startswith(F.col("_desc")))
+    missing = ~F.coalesce(held, F.lit(False))
+    return texts.join(given, "title").where(missing).select("title").distinct()
 
 
 def _page() -> dict[str, Column]:
@@ -260,7 +265,9 @@ def earlier_cuts(
     rounds = []
     while True:
         body = _without(_given(), F.col("cuts"))
-        bodies = pruned(state).join(state, "title").withColumn("body", body)
+        # A text without the name of the template has none, whatever is cut; it does not move.
+        texts = pruned(state).where(W.names_shortdesc(F.col("text")))
+        bodies = texts.join(state, "title").withColumn("body", body)
         held = bodies.select("title", F.explode(lines(F.col("body"))).alias("description"))
         first = durable(
             written.join(held, ["title", "description"])

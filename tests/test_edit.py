@@ -321,3 +321,27 @@ def _check_hot_page(spark, monkeypatch):
     columns = ["seq", "status", "reason", "existing_desc", "new_text", "edit_summary"]
     whole = E.plan_edits(staged, pages, props, cfg).select(*columns)
     assert sorted(map(str, plan.select(*columns).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_templates_are_looked_up_by_what_follows_their_openings(spark):
+    template = "{{%s description|%s}}"
+    rows = [
+        ("A", template % ("Short", "old"), "old"),
+        ("B", "x " + template % ("short", "other") + template % ("short", "old") + " y", "old"),
+        ("C", template % ("Short", "older"), "old"),
+        ("D", "no template", "old"),
+        ("E", None, "old"),
+        ("F", template % ("Short", "two\nlines"), "two\nlines"),
+        ("G", template % ("Short", ""), None),
+        ("H", template % ("SHORT", "old"), "old"),
+        ("I", "{{Short description|old", "old"),
+    ]
+    pages = spark.createDataFrame([r[:2] for r in rows], "title string, text string")
+    props = spark.createDataFrame([r[::2] for r in rows], "title string, shortdesc string")
+    for few in (True, False):
+        found = E._without_template(pages.select("title"), pages, props, few)
+        assert sorted(r.title for r in found.collect()) == ["C", "D", "E", "H", "I"]
+        # Of a text nothing else goes into the join.
+        assert "Join" in (plan := found._jdf.queryExecution().optimizedPlan().toString())
+        joined = plan[plan.index("Join") :].splitlines()[1]
+        assert "_after" in joined and not re.search(r"\btext#\d+\]", joined)

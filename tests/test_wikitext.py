@@ -261,3 +261,16 @@ def test_long_leads_take_time_in_proportion(spark):
 
     seconds(2_000)
     assert seconds(16_000) < 2.5 * seconds(8_000) + 0.5
+
+
+def test_shallow_spans_are_found_without_a_scan(spark):
+    def seconds(depth):
+        span = "{a" * depth + "}" * depth
+        frame = spark.createDataFrame([(span * (120_000 // depth) + " end",)] * 8, "text string")
+        start = time.perf_counter()
+        (end,) = {r[0][-5:] for r in frame.select(W.mask_balanced(F.col("text"), "{", "}")).collect()}
+        assert end == "` end"
+        return time.perf_counter() - start
+
+    seconds(W.PATTERN_DEPTH)
+    assert 1.5 * seconds(W.PATTERN_DEPTH) < seconds(W.PATTERN_DEPTH + 2)
