@@ -79,6 +79,18 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = stop
 
 
+def gathered(parts: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Put small parts together up to some ``size`` bytes: more of their words are the same."""
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        held.append(part)
+        if sum(p.nbytes for p in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 # What a Python worker keeps from one task to the next, by name; one thing at a time.
 _KEPT: dict[tuple, object] = {}
 
@@ -124,11 +136,15 @@ def map_slices(
     schema: str | StructType,
     fn: Callable[[pa.RecordBatch], dict[str, object]],
     keeps: bool = False,
+    gather: int = 1,
 ) -> DataFrame:
-    """Apply ``fn`` to slices of the rows; it returns the columns of ``schema`` by name."""
+    """Apply ``fn`` to slices of the rows; it returns the columns of ``schema`` by name.
+
+    With ``gather``, slices are put together until they have so many bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in gathered(slices(batches), gather):
             yield to_batch(fn(part))
 
     return in_arrow(df, run, schema, keeps)

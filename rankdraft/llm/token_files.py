@@ -37,7 +37,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankdraft.llm.byte_bpe import SPACE_RUN
-from rankdraft.llm.common import in_arrow, kept, shared_folder, slices, strings, texts, to_batch
+from rankdraft.llm.common import (
+    gathered,
+    in_arrow,
+    kept,
+    shared_folder,
+    slices,
+    strings,
+    texts,
+    to_batch,
+)
 
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4s3Q")
@@ -80,7 +89,9 @@ def _pack_block(ids: np.ndarray) -> bytes:
     over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
     kept = rest.copy()
     kept[over] = 0
-    bits = np.unpackbits(kept.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    # Only the bytes that hold the width.
+    low = kept.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : (width + 7) // 8]
+    bits = np.unpackbits(low, axis=1, bitorder="little")
     packed = np.packbits(bits[:, :width], bitorder="little").tobytes()
     head = BLOCK_HEAD.pack(least, len(ids), width, len(over))
     return head + packed + over.astype("<u2").tobytes() + rest[over].astype("<u4").tobytes()
@@ -93,9 +104,11 @@ def unpack(block: bytes) -> np.ndarray:
     bits = np.unpackbits(
         np.frombuffer(block, np.uint8, size, at), count=n * width, bitorder="little"
     )
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, :width] = bits.reshape(n, width)
-    ids = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+    # Rows of whole bytes, as packbits fills them up with zeros.
+    low = np.packbits(bits.reshape(n, width), axis=1, bitorder="little")
+    wide = np.zeros((n, 4), np.uint8)
+    wide[:, : low.shape[1]] = low
+    ids = wide.view("<u4").ravel()
     at += size
     over = np.frombuffer(block, "<u2", n_over, at)
     ids[over] = np.frombuffer(block, "<u4", n_over, at + 2 * n_over)
@@ -187,12 +200,11 @@ class Encoder:
         lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
         n, at = len(whole), np.asarray(lists.offsets)
         words = lists.flatten().dictionary_encode()
-        known = self._words(
-            [
-                w[1:] if w[:1] == mark else w if w == "\n" else " " + w
-                for w in words.dictionary.to_pylist()
-            ]
-        )
+        word = words.dictionary
+        spaced = pc.binary_join_element_wise(pa.scalar(" ", word.type), word, pa.scalar("", word.type))
+        spaced = pc.if_else(pc.equal(word, "\n"), word, spaced)
+        marked = pc.starts_with(word, mark)
+        known = self._words(pc.if_else(marked, pc.utf8_slice_codeunits(word, 1), spaced))
         left = [self._ids(t) if o else np.empty(0, np.uint32) for o, t in zip(odd, whole)]
         ends = np.full(1, end_id, np.uint32)
         table = _lists([np.asarray(known.flatten()), *left, ends],
@@ -207,9 +219,8 @@ class Encoder:
         ids = table.take(pa.array(index)).flatten()
         return np.asarray(ids), np.add.reduceat(sizes, at[:-1] + np.arange(n))
 
-    def _words(self, words: list[str]) -> pa.LargeListArray:
+    def _words(self, column: pa.LargeStringArray) -> pa.LargeListArray:
         """Ids of each word, put together from those of its parts."""
-        column = pa.array(words, pa.large_string())
         cut = pc.extract_regex(column, self.LETTERS)
         alone = pc.is_null(cut)
         first = pc.if_else(alone, column, pc.struct_field(cut, "letters"))
@@ -219,7 +230,7 @@ class Encoder:
         ids = self._parts(parts.dictionary.to_pylist())
         known = _lists([np.frombuffer(b"".join(ids), "<u4")], [[len(i) // 4 for i in ids]])
         # The parts of a word follow each other.
-        order = np.asarray(parts.indices).reshape(2, len(words)).T.ravel()
+        order = np.asarray(parts.indices).reshape(2, len(column)).T.ravel()
         values = known.take(pa.array(order)).flatten()
         sizes = np.diff(np.asarray(known.offsets))[order].reshape(-1, 2).sum(axis=1)
         return _lists([np.asarray(values)], [sizes])
@@ -251,7 +262,9 @@ class Encoder:
         return found
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        # The fast call leaves out the places of tokens in the text, which nobody reads.
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, np.uint32)
 
 
 def _lists(values: list[np.ndarray], sizes: list) -> pa.LargeListArray:
@@ -260,18 +273,6 @@ def _lists(values: list[np.ndarray], sizes: list) -> pa.LargeListArray:
     return pa.LargeListArray.from_arrays(np.append(0, ends), flat)
 
 
-def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Put small parts together: more of their words are the same."""
-    held: list[pa.RecordBatch] = []
-    for part in parts:
-        held.append(part)
-        if sum(p.nbytes for p in held) >= GATHERED_BYTES:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _encoder(tokenizer_file: str) -> Encoder:
     return kept(("token_files", tokenizer_file), lambda: Encoder(tokenizer_file))
 
@@ -312,7 +313,7 @@ def write_token_files(
             return to_batch({n: pa.array([v], k) for n, v, k in zip(names, row, kinds)})
 
         files.create_dir(path, recursive=True)
-        for part in gathered(slices(batches)):
+        for part in gathered(slices(batches), GATHERED_BYTES):
             ids, sizes = encoder.encode(part["text"], end_id)
             starts = np.append(0, np.cumsum(sizes))
             listed, begin = part["doc_id"].to_pylist(), 0

@@ -193,3 +193,18 @@ def test_other_passes_let_go_of_what_a_worker_keeps(spark):
     for _ in range(2):
         byte_bpe.encode_digests(rows, RANKS, P.PATTERN).collect()
         assert common.map_slices(rows, "n long", held, keeps=False).first()["n"] == 0
+
+
+def test_the_library_is_not_asked_for_places_of_tokens():
+    library = tokenizers.Tokenizer.from_file(JSON)
+
+    class Fast:
+        def encode_batch_fast(self, *args, **kwargs):
+            return library.encode_batch_fast(*args, **kwargs)
+
+    encoder = token_files.Encoder(JSON)
+    encoder.tokenizer = Fast()
+    texts = some_texts(300)
+    ids, sizes = encoder.encode(pa.array(texts), 2)
+    own = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == list(itertools.chain(*own)) and sizes.tolist() == list(map(len, own))
