@@ -33,6 +33,10 @@ LEAF_MASK = (1 << LEAF_BITS) - 1
 # Pre-tokens up to this length are remembered, so many in each generation.
 CACHED_LENGTH = 48
 CACHED_PIECES = 150_000
+# For digests, which leave more memory free, more of them are, and the words of texts of
+# so many bytes are cut together.
+DIGESTS_PIECES = 400_000
+DIGESTS_BYTES = 8 << 20
 # Bytes of the pre-tokens that one queue takes, beyond the last of them.
 QUEUED_BYTES = 1 << 14
 
@@ -48,7 +52,7 @@ TOKENS = "doc_id long, n_tokens long, ids array<int>, decoded string"
 class ByteBpe:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, rank_file: str, pattern: str) -> None:
+    def __init__(self, rank_file: str, pattern: str, cached: int = CACHED_PIECES) -> None:
         with open(rank_file, "rb") as lines:
             pairs = (line.split() for line in lines if line.strip())
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
@@ -59,7 +63,7 @@ class ByteBpe:
         # No match of the pattern goes on from a word into white space, so that words
         # with the white space before them are encoded apart.
         self.word = regex.compile(r"\s*\S+|\s+")
-        self.pieces = Remembered(lambda p: tuple(self.merge(p.encode())), CACHED_PIECES, CACHED_LENGTH)
+        self.pieces = Remembered(lambda p: tuple(self.merge(p.encode())), cached, CACHED_LENGTH)
         # Rank of each byte and of each pair of bytes, -1 for none.
         self.bytes = np.full(256, -1, np.int64)
         self.pairs = np.full(1 << 16, -1, np.int64)
@@ -157,11 +161,13 @@ class ByteBpe:
         order = np.argsort(-pairs, kind="stable")[::-1]
         order = order[np.searchsorted(pairs, 0, sorter=order) :]
         ranks, at = np.unique(pairs[order], return_index=True)
-        for rank, bucket in zip(ranks.tolist(), np.split(order, at[1:])):
-            buckets[rank] = bucket.tolist(), []
+        cuts, order = itertools.pairwise([*at.tolist(), len(order)]), order.tolist()
+        for rank, (a, b) in zip(ranks.tolist(), cuts):
+            buckets[rank] = order[a:b], []
             leaf = rank >> LEAF_BITS
             leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & LEAF_MASK)
             summary |= 1 << leaf
+        bucket_of = buckets.get
         while summary:
             # Find first set: the lowest leaf in use, the lowest rank in it.
             leaf = (summary & -summary).bit_length() - 1
@@ -185,28 +191,35 @@ class ByteBpe:
                 tokens[left] = rank
                 alive[right] = 0
                 pair[right] = -1
-                fresh = ()
                 if border[end]:
                     pair[left] = -1
                 else:
                     new = pair[left] = get(text[left : ends[end]], -1)
                     if new >= 0:
-                        fresh = ((new, left),)
+                        held = bucket_of(new)
+                        if held is not None:
+                            heappush(held[1], left)
+                        else:
+                            buckets[new] = [], [left]
+                            high = new >> LEAF_BITS
+                            leaves[high] = leaves.get(high, 0) | 1 << (new & LEAF_MASK)
+                            summary |= 1 << high
+                        if new < least:
+                            least = new
                 if not border[left]:
                     before = starts[left]
                     new = pair[before] = get(text[before:end], -1)
                     if new >= 0:
-                        fresh = (*fresh, (new, before))
-                for new, position in fresh:
-                    if new in buckets:
-                        heappush(buckets[new][1], position)
-                    else:
-                        buckets[new] = [], [position]
-                        high = new >> LEAF_BITS
-                        leaves[high] = leaves.get(high, 0) | 1 << (new & LEAF_MASK)
-                        summary |= 1 << high
-                    if new < least:
-                        least = new
+                        held = bucket_of(new)
+                        if held is not None:
+                            heappush(held[1], before)
+                        else:
+                            buckets[new] = [], [before]
+                            high = new >> LEAF_BITS
+                            leaves[high] = leaves.get(high, 0) | 1 << (new & LEAF_MASK)
+                            summary |= 1 << high
+                        if new < least:
+                            least = new
             if not bucket and not later:
                 del buckets[rank]
                 leaves[leaf] ^= lowest
@@ -231,8 +244,9 @@ def _put_together(cuts: dict[str, tuple[str, ...]], ids: dict[str, Ids]) -> dict
     }
 
 
-def codec(rank_file: str, pattern: str) -> ByteBpe:
-    return kept(("byte_bpe", rank_file, pattern), lambda: ByteBpe(rank_file, pattern))
+def codec(rank_file: str, pattern: str, cached: int = CACHED_PIECES) -> ByteBpe:
+    name = ("byte_bpe", rank_file, pattern, cached)
+    return kept(name, lambda: ByteBpe(rank_file, pattern, cached))
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -259,7 +273,7 @@ def encode_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """As ``encode_documents``, with digests in place of the ids and the decoded text."""
 
     def encode(part: pa.RecordBatch) -> dict[str, object]:
-        bpe = codec(rank_file, pattern)
+        bpe = codec(rank_file, pattern, DIGESTS_PIECES)
         decimals = _decimals(len(bpe.tokens))
         counts, id_digests, text_digests = [], [], []
         for ids in bpe.encode_all(strings(part["text"])):
@@ -274,7 +288,7 @@ def encode_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             "decoded_sha256": pa.array(text_digests, pa.string()),
         }
 
-    return map_slices(texts(docs), DIGESTS, encode, keeps=True)
+    return map_slices(texts(docs), DIGESTS, encode, keeps=True, gather=DIGESTS_BYTES)
 
 
 @functools.lru_cache(maxsize=2)

@@ -208,3 +208,13 @@ def test_the_library_is_not_asked_for_places_of_tokens():
     ids, sizes = encoder.encode(pa.array(texts), 2)
     own = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
     assert ids.tolist() == list(itertools.chain(*own)) and sizes.tolist() == list(map(len, own))
+
+
+def test_words_of_several_slices_are_cut_together(spark):
+    rows = spark.range(1500).selectExpr("id AS doc_id", "'a b' AS text").coalesce(1)
+
+    def sizes(part):
+        return {"n": pa.array([part.num_rows])}
+
+    found = common.map_slices(rows, "n long", sizes, gather=byte_bpe.DIGESTS_BYTES)
+    assert [r.n for r in found.collect()] == [1500]
