@@ -218,3 +218,58 @@ def test_words_of_several_slices_are_cut_together(spark):
 
     found = common.map_slices(rows, "n long", sizes, gather=byte_bpe.DIGESTS_BYTES)
     assert [r.n for r in found.collect()] == [1500]
+
+
+def test_rare_words_go_to_the_library_without_line_ends_between():
+    encoder = token_files.Encoder(JSON)
+    library, seen = encoder.tokenizer, []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **kwargs):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **kwargs)
+
+    encoder.tokenizer = Spy()
+    words = [f" {a}{b}zq" for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = ["".join(words), " 日本x. 🙂 12 <|endoftext|>b 'll", "first\nlines\nx, y"]
+    ids, sizes = encoder.encode(pa.array(texts), 2)
+    own = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == list(itertools.chain(*own)) and sizes.tolist() == list(map(len, own))
+    assert not any("\n" in text for text in seen if any(word in text for word in words))
+
+
+def test_parts_are_encoded_alone_where_tokens_do_not_tell_them_apart():
+    encoder = token_files.Encoder(JSON)
+    encoder.bytes[:] = 3
+    texts = some_texts(300)
+    ids, sizes = encoder.encode(pa.array(texts), 2)
+    own = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == list(itertools.chain(*own)) and sizes.tolist() == list(map(len, own))
+
+
+def test_the_pattern_of_all_letters_sees_no_latin_words(monkeypatch):
+    encoder, seen = token_files.Encoder(JSON), []
+    extract = token_files.pc.extract_regex
+
+    def spy(column, pattern):
+        if pattern == encoder.LETTERS:
+            seen.extend(column.to_pylist())
+        return extract(column, pattern)
+
+    monkeypatch.setattr(token_files.pc, "extract_regex", spy)
+    text = "words, größer. that's x1 слово, ñandú; plain"
+    ids, _ = encoder.encode(pa.array([text]), 2)
+    assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+    assert seen == [" слово,"]
+
+
+def test_blocks_of_every_width_come_back():
+    draw = np.random.default_rng(6)
+    for width in range(33):
+        for n in (1, 7, 1023, 1024, 2500):
+            ids = draw.integers(0, 2**width, n, dtype=np.uint64).astype(np.uint32)
+            ids[draw.random(n) < 0.02] = 2**32 - 1
+            starts, payload = token_files.pack(ids)
+            blocks = [token_files.unpack(payload[a:b]) for a, b in zip(starts, starts[1:])]
+            found = np.concatenate(blocks)
+            assert found.dtype == np.uint32 and np.array_equal(found, ids)
