@@ -59,7 +59,7 @@ FILE_IDS = 2 << 20
 END_ID = 2
 # Parts up to this length are remembered, so many in each generation.
 CACHED_LENGTH = 48
-CACHED_PARTS = 800_000
+CACHED_PARTS = 400_000
 # Bytes of the texts that are encoded together, and parts that one call encodes.
 GATHERED_BYTES = 12 << 20
 BATCH = 4096
@@ -212,23 +212,25 @@ class Encoder:
         # Texts with runs of white space that begin with a space are left whole.
         odd = [bool(SPACE_RUN.search(text)) or mark in text for text in whole]
         plain = [mark if o else mark + self.LINE.sub(line, t) for o, t in zip(odd, whole)]
-        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
-        n, at = len(whole), np.asarray(lists.offsets)
-        words = lists.flatten().dictionary_encode()
+        left = [self._ids(t) if o else np.empty(0, np.uint32) for o, t in zip(odd, whole)]
+        plain, n = pa.array(plain, pa.large_string()), len(whole)
+        del whole
+        lists = pc.split_pattern(plain, " ")
+        at, words = np.asarray(lists.offsets), lists.flatten().dictionary_encode()
+        del plain, lists
         word = words.dictionary
         spaced = pc.binary_join_element_wise(pa.scalar(" ", word.type), word, pa.scalar("", word.type))
         spaced = pc.if_else(pc.equal(word, "\n"), word, spaced)
         marked = pc.starts_with(word, mark)
         known, sizes = self._words(pc.if_else(marked, pc.utf8_slice_codeunits(word, 1), spaced))
-        left = [self._ids(t) if o else np.empty(0, np.uint32) for o, t in zip(odd, whole)]
         values = np.concatenate([known, *left, np.full(1, end_id, np.uint32)])
         sizes = np.concatenate([sizes, np.fromiter(map(len, left), np.int64, n), [1]])
 
-        index = np.full(at[-1] + n, len(sizes) - 1)
-        docs = np.repeat(np.arange(n), np.diff(at))
-        index[np.arange(at[-1]) + docs] = np.asarray(words.indices)
         own = np.flatnonzero(odd)
-        index[at[own] + own] = len(word) + own
+        index = np.array(words.indices)
+        index[at[own]] = len(word) + own
+        index = np.insert(index, at[1:], len(sizes) - 1)
+        del words, word
         ids, sizes = _taken(values, sizes, index)
         return ids, np.add.reduceat(sizes, at[:-1] + np.arange(n))
 
@@ -299,11 +301,15 @@ def _taken(
     values: np.ndarray, sizes: np.ndarray, index: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """Of lists of ``sizes`` in ``values``, those at ``index`` in a row, and their sizes."""
-    starts, taken = np.cumsum(sizes) - sizes, sizes[index]
-    ends = np.cumsum(taken)
-    total = int(ends[-1]) if len(ends) else 0
+    total = int(sizes @ np.bincount(index, minlength=len(sizes)))
     kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
-    place = np.repeat((starts[index] - ends + taken).astype(kind), taken)
+    sizes = sizes.astype(kind)
+    taken = sizes[index]
+    # From the place among all that are taken to the one in the values.
+    ahead = (np.cumsum(sizes, dtype=kind) - sizes)[index]
+    ahead -= np.cumsum(taken, dtype=kind)
+    ahead += taken
+    place = np.repeat(ahead, taken)
     place += np.arange(total, dtype=kind)
     return values[place], taken
 
